@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkrank.llm import bpe, neardup, token_files, topk, urls
+from walkrank.llm import bpe, neardup, substrings, token_files, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,13 +85,30 @@ SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(ro
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+i AS (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+s AS MATERIALIZED (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM i),
+d AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM s JOIN d USING (h)),
+g AS (SELECT r, list(p) AS ps FROM c GROUP BY r),
+k AS (SELECT doc_id, ws, coalesce(len(ps), 0) AS n, list_filter(ws, lambda x, j: ps IS NULL OR NOT list_contains(ps, j)) AS kept FROM w LEFT JOIN g USING (r))
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op4_token_files, op7_ngram_jaccard, op9_bpe)}
+    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op4_token_files, op7_ngram_jaccard, op8_substring_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op7_ngram_jaccard": OP7_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_substring_dedup": OP8_SQL}
