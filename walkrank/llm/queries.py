@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkrank.llm import bpe, neardup, substrings, token_files, topk, urls
+from walkrank.llm import bpe, decontaminate, neardup, substrings, token_files, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,28 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(documents, table(spark, sf_dir, "benchmark"), window=13, keep=["doc_id"])
+    return decontaminate.digests(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP5_SQL = """
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+bi AS (SELECT item_id, ws, least(len(ws), 13) AS l, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS i FROM b WHERE len(ws) > 0),
+bw AS MATERIALIZED (SELECT DISTINCT item_id, l, array_to_string(ws[i:i + l - 1], ' ') AS win FROM bi),
+ls AS (SELECT DISTINCT l FROM bw),
+di AS (SELECT r, l, ws, unnest(range(1, len(ws) - l + 2)) AS i FROM w, ls WHERE len(ws) >= l),
+h AS MATERIALIZED (SELECT r, i, di.l, item_id FROM di JOIN bw ON di.l = bw.l AND array_to_string(ws[i:i + di.l - 1], ' ') = win),
+p AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS p FROM h) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM h GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN p USING (r) LEFT JOIN t USING (r)
+"""
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_classes(table(spark, sf_dir, "documents"), words=5, percent=80)
 
@@ -107,8 +129,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op4_token_files, op7_ngram_jaccard, op8_substring_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op4_token_files, op5_decontamination, op7_ngram_jaccard, op8_substring_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_substring_dedup": OP8_SQL}
