@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkrank.llm.token_files import byte_alphabet, distinct_runs
-from walkrank.llm.words import NOT_SPACE, offsets, pieces, ragged, split
+from walkrank.llm.token_files import byte_alphabet, distinct_runs, joined
+from walkrank.llm.words import NOT_SPACE, offsets, pieces, split
 
 #: The pattern of byte-level vocabularies that splits a text before pairs are merged. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -222,11 +222,9 @@ def _encode_batch(coder: PrefixEncoder, column: pa.Array) -> tuple[np.ndarray, n
         if got is None:
             got = kept[c] = array("I", coder.chunk(c.decode())).tobytes()
         ids.append(got)
-    flat_of = np.frombuffer(b"".join(ids), "<u4")
-    size_of = np.array([len(x) // 4 for x in ids], np.int64)
-    at_of = np.cumsum(size_of) - size_of
-    flat = flat_of[ragged(at_of[of], size_of[of])]
-    count = np.bincount(runs_r, size_of[of], n).astype(np.int64) if len(of) else np.zeros(n, np.int64)
+    flat, sizes = joined(ids, of)
+    flat = flat.view("<u4")
+    count = np.bincount(runs_r, sizes, n).astype(np.int64) if len(of) else np.zeros(n, np.int64)
     if len(odd_rows):
         whole = {r: np.array(coder.text(data[at[r] : at[r + 1]].tobytes().decode()), "<u4") for r in odd_rows.tolist()}
         ends = np.cumsum(count)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from walkrank.llm.scratch import Scratch
-from walkrank.llm.words import offsets, pieces, ragged, run_hashes, split
+from walkrank.llm.words import pieces, ragged, run_hashes, split
 
 #: Chunks of a text between these are tokens apart for the tokenizer, whatever stands around them.
 _GAPS = np.ones(256, bool)
 _GAPS[[0x20, 0x09, 0x0A, 0x0D]] = False
 
 #: Chunks of which each worker process keeps the ids.
-CACHE = 400_000
+CACHE = 200_000
 
 #: ids in rows: dictionary pages where few differ, else delta encodings of format v2; small row groups and pages with
 #: their indexes, so that a filter on doc_id reads few pages.
@@ -57,22 +58,22 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.alphabet = byte_alphabet()
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         kind = str(type(self.tokenizer.pre_tokenizer).__name__), str(type(self.tokenizer.normalizer).__name__)
         # the short way is for vocabularies with word ends, lower case and this pattern
         self.short = kind == ("Sequence", "Sequence") and getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>"
-        self.kept: dict[bytes, np.ndarray] = {}
+        self.kept: dict[bytes, bytes] = {}
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         if (ids := self.words.get(word)) is None:
             mapped = word if word.isascii() else "".join(self.alphabet[b] for b in word.encode())
-            ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+            ids = self.words[word] = array("i", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
         return ids
 
-    def of(self, chunks: list[bytes]) -> list[np.ndarray]:
-        """The ids of each of some distinct chunks."""
+    def of(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct chunks, as 32-bit integers."""
         if len(self.kept) > CACHE:
             self.kept.clear()
         if len(self.words) > CACHE:
@@ -82,11 +83,11 @@ class ChunkIds:
             if c not in kept:
                 text = c.decode()
                 if self.short and _PLAIN.match(text) and not any(a in text for a in self.added):
-                    kept[c] = np.array([i for w in _PIECE.findall(text.lower()) for i in self._word(w)], np.int32)
+                    kept[c] = b"".join([self._word(w) for w in _PIECE.findall(text.lower())])
                 else:
                     rest.append(c)
         for c, e in zip(rest, self.tokenizer.encode_batch([c.decode() for c in rest], add_special_tokens=False) if rest else [], strict=True):
-            kept[c] = np.array(e.ids, np.int32)
+            kept[c] = array("i", e.ids).tobytes()
         return [kept[c] for c in chunks]
 
 
@@ -97,10 +98,10 @@ def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return [data[s:e].tobytes() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], of
 
 
-def joined(ids: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def joined(ids: list[bytes], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of runs whose distinct runs have these ids, and how many each run has."""
-    sizes = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+    sizes = np.array([len(x) // 4 for x in ids], np.int64)
+    flat = np.frombuffer(b"".join(ids), np.int32)
     at = np.cumsum(sizes) - sizes
     return flat[ragged(at[of], sizes[of])], sizes[of]
 
@@ -112,21 +113,30 @@ def encode(frame: DataFrame, tokenizer: str, text: str = "text", end_id: int | N
     """(doc_id, ids): each whole text as the tokenizer encodes it without special tokens of its own, then ``end_id``. Null text counts as empty."""
 
     def run(batches):
-        coder = _open.get(tokenizer) or _open.setdefault(tokenizer, ChunkIds(tokenizer))
-        for batch in pieces(batches, "text"):
-            words = split(batch.column("text"), _GAPS)
-            chunks, of = distinct_runs(words.data, words.starts, words.ends)
-            flat, sizes = joined(coder.of(chunks), of)
-            at = np.concatenate([[0], np.cumsum(sizes)])[words.first]
-            if end_id is not None:
-                flat = np.insert(flat, at[1:], end_id)
-                at = at + np.arange(len(at))
-            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+        for batch, at, flat in _encoded(batches, tokenizer, end_id):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(at, flat)], names=["doc_id", "ids"])
 
     return frame.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
+def _lists(at: np.ndarray, flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat, pa.int32()))
+
+
+def _encoded(batches, tokenizer: str, end_id: int | None):
+    """Batches with a text column, the offsets of each row's ids, and all ids."""
+    coder = _open.get(tokenizer) or _open.setdefault(tokenizer, ChunkIds(tokenizer))
+    for batch in pieces(batches, "text"):
+        words = split(batch.column("text"), _GAPS)
+        chunks, of = distinct_runs(words.data, words.starts, words.ends)
+        flat, sizes = joined(coder.of(chunks), of)
+        at = np.concatenate([[0], np.cumsum(sizes)])[words.first]
+        if end_id is not None:
+            flat = np.insert(flat, at[1:], end_id)
+            at = at + np.arange(len(at))
+        yield batch, at, flat
+
+
 def write_tokens(frame: DataFrame, path: str, tokenizer: str, text: str = "text", end_id: int | None = 2, doc_id: str = "doc_id", partitions: int | None = None) -> None:
     """Writes (part, doc_id, local_start, n_tokens, ids) in ascending doc_id order, a range of documents a file.
 
@@ -140,18 +150,16 @@ def write_tokens(frame: DataFrame, path: str, tokenizer: str, text: str = "text"
     order = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
-    def number(batches):
+    def run(batches):
         from pyspark import TaskContext
 
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ends = at + np.cumsum(np.diff(offsets_of(batch.column("ids"))))
-            sizes = np.diff(np.concatenate([[at], ends]))
-            at = int(ends[-1]) if len(ends) else at
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), batch.column("doc_id"), pa.array(ends - sizes), pa.array(sizes), batch.column("ids")], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
+        part, base = TaskContext.get().partitionId(), 0
+        for batch, at, flat in _encoded(batches, tokenizer, end_id):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), batch.column("doc_id"), pa.array(base + at[:-1]), pa.array(np.diff(at)), _lists(at, flat)], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
+            base += int(at[-1])
 
     schema = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
-    encode(dealt, tokenizer, "text", end_id).mapInArrow(number, schema).write.mode("overwrite").options(**LAYOUT).parquet(path)
+    dealt.mapInArrow(run, schema).write.mode("overwrite").options(**LAYOUT).parquet(path)
 
 
 def offsets_of(lists: pa.ListArray) -> np.ndarray:
