@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +15,8 @@ from walkrank.llm.words import NOT_SPACE, hashes, mix, pieces, split, windows
 
 #: Size bands grow by this factor; a part more than the bound for each so many differences keeps parts non-empty.
 BAND_RATIO, SLACK_SHARE = 1.4, 0.10
-#: Words of 64 bits in the sketch for the Hamming bound.
-SKETCH = 16
+#: Bits of the smallest sketch for the Hamming bound; larger sets have the next power of two.
+SKETCH_BITS = 1024
 #: Rows of a bucket that meet in one step of the exact pass.
 QUERY_BLOCK, TARGET_BLOCK = 512, 2048
 
@@ -40,9 +41,13 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Each shingle flips one of 64 * SKETCH bits: the Hamming distance of two sketches is at most the sets' symmetric difference."""
-    flips = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+    """Each shingle flips one bit: the Hamming distance of two sketches is at most the sets' symmetric difference.
+
+    A sketch of half the bits is the XOR of the two halves.
+    """
+    bits = max(SKETCH_BITS, 1 << (len(shingles) - 1).bit_length() if len(shingles) else 0)
+    flips = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 class Bands:
@@ -97,12 +102,16 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r) for r in rows)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(r.view(np.int64) for r in rows)])))
+
+
 def _fingerprints(words: int):
     def run(batches):
         for batch in pieces(batches, "text"):
             sets = shingle_sets(batch.column("text"), words)
             prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
-            yield _batch(doc_id=batch.column("doc_id"), n_shingles=np.array([len(s) for s in sets], np.int64), f1=prints[:, 0], f2=prints[:, 1])
+            yield _batch(doc_id=batch.column("doc_id"), n_shingles=np.array([len(s) for s in sets], np.int64), f1=prints[:, 0], f2=prints[:, 1], sketch=_lists([sketch(s) for s in sets]))
 
     return run
 
@@ -149,22 +158,34 @@ def _sets(words: int):
     def run(batches):
         for batch in pieces(batches, "text"):
             sets = shingle_sets(batch.column("text"), words)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(s.view(np.int64) for s in sets)])))
-            sketches = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * SKETCH).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(sketch(s) for s in sets)])))
-            yield _batch(doc=batch.column("doc_id"), n=np.array([len(s) for s in sets], np.int64), sketch=sketches, shingles=lists)
+            yield _batch(doc=batch.column("doc_id"), n=np.array([len(s) for s in sets], np.int64), shingles=_lists(sets))
 
     return run
 
 
+def _both(pairs: DataFrame, traits: DataFrame, of: str) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(traits.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col(of).alias(f"{of}_{side}")), side)
+    return pairs
+
+
+def plausible(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and the Hamming distance of the sketches leave."""
+
+    def folded(x: str, y: str):
+        half = F.size(y)
+        return F.when(F.size(x) == 2 * half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(x))
+
+    rows = _both(pairs, traits, "sketch").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    rows = rows.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), folded("sketch_a", "sketch_b").alias("x"), folded("sketch_b", "sketch_a").alias("y"))
+    hamming = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return rows.where(hamming * (100 + percent) <= F.col("n") * (100 - percent)).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: by sizes, by the Hamming distance of the sketches, then exactly."""
-    one = sets.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("shingles").alias("s_a"))
-    two = sets.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("shingles").alias("s_b"))
-    n = F.col("n_a") + F.col("n_b")
-    hamming = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (hamming * (100 + percent) <= n * (100 - percent))
-    common = F.when(near, F.size(F.array_intersect("s_a", "s_b"))).otherwise(-1)
-    return pairs.join(one, "a").join(two, "b").withColumn("common", common).where((F.col("common") >= 0) & (F.col("common") * (100 + percent) >= n * percent)).select("a", "b")
+    """The pairs (a, b) whose sets are similar enough, exactly."""
+    rows = _both(pairs, sets, "shingles").withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    return rows.where(F.col("common") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -213,8 +234,11 @@ def _meet(percent: int, exact: bool):
             q, t = [r for r in cell if r["query"]], [r for r in cell if not r["query"]]
             if not q or not t:
                 continue
-            sq, st = (np.array([r["sketch"] for r in x], np.int64) for x in (q, t))
             nq, nt = (np.array([r["n"] for r in x], np.int64) for x in (q, t))
+            by_size = defaultdict(list)
+            for i, r in enumerate(t):
+                by_size[len(r["sketch"])].append(i)
+            blocks = [(np.array(at), np.array([t[i]["sketch"] for i in at], np.int64)) for at in by_size.values()]
             ids = np.array([r["doc"] for r in t])
             cq, ct = (np.array([r["root"] for r in x]) for x in (q, t))
             root = {}
@@ -228,7 +252,15 @@ def _meet(percent: int, exact: bool):
             sets = {r["doc"]: np.array(r["shingles"], np.int64) for r in cell} if exact else {}
             for i, r in enumerate(q):
                 n = nt + nq[i]
-                far = np.bitwise_count(st ^ sq[i]).sum(axis=1, dtype=np.int64)
+                own = np.array(r["sketch"], np.int64)
+                far = np.full(len(t), 1 << 60)
+                for at, sketches in blocks:  # sketches of other sizes than these are of sets too far apart in size
+                    if sketches.shape[1] == len(own):
+                        far[at] = np.bitwise_count(sketches ^ own).sum(axis=1, dtype=np.int64)
+                    elif sketches.shape[1] == 2 * len(own):
+                        far[at] = np.bitwise_count(sketches[:, : len(own)] ^ sketches[:, len(own) :] ^ own).sum(axis=1, dtype=np.int64)
+                    elif 2 * sketches.shape[1] == len(own):
+                        far[at] = np.bitwise_count(sketches ^ own[: len(own) // 2] ^ own[len(own) // 2 :]).sum(axis=1, dtype=np.int64)
                 near = (ct != cq[i]) & (far * (100 + percent) <= n * (100 - percent)) & (np.minimum(nt, nq[i]) * 100 >= np.maximum(nt, nq[i]) * percent)
                 if not exact:
                     hit |= near
@@ -277,54 +309,60 @@ def link_classes(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 
     Steps: equal sets fall together by fingerprint. Each remaining set's
     parity sketch gives keys by size band and part (see band_keys), sorted by
-    key in bounded runs. Each document is verified against one partner, then
-    against its other first partners of another class. Buckets that still
-    span classes are searched in blocks, by the sketches' Hamming distance and
-    then exactly, until every pair of different classes in a bucket has been
-    compared or joined. Equal and joined documents need no more pairs, so
+    key in bounded runs. Pairs of a document and the first of a run are left
+    out if the sketches' Hamming distance is too large; each document is then
+    verified against one such partner, and against its others of another
+    class. Buckets of three or more that still span classes are searched in
+    blocks, by the sketches and then exactly, until every pair of different
+    classes in a bucket has been compared or joined. Equal and joined documents need no more pairs, so
     groups of copies cost rows in proportion to their size.
     """
     scratch = Scratch(frame.sparkSession, "neardup")
     n_parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = frame.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    docs = scratch.save(rows.mapInArrow(_fingerprints(words), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint"), "docs")
-    reps = scratch.save(docs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
+    docs = scratch.save(rows.mapInArrow(_fingerprints(words), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch array<bigint>"), "docs")
+    some = docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = scratch.save(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
+    stand = some.join(reps.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "n_shingles", "doc_id"], "left_semi")
+    traits = scratch.save(stand.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["doc", "n", "sketch"]), "traits")
 
-    kept = rows.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    kept = rows.join(traits.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
     keys = kept.mapInArrow(_keys(words, percent), "k bigint, doc bigint, pivot bigint")
     dealt = keys.repartition(n_parts, F.when(F.col("doc") == F.col("pivot"), F.col("k")).otherwise(F.xxhash64("doc"))).sortWithinPartitions("k", "doc")
     members = scratch.save(dealt.mapInArrow(_runs, "k bigint, doc bigint, pivot bigint"), "members")
 
-    partners = members.select("doc").unionByName(members.select(F.col("pivot").alias("doc"))).distinct()
-    near = rows.join(partners.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
-    sets = scratch.save(near.mapInArrow(_sets(words), "doc bigint, n bigint, sketch array<bigint>, shingles array<bigint>"), "sets")
+    pairs = scratch.save(plausible(members.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), traits, percent).distinct(), "pairs")
+
+    def sets_of(docs: DataFrame) -> DataFrame:
+        return rows.join(docs.distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "doc bigint, n bigint, shingles array<bigint>")
 
-    links = scratch.save(verified(members.groupBy("doc").agg(F.min("pivot").alias("b")).withColumnRenamed("doc", "a"), sets, percent), "links-1")
+    sets = scratch.save(sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))), "sets")
+    links = scratch.save(verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "links-1")
     roots = components(links, scratch, "roots-1")
 
     def labelled(frame: DataFrame, key: str, root: str) -> DataFrame:
         return frame.join(roots.select(F.col("doc").alias(key), F.col("root").alias(root)), key, "left").withColumn(root, F.coalesce(root, key))
 
-    rest = labelled(labelled(members.select("doc", "pivot").distinct(), "doc", "r1"), "pivot", "r2").where("r1 <> r2").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+    rest = labelled(labelled(pairs, "a", "r1"), "b", "r2").where("r1 <> r2").select("a", "b")
     more = scratch.save(verified(rest, sets, percent), "links-2")
     roots = components(links.unionByName(more), scratch, "roots-2")
 
     bucket = members.select("k", "doc").unionByName(members.select("k", F.col("pivot").alias("doc"))).distinct()
-    spans = labelled(bucket, "doc", "root")
-    mixed = spans.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("k")
-    open_rows = scratch.save(spans.join(mixed, "k"), "open")
-    traits = sets.select("doc", "n", "sketch")
-    maybe = scratch.save(_cells(open_rows.join(traits, "doc")).select("k", "qb", "tb", "query", "doc", "root", "n", "sketch").mapInArrow(_meet(percent, False), "k bigint, doc bigint").distinct(), "maybe")
-    again = maybe.join(open_rows, ["k", "doc"]).join(sets, "doc")
+    mixed = members.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    spans = labelled(bucket.join(mixed, "k", "left_semi"), "doc", "root")
+    several = spans.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+    open_rows = scratch.save(spans.join(several, "k", "left_semi"), "open")
+    maybe = _cells(open_rows.join(traits, "doc")).select("k", "qb", "tb", "query", "doc", "root", "n", "sketch").mapInArrow(_meet(percent, False), "k bigint, doc bigint").distinct()
+    maybe = scratch.save(maybe.join(open_rows, ["k", "doc"]), "maybe")
+    again = maybe.join(traits, "doc").join(sets_of(maybe.select(F.col("doc").alias("doc_id"))).select("doc", "shingles"), "doc")
     last = _cells(again).select("k", "qb", "tb", "query", "doc", "root", "n", "sketch", "shingles").mapInArrow(_meet(percent, True), "a bigint, b bigint").distinct()
     last = scratch.save(last, "links-3")
-
     # rows that share a doc_id are one document
     own = docs.where("n_shingles > 0 AND doc_id IS NOT NULL").join(reps, ["f1", "f2", "n_shingles"]).select("doc_id", "rep").distinct()
     least = own.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1")
     same = scratch.save(own.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"), "same-id")
     roots = components(links.unionByName(more).unionByName(last).unionByName(same), scratch, "roots-3")
-    scratch.drop("members", "sets", "open", "maybe")
+    scratch.drop("members", "pairs", "sets", "open", "maybe")
 
     named = docs.join(reps, ["f1", "f2", "n_shingles"], "left").join(roots.withColumnRenamed("doc", "rep"), "rep", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
