@@ -183,13 +183,17 @@ def repeated_spans(frame: DataFrame, window: int = 35, text: str = "text", doc_i
     several = ids.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("d", "x")).alias("one")).where("c > 1")
     copies = scratch.save(ids.join(several, "t").select("d", "x", (F.struct("d", "x") == F.col("one")).alias("stands")).distinct(), "copies")
 
-    single = rows.join(copies.where("NOT stands"), ["d", "x"], "left_anti")
-    found = scratch.save(single.select("d", "x", "text").mapInArrow(_find_anchors(window), "g bigint, d bigint, x bigint, a int"), "anchors")
-    shared = found.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").withColumn("hot", F.col("c") > GROUP).select("g", "hot")
+    # copies' anchors go before they are dealt out; the texts themselves needn't move for it
+    every = rows.select("d", "x", "text").mapInArrow(_find_anchors(window), "g bigint, d bigint, x bigint, a int")
+    found = scratch.save(every.join(copies.where("NOT stands"), ["d", "x"], "left_anti"), "anchors")
+    counts = found.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    shared = scratch.save(counts.select("g", (F.col("c") > GROUP).alias("hot")), "prefixes")
     lists = found.join(shared, "g").groupBy("d", "x").agg(F.collect_list(F.when(~F.col("hot"), F.col("a"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("a"))).alias("hot"))
+    lists = scratch.save(lists, "lists")
+    scratch.drop("anchors", "prefixes")
     cut = rows.select("d", "x", "text").join(lists, ["d", "x"]).mapInArrow(_cut_suffixes(window), "g bigint, g2 bigint, d bigint, x bigint, s int, text string")
     cut = scratch.save(cut, "suffixes")
-    scratch.drop("anchors")
+    scratch.drop("lists")
 
     trees = cut.where("text IS NOT NULL").select("g", "d", "x", "s", "text").repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(_grow_trees(window), "d bigint, x bigint, lo int, hi int")
     hot = cut.where("text IS NULL").select("g", "g2", "d", "x", "s")
