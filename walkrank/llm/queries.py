@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkrank.llm import bpe, decontaminate, neardup, substrings, token_files, topk, urls
+from walkrank.llm import bpe, decontaminate, html_text, neardup, substrings, token_files, topk, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
@@ -89,6 +93,13 @@ FROM w LEFT JOIN p USING (r) LEFT JOIN t USING (r)
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(documents, machine, keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_classes(table(spark, sf_dir, "documents"), words=5, percent=80)
 
@@ -129,7 +140,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op4_token_files, op5_decontamination, op7_ngram_jaccard, op8_substring_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_html_extraction, op4_token_files, op5_decontamination, op6_toxicity, op7_ngram_jaccard, op8_substring_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
