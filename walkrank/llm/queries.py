@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkrank.llm import bpe, decontaminate, html_text, neardup, substrings, token_files, topk, toxicity, urls
+from walkrank.llm import bpe, decontaminate, html_text, neardup, substrings, token_files, topk, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,9 +139,22 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return archive.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to FROM m
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_html_extraction, op4_token_files, op5_decontamination, op6_toxicity, op7_ngram_jaccard, op8_substring_dedup, op9_bpe)}
+    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_html_extraction, op4_token_files, op5_decontamination, op6_toxicity, op7_ngram_jaccard, op8_substring_dedup, op9_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc": OP10_SQL}
