@@ -12,6 +12,7 @@ from walkrank.functions.vectors import cosine
 from walkrank.operators.search import top_n
 from walkrank.operators.walk import pick, quantised, sampled_starts
 from walkrank.params import Params
+from walkrank.scratch import Scratch
 from walkrank.sources.graph import Graph
 
 
@@ -22,14 +23,16 @@ def flow_visits(queries: DataFrame, graph: Graph, trajectories: int = 20, steps:
     ``least``, which isn't appended.
     """
     start = top_n(queries, graph.nodes, 1).select("query_id", "node_id")
-    at = start.withColumn("agent_id", F.explode(F.sequence(F.lit(0), F.lit(trajectories - 1)))).withColumn("seen", F.array("node_id")).persist()
+    at = start.withColumn("agent_id", F.explode(F.sequence(F.lit(0), F.lit(trajectories - 1)))).withColumn("seen", F.array("node_id"))
+    scratch = Scratch(queries.sparkSession, "flow")
+    at = scratch.save(at, "0")
     visits = at.select("query_id", "agent_id", F.lit(0).alias("step"), "node_id")
     relevance = graph.nodes.select(F.col("node_id").alias("dst"), "relevance")
     for step in range(1, steps + 1):
         hops = at.join(graph.edges, F.col("node_id") == F.col("src")).where(~F.array_contains("seen", F.col("dst"))).join(relevance, "dst").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
         hops = hops.withColumn("w", quantised(F.exp(5.0 * F.col("relevance")))).withColumn("u", uniform(F.col("query_id"), F.col("agent_id"), step, "flow")).withColumn("to", F.struct("dst", "relevance"))
         moved = pick(hops, ["query_id", "agent_id", "seen"], "dst", "w", "u", "to").where(F.col("to.relevance") >= least)
-        at = moved.select("query_id", "agent_id", F.col("to.dst").alias("node_id"), F.array_append("seen", F.col("to.dst")).alias("seen")).persist()
+        at = scratch.save(moved.select("query_id", "agent_id", F.col("to.dst").alias("node_id"), F.array_append("seen", F.col("to.dst")).alias("seen")), str(step))
         visits = visits.unionByName(at.select("query_id", "agent_id", F.lit(step).alias("step"), "node_id"))
     return visits
 
@@ -43,14 +46,17 @@ def rank_by_frequency(visits: DataFrame, k: int = 20) -> DataFrame:
 def relevance_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFrame:
     """(query_id, node_id, votes), expected: walks by relevance alone, from a uniform start among the first of the pool."""
     pool = top_n(queries, graph.nodes, params.initial_pool_size).where(F.col("rank") <= params.start_subset)
-    at = pool.select("query_id", "node_id", (F.lit(float(params.n_agents)) / F.count("*").over(Window.partitionBy("query_id"))).alias("mass")).persist()
+    at = pool.select("query_id", "node_id", (F.lit(float(params.n_agents)) / F.count("*").over(Window.partitionBy("query_id"))).alias("mass"))
+    scratch = Scratch(queries.sparkSession, "relevance")
+    at = scratch.save(at, "0")
     relevance = graph.nodes.select(F.col("node_id").alias("dst"), F.coalesce("relevance", F.lit(0.0)).alias("w"))
     edges = graph.edges.join(relevance, "dst")
     by = Window.partitionBy("src")
     edges = edges.select("src", "dst", F.when(F.sum("w").over(by) > 0, F.col("w") / F.sum("w").over(by)).otherwise(1.0 / F.count("*").over(by)).alias("p"))
+    edges = scratch.save(edges, "edges")
     visits = at
-    for _ in range(params.steps):
-        at = at.join(edges, F.col("node_id") == F.col("src")).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass")).persist()
+    for step in range(params.steps):
+        at = scratch.save(at.join(edges, F.col("node_id") == F.col("src")).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass")), str(step + 1))
         visits = visits.unionByName(at)
     return visits.groupBy("query_id", "node_id").agg(F.sum("mass").alias("votes"))
 
@@ -77,15 +83,17 @@ def async_votes(queries: DataFrame, graph: Graph, params: Params, movement: dict
     """
     weights = movement or {"relevance": 0.4, "cosine": 0.3, "diversity": 0.3}
     pool = top_n(queries, graph.nodes, params.initial_pool_size).where(F.col("rank") <= params.start_subset)
-    begin = sampled_starts(pool, params, uniform_zone=True).persist()
+    scratch = Scratch(queries.sparkSession, "live")
+    begin = scratch.save(sampled_starts(pool, params, uniform_zone=True), "starts")
     near = begin.select("query_id", "node_id").distinct()
     reach = near
-    for _ in range(params.steps - 1):
-        near = near.join(graph.edges, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id")).distinct().persist()
+    for step in range(params.steps - 1):
+        near = scratch.save(near.join(graph.edges, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id")).distinct(), f"near-{step}")
         reach = reach.unionByName(near).distinct()
     traits = graph.nodes.select(F.col("node_id").alias("dst"), "vec", F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
     edges = reach.join(graph.edges, F.col("node_id") == F.col("src")).join(traits, "dst").join(queries.select("query_id", "qvec"), "query_id")
     edges = edges.select("query_id", "src", "dst", "relevance", F.coalesce(cosine("qvec", "vec", 0.0), F.lit(0.0)).alias("cos"))
+    edges = scratch.save(edges, "edges")
     n, steps, decay = params.n_agents, params.steps, params.decay
 
     def walk(starts: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from walkrank.functions.rng import uniform
 from walkrank.functions.vectors import cosine
 from walkrank.operators.search import similarity, starts
 from walkrank.params import Params
+from walkrank.scratch import Scratch
 from walkrank.sources.graph import Graph
 
 #: Weights are compared as integers of this many parts of one, so that running sums are exact.
@@ -30,7 +31,7 @@ def node_weights(pairs: DataFrame, queries: DataFrame, graph: Graph, params: Par
 
 def transitions(at: DataFrame, queries: DataFrame, graph: Graph, params: Params) -> DataFrame:
     """(query_id, src, dst, mass, p) for at(query_id, node_id, mass): the probabilities of each next hop; none from dead ends."""
-    hops = at.join(graph.edges, F.col("node_id") == F.col("src")).select("query_id", "src", "dst", "mass").persist()
+    hops = at.join(graph.edges, F.col("node_id") == F.col("src")).select("query_id", "src", "dst", "mass")
     pairs = hops.select("query_id", F.col("dst").alias("node_id")).distinct()
     rows = hops.join(node_weights(pairs, queries, graph, params).withColumnRenamed("node_id", "dst"), ["query_id", "dst"])
     return rows.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("query_id", "src"))).select("query_id", "src", "dst", "mass", "p")
@@ -44,10 +45,12 @@ def expected_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFra
     """
     if "jitter" in params.movement or params.pheromone != "off":
         raise ValueError("expected visits need weights without draws and pheromones")
-    at = starts(queries, graph, params).select("query_id", "node_id", (F.col("share") * params.n_agents).alias("mass")).persist()
+    scratch = Scratch(queries.sparkSession, "expected")
+    at = scratch.save(starts(queries, graph, params).select("query_id", "node_id", (F.col("share") * params.n_agents).alias("mass")), "0")
     visits = at
-    for _ in range(params.steps):
-        at = transitions(at, queries, graph, params).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass")).persist()
+    for step in range(params.steps):
+        moved = transitions(at, queries, graph, params).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
+        at = scratch.save(moved, str(step + 1))  # else each step's plan would hold those before it twice
         visits = visits.unionByName(at)
     return visits.groupBy("query_id", "node_id").agg(F.sum("mass").alias("votes"))
 
@@ -98,7 +101,8 @@ def sampled_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFram
     before left: a deposit on a node never marked lands on 1, others decay
     first. Draws are counters, so a lost partition repeats them.
     """
-    at = sampled_starts(starts(queries, graph, params), params).persist()
+    scratch = Scratch(queries.sparkSession, "sampled")
+    at = scratch.save(sampled_starts(starts(queries, graph, params), params), "0")
     visits = at.withColumn("step", F.lit(0))
     level = None
     traits = graph.traits().where("vec IS NOT NULL").select(F.col("node_id").alias("dst"), "vec", "degree", "avg_degree", "relevance")
@@ -113,7 +117,7 @@ def sampled_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFram
         hops = hops.withColumn("w", F.when(F.col("cos").isNotNull(), quantised(F.greatest(h.weighted(params.movement), F.lit(params.floor)))))
         hops = hops.withColumn("deposit", h.weighted(params.deposit)).withColumn("u", uniform(F.col("query_id"), F.col("agent_id"), F.col("step"), "hop"))
         hops = hops.withColumn("to", F.struct("dst", "deposit"))
-        moved = pick(hops, ["query_id", "agent_id", "node_id"], "dst", "w", "u", "to").persist()
+        moved = scratch.save(pick(hops, ["query_id", "agent_id", "node_id"], "dst", "w", "u", "to"), str(step))
         visits = visits.unionByName(moved.where("to IS NOT NULL").select("query_id", "agent_id", F.col("to.dst").alias("node_id"), F.lit(step).alias("step")))
         if params.pheromone == "sync":
             left = moved.where("to.deposit > 0").groupBy("query_id", F.col("to.dst").alias("dst")).agg(F.sum("to.deposit").alias("added"))
@@ -121,7 +125,7 @@ def sampled_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFram
                 level = left.select("query_id", "dst", (1.0 + F.col("added")).alias("pheromone"))
             else:
                 level = level.join(left, ["query_id", "dst"], "full_outer").select("query_id", "dst", (F.when(F.col("pheromone").isNull(), 1.0).otherwise(F.col("pheromone") * params.decay) + F.coalesce("added", F.lit(0.0))).alias("pheromone"))
-            level = level.persist()
+            level = scratch.save(level, f"level-{step}")
         at = moved.select("query_id", "agent_id", F.coalesce("to.dst", "node_id").alias("node_id"))
     return visits.select("query_id", "agent_id", "step", "node_id")
 

@@ -27,6 +27,12 @@ class Graph:
         members = edges.select(F.col("src").alias("node_id")).distinct() if members is None else members
         return Graph(nodes, edges, members, degree, degree.agg(F.avg("degree").alias("avg_degree")))
 
+    def kept(self) -> Graph:
+        """The same graph with its tables cached: every step of a walk reads them."""
+        nodes, edges = self.nodes.persist(), self.edges.persist()
+        degree = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "node_id").persist()
+        return Graph(nodes, edges, self.members.persist(), degree, degree.agg(F.avg("degree").alias("avg_degree")).persist())
+
     def traits(self) -> DataFrame:
         """node_id, vec, relevance, degree (0 without edges), avg_degree."""
         mean = F.broadcast(self.avg_degree)  # one row
@@ -53,7 +59,7 @@ def load_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.of(load_nodes(spark, sf_dir), load_edges(spark, sf_dir))
+    return Graph.of(load_nodes(spark, sf_dir), load_edges(spark, sf_dir)).kept()
 
 
 def load_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
