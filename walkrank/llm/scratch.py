@@ -1,50 +1,5 @@
 """Tables that cut lineage, written to the folder all executors share."""
 
-from __future__ import annotations
+from walkrank.scratch import Scratch, shared_root
 
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="walkrank-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """A folder of intermediate tables for one run of one operator.
-
-    ``save`` writes a frame as Parquet and rereads it: later stages then start
-    from shared files and outlive any executor. Shuffle files of the finished
-    write are released at once, so disk use is that of the largest step.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
-            frame.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
-        return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Removes tables that no later frame reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            with contextlib.suppress(Exception):
-                path.getFileSystem(conf).delete(path, True)
+__all__ = ["Scratch", "shared_root"]
