@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from walkrank.llm.scratch import Scratch
 from walkrank.llm.words import pieces, ragged, run_hashes, split
 
-#: Chunks of a text between these are tokens apart for the tokenizer, whatever stands around them.
+#: For vocabularies with word ends: chunks of a text between these are encoded apart, whatever stands around them.
 _GAPS = np.ones(256, bool)
 _GAPS[[0x20, 0x09, 0x0A, 0x0D]] = False
 
@@ -127,10 +127,15 @@ def _encoded(batches, tokenizer: str, end_id: int | None):
     """Batches with a text column, the offsets of each row's ids, and all ids."""
     coder = _open.get(tokenizer) or _open.setdefault(tokenizer, ChunkIds(tokenizer))
     for batch in pieces(batches, "text"):
-        words = split(batch.column("text"), _GAPS)
-        chunks, of = distinct_runs(words.data, words.starts, words.ends)
-        flat, sizes = joined(coder.of(chunks), of)
-        at = np.concatenate([[0], np.cumsum(sizes)])[words.first]
+        if coder.short:
+            words = split(batch.column("text"), _GAPS)
+            chunks, of = distinct_runs(words.data, words.starts, words.ends)
+            flat, sizes = joined(coder.of(chunks), of)
+            at = np.concatenate([[0], np.cumsum(sizes)])[words.first]
+        else:
+            whole = [e.ids for e in coder.tokenizer.encode_batch([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)]
+            at = np.cumsum([0, *map(len, whole)])
+            flat = np.fromiter((i for ids in whole for i in ids), np.int32, int(at[-1]))
         if end_id is not None:
             flat = np.insert(flat, at[1:], end_id)
             at = at + np.arange(len(at))
