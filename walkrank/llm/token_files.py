@@ -13,11 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from walkrank.llm.scratch import Scratch
-from walkrank.llm.words import pieces, ragged, run_hashes, split
+from walkrank.llm.words import Words, pieces, ragged, run_hashes, split
 
 #: For vocabularies with word ends: chunks of a text between these are encoded apart, whatever stands around them.
 _GAPS = np.ones(256, bool)
 _GAPS[[0x20, 0x09, 0x0A, 0x0D]] = False
+#: What a byte is: in runs of letters, digits and other characters, a gap, or in a chunk that isn't taken apart.
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x27] = _ODD
+_KIND[~_GAPS] = _SPACE
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 #: Chunks of which each worker process keeps the ids.
 CACHE = 200_000
@@ -73,16 +83,19 @@ class ChunkIds:
         return ids
 
     def of(self, chunks: list[bytes]) -> list[bytes]:
-        """The ids of each of some distinct chunks, as 32-bit integers."""
+        """The ids of each of some distinct runs of ``finer``, as 32-bit integers."""
         if len(self.kept) > CACHE:
             self.kept.clear()
         if len(self.words) > CACHE:
             self.words.clear()
-        kept, rest = self.kept, []
+        kept, rest, tokenize = self.kept, [], self.tokenizer.model.tokenize
         for c in chunks:
             if c not in kept:
+                if c.isalnum():  # ASCII letters in lower case, or a digit
+                    kept[c] = array("i", [t.id for t in tokenize(c.decode())]).tobytes()
+                    continue
                 text = c.decode()
-                if self.short and _PLAIN.match(text) and not any(a in text for a in self.added):
+                if _PLAIN.match(text) and not any(a in text for a in self.added):
                     kept[c] = b"".join([self._word(w) for w in _PIECE.findall(text.lower())])
                 else:
                     rest.append(c)
@@ -90,6 +103,42 @@ class ChunkIds:
             kept[c] = array("i", e.ids).tobytes()
         return [kept[c] for c in chunks]
 
+    def finer(self, words: Words) -> Words:
+        """Runs that are encoded apart: letters in lower case, single digits, and other characters of a chunk.
+
+        A chunk with an apostrophe, a letter beyond Latin-1 or the first byte
+        of an added token stays whole, and as it is written.
+        """
+        data, n = words.data, len(words.starts)
+        if not n:
+            return words
+        kind, low = _KIND[data], _LOWER[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)  # of two bytes: U+00C0 to U+00FF
+        second = data[lead + 1]
+        letter = (second != 0x97) & (second != 0xB7)
+        kind[lead[letter]] = kind[lead[letter] + 1] = _LETTER
+        capital = letter & (second < 0x9F)
+        low[lead[capital] + 1] += 0x20
+        odd = kind == _ODD
+        for token in self.added:
+            odd |= data == token.encode()[0]
+        whole = np.unique(np.searchsorted(words.starts, np.flatnonzero(odd), "right") - 1)
+        whole = whole[whole >= 0]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        size = words.ends[whole] - words.starts[whole]
+        at = ragged(words.starts[whole], size)
+        begins[at] = False
+        low[at] = data[at]
+        begins[words.starts] = True
+        begins &= kind != _SPACE
+        starts = np.flatnonzero(begins)
+        of = np.searchsorted(starts, words.starts)
+        ends = np.append(starts[1:], len(data))
+        last = np.append(of[1:], len(starts)) - 1
+        ends[last] = words.ends
+        return Words(low, starts, ends, np.append(of, len(starts))[words.first])
+
 
 def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The distinct byte runs, and the index in them of each run."""
@@ -128,7 +177,7 @@ def _encoded(batches, tokenizer: str, end_id: int | None):
     coder = _open.get(tokenizer) or _open.setdefault(tokenizer, ChunkIds(tokenizer))
     for batch in pieces(batches, "text"):
         if coder.short:
-            words = split(batch.column("text"), _GAPS)
+            words = coder.finer(split(batch.column("text"), _GAPS))
             chunks, of = distinct_runs(words.data, words.starts, words.ends)
             flat, sizes = joined(coder.of(chunks), of)
             at = np.concatenate([[0], np.cumsum(sizes)])[words.first]
