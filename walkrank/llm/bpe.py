@@ -18,7 +18,7 @@ from walkrank.llm.words import NOT_SPACE, offsets, pieces, split
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces and pair tests of which each worker process keeps the outcome.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class PrefixEncoder:
