@@ -213,13 +213,26 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         state = now
 
 
+def _views(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch; lists are views of its buffers, so that sets take 8 bytes a shingle."""
+    columns = []
+    for column in batch.columns:
+        if pa.types.is_list(column.type):
+            at, values = column.offsets.to_pylist(), column.values.to_numpy()
+            columns.append([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+        else:
+            columns.append(column.to_pylist())
+    for row in zip(*columns, strict=True):
+        yield dict(zip(batch.schema.names, row, strict=True))
+
+
 def _meet(percent: int, exact: bool):
     """Queries against targets of a bucket. By sketches: the rows that may have a partner of another class; else exact links."""
 
     def rows(batches) -> Iterator[list[dict]]:
         run, key = [], None
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _views(batch):
                 cell = (row["k"], row["qb"], row["tb"])
                 if cell != key and run:
                     yield run
@@ -249,10 +262,10 @@ def _meet(percent: int, exact: bool):
                 return x
 
             hit, a, b = np.zeros(len(t), bool), [], []
-            sets = {r["doc"]: np.array(r["shingles"], np.int64) for r in cell} if exact else {}
+            sets = {r["doc"]: r["shingles"] for r in cell} if exact else {}
             for i, r in enumerate(q):
                 n = nt + nq[i]
-                own = np.array(r["sketch"], np.int64)
+                own = r["sketch"]
                 far = np.full(len(t), 1 << 60)
                 for at, sketches in blocks:  # sketches of other sizes than these are of sets too far apart in size
                     if sketches.shape[1] == len(own):
