@@ -21,11 +21,42 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.select(*COLUMNS), machine, score="__toxicity").where("__toxicity < 0.5").select(*COLUMNS)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows with __key, one of each group of equal id and text, or of equal texts without an id; __key is null without id and words.
+
+    __key is the id where no id has several texts, else a hash of both, so
+    that each row is a document of its own. Groups collapse by partial
+    aggregates, so a row that is repeated often is no hot spot.
+    """
+    scratch = Scratch(spark, "one-of-each")
+    docs = docs.select(*COLUMNS)
+    digest = F.xxhash64(F.col("text").isNull(), "text")
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi")
+    row = F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text").isNull(), "text")
+    own = F.col("doc_id") if several.isEmpty() else row
+    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), own).when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), row))
+    again = scratch.save(keyed.where("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("c")).where("c > 1").select("__key"), "again")
+    if again.isEmpty():
+        return keyed
+    some = keyed.where("__key IS NOT NULL")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    twice = some.join(again, "__key", "left_semi").groupBy("__key", "doc_id", "text").agg(F.min(F.struct(*rest)).alias("__rest"))
+    once = some.join(again, "__key", "left_anti").unionByName(keyed.where("__key IS NULL"))
+    return scratch.save(once.unionByName(twice.select("__key", "doc_id", "text", "__rest.*")), "rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the smallest id; documents without words or id stay. Rows that share that id all stay."""
-    classes = neardup.link_classes(docs, words=5, percent=80)
-    others = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near duplicates one row: that of the smallest id, or one without an id if none has any.
+
+    Rows are compared by their texts, so rows that share an id or have none
+    are documents of their own, and repeated rows are one. Rows without words
+    are near duplicates of nothing: of those only repeats of an id go.
+    """
+    rows = one_of_each(spark, docs)
+    classes = neardup.link_classes(rows, doc_id="__key", words=5, percent=80).select(F.col("doc_id").alias("__key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")
+    stay = rows.where("__key IS NOT NULL").select("__key", "doc_id").join(classes, "__key").groupBy("component_id").agg(first).select(F.col("first.__key").alias("__key"))
+    return rows.join(stay, "__key", "left_semi").unionByName(rows.where("__key IS NULL")).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,26 @@ def test_run(spark, sf_dir):
         want.add((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
     assert BASE not in [r.text for r in rows[9:]]
+
+
+def test_repeated_rows_and_rows_without_id_keep_one(spark):
+    """Stages 2 and 3 one after the other: what is there twice stays once, whole."""
+    clean, near, other, late = prose(41, 60, 3000), prose(41, 60, 3000) + " end", prose(42, 60, 3000), prose(43, 60, 3000)
+    cases = {
+        "repeated": ([(1, clean), (1, clean), (2, other)], [(1, clean), (2, other)]),
+        "no id": ([(None, clean), (None, clean), (None, near), (None, other)], None),
+        "id and no id": ([(None, clean), (-7, near), (9, clean), (None, late)], [(-7, near), (None, late)]),
+        "several texts of an id": ([(5, clean), (5, other), (5, other + " x"), (3, late), (8, near), (8, near)], None),
+        "no words": ([(None, None), (None, ""), (None, " "), (4, ""), (4, ""), (6, None)], [(None, None), (None, ""), (None, " "), (4, ""), (6, None)]),
+    }
+    for name, (rows, want) in cases.items():
+        docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], COLUMNS).repartition(3)
+        out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        out = corpus_pipeline.drop_repeated_passages(spark, spark.createDataFrame(out.collect(), COLUMNS), "").collect()
+        got = [(r.doc_id, r.text) for r in out]
+        if name == "no id":
+            assert {i for i, _ in got} == {None} and len(got) == 2 and {t for _, t in got} in ({clean, other}, {near, other})
+        elif name == "several texts of an id":
+            assert len(got) == 3 and {(i, t.removesuffix(" x")) for i, t in got} == {(5, clean), (5, other), (3, late)}
+        else:
+            assert sorted(got, key=str) == sorted(want, key=str), name
