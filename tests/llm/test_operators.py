@@ -107,6 +107,17 @@ def test_html(spark):
     assert len(got) == 9 and html_text.extract_text(empty(frame)).count() == 0
 
 
+def test_html_with_drawings_and_formulas():
+    def text(inner):
+        return html_text.main_text(f"<html><body><article><p>First part, before it.</p>{inner}<p>Last part, after it.</p></article></body></html>").split("\n\n")
+
+    ends = ["First part, before it.", "Last part, after it."]
+    for inner in ("<svg/>", '<svg viewBox="0 0 1 1"/>', "<math />", "<svg><svg><text>in</text></svg><text>tail</text></svg>", "<svg><g><text>no end</text>", "<svg><title/><style/><path d='m'/></svg>", "<template><div>a<template><p>b</template>tail</template>", "<svg><foreignObject><div><p>in</div></foreignObject><text>tail</text></svg>"):
+        assert text(inner) == ends, inner
+    assert text("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>") == [ends[0], "Let x=1 be.", ends[1]]
+    assert text("<p>An <svg/>icon <svg><title>t</title></svg>here.</p>") == [ends[0], "An icon here.", ends[1]]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_token_files(spark, docs, name):
     from tokenizers import Tokenizer

@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Elements without text of the article. Fixed value.
-DROPPED = frozenset("script style noscript template head title nav aside footer form button select option textarea input label iframe object embed canvas svg math audio video map dialog menu fieldset".split())
+DROPPED = frozenset("script style noscript template head title nav aside footer form button select option textarea input label iframe object embed canvas svg audio video map dialog menu fieldset".split())
 #: Elements whose end is not written. Fixed value.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup. Fixed value.
-RAW = "script|style|textarea|title|noscript|iframe|template|svg|math|noembed|xmp"
+RAW = "script|style|textarea|title|noscript|iframe|noembed|xmp"
+#: Elements of other kinds of markup, what in them holds HTML again, and what HTML ends them if it begins in them. Fixed value.
+FOREIGN = frozenset("svg math".split())
+POINTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Elements that begin and end a block. Fixed value.
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that hold a paragraph: their points go to what is above. Fixed value.
@@ -31,7 +35,7 @@ WITHIN = frozenset("article body content main post entry story text blog".split(
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>" + RAW + r")\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>(?P<content>.*?</(?P=raw)\s*>|.*\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -84,25 +88,35 @@ def parse(page: str) -> list[Node]:
             up = up.parent
         return node
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, pos):
         if m.start() > pos:
             at.children.append(page[pos : m.start()])
         pos = m.end()
         tag = m["tag"] or m["tag2"]
+        foreign = open_tags["svg"] + open_tags["math"] > 0
+        if foreign and m["raw"] and m["rawattrs"].endswith("/"):
+            pos = m.start("content")  # only there such an element may end itself
         if not tag:
             continue
         tag, attrs = tag.lower(), m["attrs"] or m["attrs2"] or ""
         if m["end"] or m["end2"]:
             if open_tags[tag] > 0:
-                up, block = at, tag in BLOCK
-                while up.tag != tag and (block or up.tag not in BLOCK):
+                up, block = at, tag in BLOCK or tag in FOREIGN or tag == "template"
+                while up.tag != tag and (block or up.tag not in BLOCK) and up.tag != "template":
                     up = up.parent
                 if up.tag == tag:
                     at = leave(up.parent)
             continue
+        while foreign and tag in BREAKS:
+            up = at
+            while up is not root and up.tag not in FOREIGN and up.tag not in POINTS:
+                up = up.parent
+            if up.tag not in FOREIGN:
+                break
+            at = leave(up.parent)
         if tag in BLOCK and open_tags["p"] > 0:
             up = at  # a block ends the paragraph that it begins in, with what is open in it
-            while up is not root and up.tag not in BLOCK:
+            while up is not root and up.tag not in BLOCK and up.tag != "template":
                 up = up.parent
             if up.tag == "p":
                 at = leave(up.parent)
@@ -110,7 +124,7 @@ def parse(page: str) -> list[Node]:
             ends, bounds = CLOSES[tag]
             up, top = at, None
             if any(open_tags[t] > 0 for t in ends):
-                while up is not root and up.tag not in bounds:
+                while up is not root and up.tag not in bounds and up.tag != "template":
                     top = up if up.tag in ends else top
                     up = up.parent
             if top is not None:
