@@ -118,6 +118,23 @@ def test_html_with_drawings_and_formulas():
     assert text("<p>An <svg/>icon <svg><title>t</title></svg>here.</p>") == [ends[0], "An icon here.", ends[1]]
 
 
+def test_html_without_article_element():
+    def text(inner):
+        return html_text.main_text(f"<html><body>{inner}</body></html>").split("\n\n")
+
+    long, more = "A paragraph, with commas, and words enough to count as text of an article.", "Another one, as long, and with some more words in it, to be on the safe side."
+    entry = f"<div class=entry><p>{long}</p><p>{more}</p></div>"
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul>"
+    sources = "<ul><li><a href=a>Source one</a></li><li><a href=b>Source two</a></li></ul>"
+    assert text(f"<div><h1>Title</h1>{entry}</div>") == ["Title", long, more]
+    assert text(f"<h1>Title</h1><div id=page><div>{entry}</div></div>") == ["Title", long, more]
+    assert text(f"{menu}<div><h1>Title</h1>{entry}<h2>Next</h2><p>Short.</p><ul><li>one</li></ul><div><p>Also short.</p></div></div>{menu}") == ["Title", long, more, "Next", "Short.", "one", "Also short."]
+    assert text(f"<div>{entry}<h2>Sources</h2>{sources}</div>") == [long, more, "Sources", "Source one", "Source two"]
+    assert text(f"<article><p>{long}</p>{sources}<p>{more}</p>{sources}</article>{menu}") == [long, "Source one", "Source two", more, "Source one", "Source two"]
+    assert text(f"<div><h1>Title</h1><article><p>{long}</p></article><article><p>Two.</p></article></div>") == ["Title", long, "Two."]
+    assert text(f"<div class=sidebar><p>{more}</p></div>{entry}<div class=comments><p>{long}</p></div>") == [long, more]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_token_files(spark, docs, name):
     from tokenizers import Tokenizer

@@ -1,10 +1,11 @@
-"""Main text of web pages: paragraphs score their ancestors, the best container and its siblings are kept."""
+"""Main text of web pages: paragraphs score their ancestors; the best container's article and what belongs beside it, or else the page, is kept without what surrounds an article."""
 
 from __future__ import annotations
 
 import html
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +26,7 @@ BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that hold a paragraph: their points go to what is above. Fixed value.
 PARAGRAPH = frozenset("p pre td th blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption caption summary address".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an element's start ends, up to an element that bounds it. Fixed value.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tr td th", "table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
@@ -192,6 +194,61 @@ def blocks(root: Node) -> list[tuple[str, Node]]:
     return out
 
 
+def whole_article(article: Node, nodes: list[Node], worth: Callable[[Node], float]) -> Node:
+    """The element of an article and of what belongs to it beside it: a title before it, other articles, longer text."""
+    titled = set()
+    for node in nodes:
+        if node.tag == "h1" and not node.dropped and node.length:
+            while node is not None and node not in titled:
+                titled.add(node)
+                node = node.parent
+    least = max(10.0, 0.2 * worth(article))
+    region = node = article
+    while node.tag not in ("body", "html") and node.parent is not None:
+        before = True
+        for other in node.parent.children:
+            if other is node:
+                before = False
+            elif isinstance(other, Node) and not other.dropped and other.length:
+                text = other.tag == "p" and other.length > 80 and other.linked < 0.25 * other.length
+                if (before and (other.tag in HEADING or other in titled)) or other.tag == "article" or text or worth(other) >= least:
+                    region = node.parent
+        node = node.parent
+    return region
+
+
+def menus(nodes: list[Node], found: list[tuple[str, Node]], core: Node) -> set[Node]:
+    """Elements of little but links before the first or after the last longer text, outside the core, that no heading introduces."""
+    at = {node: i for i, node in enumerate(nodes)}
+    prose = [at[owner] for text, owner in found if len(text) >= 25 and owner.linked <= 0.66 * owner.length]
+    if not prose:
+        return set()
+    last = list(range(len(nodes)))  # of an element, the place of the last element in it
+    for i in range(len(nodes) - 1, 0, -1):
+        up = at[nodes[i].parent]
+        last[up] = max(last[up], last[i])
+    introduced = set()
+    heads = [0]  # before each element
+    for node in nodes:
+        heads.append(heads[-1] + (node.tag in HEADING and not node.dropped and node.length > 0))
+        heading = False
+        for child in node.children:
+            if isinstance(child, str):
+                heading = heading and not child.strip()
+            elif not child.dropped:
+                if heading:
+                    introduced.add(child)
+                heading = child.tag in HEADING
+    kept = range(at[core], last[at[core]] + 1) if core.tag not in ("body", "html", "#root") else ()
+    first, final = min(prose), max(prose)
+    out = set()
+    for i, node in enumerate(nodes):
+        crowd = node.links >= 2 and node.linked > 0.66 * node.length and node.tag in ("ul", "ol", "dl", "div", "section", "table")
+        if crowd and i not in kept and (last[i] < first or i > final) and node not in introduced and heads[last[i] + 1] == heads[i]:
+            out.add(node)
+    return out
+
+
 def main_text(page: str) -> str:
     """The article's blocks, joined by an empty line; empty if there is no text."""
     nodes = parse(page)
@@ -216,23 +273,13 @@ def main_text(page: str) -> str:
     best = max(scored, key=worth, default=None)
     if best is None:  # nothing but short blocks: an article or main part, else all
         best = next((n for kind in ("article", "main", "body") for n in nodes if n.tag == kind and not n.dropped and n.length), nodes[0])
-    up = best
-    while up is not None:  # the article that it is in
-        if up.tag in ("article", "main"):
-            best = up
-            break
-        up = up.parent
-    chosen = {best}
-    if best.tag not in ("main", "body", "html", "#root") and best.parent is not None:
-        least = max(10.0, 0.2 * worth(best))
-        for other in best.parent.children:
-            if isinstance(other, Node) and not other.dropped and other is not best:
-                density = other.linked / max(1, other.length)
-                if worth(other) >= least or (other.tag == "p" and other.length > 80 and density < 0.25):
-                    chosen.add(other)
+    up, article = best, None
+    while up is not None and article is None:
+        article, up = (up if up.tag in ("article", "main") else None), up.parent
+    region = nodes[0] if article is None else whole_article(article, nodes, worth)
+    unlike = menus(nodes, found, article or best)
     for node in nodes:
-        crowd = node.links >= 2 and node.linked > 0.66 * node.length and node.tag in ("ul", "ol", "dl", "div", "section", "table")
-        node.inside = (node in chosen or (node.parent is not None and node.parent.inside)) and not (crowd and node not in chosen)
+        node.inside = (node is region or (node.parent is not None and node.parent.inside)) and node not in unlike
     return "\n\n".join(text for text, owner in found if owner.inside)
 
 
