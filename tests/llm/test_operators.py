@@ -269,6 +269,27 @@ def test_near_duplicates_in_chains(spark, percent):
         assert len({r[2] for r in got}) <= len({r[2] for r in classes(texts)})
 
 
+def test_bands_of_all_partners_meet():
+    for percent in (30, 50, 60, 72, 80, 95):
+        bands = neardup.Bands(percent)
+        for n in range(1, 300):
+            for small in range(-(-n * percent // 100), n):
+                assert bands.of(small) in bands.joined(n) and bands.of(small) in bands.joined(small), (percent, small, n)
+
+
+@pytest.mark.parametrize("percent", [60, 30])
+def test_near_duplicates_of_lower_percents(spark, percent):
+    """Pairs just at the bound of 60 and 30 %, also with sketches of sizes four times apart."""
+    texts, sizes = {}, [(100, 60), (100, 59), (40, 24), (250, 151), (90, 27), (90, 26), (4200, 1300)]
+    for i, (n, m) in enumerate(sizes):
+        words = [f"p{i}x{j}" for j in range(n + 4)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(words[: m + 4])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in neardup.link_classes(frame, percent=percent).collect()}
+    for i, (n, m) in enumerate(sizes):
+        assert (got[2 * i + 1] == 2 * i) == (100 * m >= percent * n), (n, m)
+
+
 def kept_words(texts, window=35):
     rows = [re.findall(SPACE, t or "") for t in texts]
     count = Counter(tuple(w[i : i + window]) for w in rows for i in range(len(w) - window + 1))

@@ -73,9 +73,9 @@ class Bands:
         return d + 1 + int(d * SLACK_SHARE) + 2
 
     def joined(self, n: int) -> list[int]:
-        """The band of a set, and that below if a smaller partner can be there."""
-        band = self.of(n)
-        return [b for b in (band, band - 1) if b >= 0 and self.differ(b) > 0 and (b == band or n * self.percent < 100 * self.edge[band])]
+        """The band of a set, and those below where a smaller partner can be."""
+        band, least = self.of(n), self.of(max(1, -(-n * self.percent // 100)))
+        return [b for b in range(band, least - 1, -1) if b >= 0 and self.differ(b) > 0]
 
 
 def band_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
@@ -174,7 +174,9 @@ def plausible(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
 
     def folded(x: str, y: str):
         half = F.size(y)
-        return F.when(F.size(x) == 2 * half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(x))
+        twice = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+        more = F.aggregate(F.sequence(F.lit(0), (F.size(x) / half).cast("int") - 1), F.array_repeat(F.lit(0).cast("bigint"), half), lambda s, i: F.zip_with(s, F.slice(x, i * half + 1, half), lambda a, b: a.bitwiseXOR(b)))
+        return F.when(F.size(x) == 2 * half, twice).when(F.size(x) > half, more).otherwise(F.col(x))
 
     rows = _both(pairs, traits, "sketch").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     rows = rows.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), folded("sketch_a", "sketch_b").alias("x"), folded("sketch_b", "sketch_a").alias("y"))
@@ -262,18 +264,15 @@ def _meet(percent: int, exact: bool):
                 return x
 
             hit, a, b = np.zeros(len(t), bool), [], []
-            sets = {r["doc"]: r["shingles"] for r in cell} if exact else {}
             for i, r in enumerate(q):
                 n = nt + nq[i]
                 own = r["sketch"]
                 far = np.full(len(t), 1 << 60)
-                for at, sketches in blocks:  # sketches of other sizes than these are of sets too far apart in size
-                    if sketches.shape[1] == len(own):
-                        far[at] = np.bitwise_count(sketches ^ own).sum(axis=1, dtype=np.int64)
-                    elif sketches.shape[1] == 2 * len(own):
-                        far[at] = np.bitwise_count(sketches[:, : len(own)] ^ sketches[:, len(own) :] ^ own).sum(axis=1, dtype=np.int64)
-                    elif 2 * sketches.shape[1] == len(own):
-                        far[at] = np.bitwise_count(sketches ^ own[: len(own) // 2] ^ own[len(own) // 2 :]).sum(axis=1, dtype=np.int64)
+                for at, sketches in blocks:  # the longer ones are folded to the shorter
+                    bits = min(sketches.shape[1], len(own))
+                    if sketches.shape[1] > bits:
+                        sketches = np.bitwise_xor.reduce(sketches.reshape(len(at), -1, bits), axis=1)
+                    far[at] = np.bitwise_count(sketches ^ np.bitwise_xor.reduce(own.reshape(-1, bits), axis=0)).sum(axis=1, dtype=np.int64)
                 near = (ct != cq[i]) & (far * (100 + percent) <= n * (100 - percent)) & (np.minimum(nt, nq[i]) * 100 >= np.maximum(nt, nq[i]) * percent)
                 if not exact:
                     hit |= near
@@ -283,8 +282,10 @@ def _meet(percent: int, exact: bool):
                 for j in np.flatnonzero(near).tolist():
                     x, y = find(int(cq[i])), find(int(ct[j]))
                     if x != y:
-                        common = len(np.intersect1d(sets[r["doc"]], sets[int(ids[j])], assume_unique=True))
-                        if common * (100 + percent) >= int(n[j]) * percent:
+                        # of a doc_id with several texts, rows may pair the sketch of one with the set of another
+                        one, other = r["shingles"], t[j]["shingles"]
+                        common = len(np.intersect1d(one, other, assume_unique=True))
+                        if common * (100 + percent) >= (len(one) + len(other)) * percent:
                             root[x] = y
                             a.append(r["doc"])
                             b.append(int(ids[j]))
