@@ -2,49 +2,69 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders that this process has begun and not released.
+_begun: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one is set in local mode, as in tests; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="walkrank-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)  # False if there is none
+
+
 class Scratch:
     """A folder of intermediate tables for one run of one operator.
 
     ``save`` writes a frame as Parquet and rereads it: later stages then start
     from shared files and outlive any executor. Shuffle files of the finished
-    write are released at once, so disk use is that of the largest step.
+    write are released at once, so disk use is that of the largest step. What
+    a lazy result still reads stays until ``release``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _begun.append(self.path)
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
+    def save(self, frame: DataFrame, name: str, **options: str) -> DataFrame:
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            frame.write.mode("overwrite").parquet(f"{self.path}/{name}")
+            frame.write.mode("overwrite").options(**options).parquet(f"{self.path}/{name}")
         finally:
             self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         """Removes tables that no later frame reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            with contextlib.suppress(Exception):
-                path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, f"{self.path}/{name}")
+
+
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_begun)
+
+
+def release(spark: SparkSession, since: int = 0, keep: Collection[str] = ()) -> None:
+    """Removes the folders begun since a mark, but those to keep: when what reads them has been written elsewhere."""
+    for path in [p for p in _begun[since:] if p not in keep]:
+        _delete(spark, path)
+        _begun.remove(path)
