@@ -18,8 +18,3 @@ def cosine(a: Column | str, b: Column | str, epsilon: float = 1e-8) -> Column:
     """Null without a vector; with epsilon 0, null for a zero vector."""
     size = norm(a) * norm(b) + F.lit(epsilon)
     return dot(a, b) / (size if epsilon else F.nullif(size, F.lit(0.0)))
-
-
-def unit(a: Column | str) -> Column:
-    """The vector at length 1; zero vectors stay."""
-    return F.transform(a, lambda x: x / F.when(norm(a) > 0, norm(a)).otherwise(F.lit(1.0)))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from walkrank.functions.vectors import cosine, dot, unit
+from walkrank.functions.vectors import cosine
 from walkrank.params import Params
 
-#: Queries that one row of nodes meets at a time.
-QUERY_BLOCK = 256
+#: Queries that one row of nodes meets at a time, and nodes that meet them in one cell.
+QUERY_BLOCK, NODE_BLOCK = 2048, 16_384
+#: Scores that are held at a time within a cell.
+_SCORES = 1 << 22
 
 
 def in_blocks(queries: DataFrame, rows: DataFrame, size: int = QUERY_BLOCK) -> DataFrame:
@@ -25,14 +29,42 @@ def in_blocks(queries: DataFrame, rows: DataFrame, size: int = QUERY_BLOCK) -> D
     return q.join(r, ["qb", "rb"]).drop("qb", "rb")
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    rows = np.stack(vectors.to_list()).astype(np.float64)
+    size = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return rows / np.where(size > 0, size, 1.0)[:, None]
+
+
 def top_n(queries: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(query_id, rank, node_id, score): the n nodes of highest cosine; equal scores (to 10 digits) by id. Nodes without a vector take no part.
 
-    Ranks are cut before the shuffle as well as after it.
+    Blocks of queries meet blocks of nodes in a grid whose cells are matrix
+    products of bounded size; each keeps n nodes a query, and a window merges
+    the cells. All vectors have the same number of components.
     """
-    q = queries.where("qvec IS NOT NULL").select("query_id", unit("qvec").alias("q"))
-    r = nodes.where("vec IS NOT NULL").select("node_id", unit("vec").alias("v"))
-    scored = in_blocks(q, r).select("query_id", "node_id", dot("q", "v").alias("score"))
+    q = queries.where("qvec IS NOT NULL").select("query_id", "qvec")
+    r = nodes.where("vec IS NOT NULL").select("node_id", "vec")
+    q_blocks, r_blocks = (max(1, -(-frame.count() // size)) for frame, size in ((q, QUERY_BLOCK), (r, NODE_BLOCK)))
+    r_blocks = max(r_blocks, min(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))))
+    r = r.withColumn("rb", F.pmod(F.xxhash64("node_id"), F.lit(r_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
+
+    def cell(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": [], "node_id": [], "score": []})]
+        if len(asked) and len(known):
+            known = known.sort_values("node_id", kind="stable")
+            ids, vectors, own, step = known.node_id.to_numpy(), _unit(known.vec), _unit(asked.qvec), max(1, _SCORES // len(known))
+            for lo in range(0, len(asked), step):
+                scores = own[lo : lo + step] @ vectors.T
+                for query, row in zip(asked.query_id.to_numpy()[lo : lo + step], scores, strict=True):
+                    ordered = np.round(row, 10)
+                    least = np.partition(ordered, -n)[-n] if len(row) > n else -np.inf
+                    best = np.flatnonzero(ordered >= least)
+                    best = best[np.argsort(-ordered[best], kind="stable")][:n]
+                    parts.append(pd.DataFrame({"query_id": query, "node_id": ids[best], "score": row[best]}))
+        return pd.concat(parts, ignore_index=True)
+
+    scored = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(cell, "query_id bigint, node_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "node_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "rank", "node_id", "score")
 

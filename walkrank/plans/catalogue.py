@@ -12,7 +12,7 @@ from walkrank.functions import heuristics as h
 from walkrank.operators import analysis, metrics, prototype, search, walk
 from walkrank.params import Params, profile
 from walkrank.plans import oracle as o
-from walkrank.plans.retriever import Retriever
+from walkrank.plans.retriever import Retriever, hashing_embedder, without_vectors
 from walkrank.sources import graph as g
 from walkrank.sources import synthetic
 
@@ -143,13 +143,16 @@ def _relevance_walk(params: Params, spark: SparkSession, d: str) -> DataFrame:
 
 _FEW = Params(n_agents=5)
 register("ablation_no_pheromone", o.query(o.relevance_walk(Params()), "SELECT query_id, rank, node_id, round(votes, 6) AS votes FROM res2"))(lambda s, d: _rounded(_relevance_walk(Params(), s, d), "votes"))
-register("ablation_few_agents", o.query(o.sampled(_FEW) + ",\n" + o.ranked(_FEW), _RESULT))(lambda s, d: _rounded(_sampled(_FEW, s, d), "votes", "score"))
+register("walk_sampled_few_agents", o.query(o.sampled(_FEW) + ",\n" + o.ranked(_FEW), _RESULT))(lambda s, d: _rounded(_sampled(_FEW, s, d), "votes", "score"))
 
 
-@register("walk_async")
-def walk_async(spark: SparkSession, d: str) -> DataFrame:
+def _live_walk(params: Params, spark: SparkSession, d: str) -> DataFrame:
     graph = g.load_graph(spark, d)
-    return _rounded(prototype.consensus(prototype.async_votes(g.load_queries(spark, d), graph, Params()), graph, Params()), "votes", "score")
+    return prototype.consensus(prototype.async_votes(g.load_queries(spark, d), graph, params), graph, params)
+
+
+register("walk_async")(lambda s, d: _rounded(_live_walk(Params(), s, d), "votes", "score"))
+register("ablation_few_agents")(lambda s, d: _rounded(_live_walk(_FEW, s, d), "votes", "score"))
 
 
 @register("ground_truth", o.query("", "SELECT query_id, node_id FROM truth"))
@@ -246,17 +249,68 @@ def ab_quartiles(spark: SparkSession, d: str) -> DataFrame:
     return analysis.quartiles(_runs(spark, d))
 
 
-@register("ablation_summary", o.query(_BOTH, f"SELECT method, {', '.join(f'round(avg({m}), 4) AS {m}' for m in ABLATED)} FROM runs GROUP BY method"))
-def ablation_summary(spark: SparkSession, d: str) -> DataFrame:
+@register("ablation_pair", o.query(_BOTH, f"SELECT method, {', '.join(f'round(avg({m}), 4) AS {m}' for m in ABLATED)} FROM runs GROUP BY method"))
+def ablation_pair(spark: SparkSession, d: str) -> DataFrame:
     return analysis.group_means(_runs(spark, d), ABLATED)
 
 
+@register("ablation_summary")
+def ablation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The full walk, that without pheromones, that of five walkers and the greedy flow, over the first ten queries."""
+    runs = {"full": _live_walk(Params(), spark, d), "no_pheromone": _relevance_walk(Params(), spark, d), "few_agents": _live_walk(_FEW, spark, d), "greedy": flow_greedy(spark, d)}
+    rows = analysis.union_runs({name: _metrics(spark, d, found) for name, found in runs.items()})
+    return analysis.ablation(analysis.first_queries(rows, 10), "full")
+
+
+@register("first_queries_topn", o.query(o.pool(30), "SELECT query_id, rank, node_id, round(score, 6) AS score FROM pool WHERE query_id IN (SELECT query_id FROM queries ORDER BY query_id LIMIT 3)"))
+def first_queries_topn(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(search.top_n(analysis.first_queries(g.load_queries(spark, d), 3), g.load_nodes(spark, d), 30), "score")
+
+
+@register("questions_by_split", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
+def questions_by_split(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of users are questions that people wrote."""
+    asked = g.read(spark, d, "conversations").withColumn("human", F.col("role") == "user")
+    return g.split_questions(asked, human=True).select("conv_id", "turn", "text")
+
+
+_EMBEDDED = f"""WITH t AS (SELECT DISTINCT text FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT text, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS w FROM t),
+s AS (SELECT text, {o.draw("w")} % 128 AS spot FROM w),
+c AS (SELECT text, spot % 64 AS i, sum(CASE WHEN spot < 64 THEN 1e0 ELSE -1e0 END) AS c FROM s GROUP BY 1, 2),
+n AS (SELECT text, sqrt(sum(c * c)) AS size FROM c GROUP BY 1)
+SELECT item_id, CAST(i AS BIGINT) AS dim, round(c / size, 6) AS value FROM benchmark JOIN c USING (text) JOIN n USING (text) WHERE c <> 0"""
+
+
+@register("embed_texts", _EMBEDDED)
+def embed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each different text of the items is embedded once; components that aren't zero."""
+    items = g.read(spark, d, "benchmark").where("text IS NOT NULL")
+    vectors = hashing_embedder(64)(items.select("text").distinct())
+    rows = items.join(vectors, "text").select("item_id", F.posexplode("qvec").alias("dim", "value"))
+    return rows.where("value <> 0").select("item_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@register("rejected_queries", "SELECT vec_id AS query_id FROM embeddings LEFT JOIN part ON p_partkey = vec_id WHERE vec_id % 100 = 0 AND (p_size IS NULL OR p_size > 25)")
+def rejected_queries(spark: SparkSession, d: str) -> DataFrame:
+    """A batch in which only queries of small parts have a vector: the others are named, and don't stop it."""
+    small = g.read(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("query_id"))
+    vectors = g.load_queries(spark, d).join(small, "query_id", "left_semi")
+    return without_vectors(g.load_queries(spark, d).select("query_id"), vectors)
+
+
+@register("h_relation", f"WITH {o.kb(DOCS, SEED)},\n" + o.kb_graph(DOCS, SEED).replace("SELECT src, dst, relation, weight FROM near UNION ALL", ", edges AS (SELECT src, dst, relation FROM near UNION ALL").replace(f"'cites_hub', round(0.7e0 + 0.3e0 * {o.uniform(str(SEED), 'src', 'dst', chr(39) + 'hub_weight' + chr(39))}, 9)", "'cites_hub'") + ")\nSELECT src, dst, CASE relation WHEN 'cites' THEN 1e0 WHEN 'extends' THEN 0.8e0 ELSE 0.5e0 END AS value FROM edges")
+def h_relation(spark: SparkSession, d: str) -> DataFrame:
+    edges = synthetic.graph(synthetic.documents(spark, DOCS, SEED), DOCS, SEED)
+    return edges.select("src", "dst", h.relation_preference({"cites": 1.0, "extends": 0.8})().alias("value"))
+
+
 @register("kb_documents", f"WITH {o.kb(DOCS, SEED)} SELECT * FROM docs")
 def kb_documents(spark: SparkSession, d: str) -> DataFrame:
     return synthetic.documents(spark, DOCS, SEED)
 
 
-@register("kb_graph")
+@register("kb_graph", f"WITH {o.kb(DOCS, SEED)},\n{o.kb_graph(DOCS, SEED)}")
 def kb_graph(spark: SparkSession, d: str) -> DataFrame:
     return synthetic.graph(synthetic.documents(spark, DOCS, SEED), DOCS, SEED)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from walkrank.params import Params
 from walkrank.sources.graph import QUERY_EVERY
-from walkrank.sources.synthetic import FORMS, TOPICS
+from walkrank.sources.synthetic import FORMS, RELATIONS, TOPICS
 
 
 def draw(*parts: str) -> str:
@@ -168,10 +168,9 @@ def between(low: int, high: int, *parts: str) -> str:
 def kb(n: int, seed: int) -> str:
     i, s = "doc", str(seed)
     u = uniform(s, i, "'relevance'")
-    forms = " ".join(f"WHEN {k} THEN printf('{text.replace('%1$s', '%s').replace('%2$d', '%d')}', topic{', percent' if '%2$d' in text else ''})" for k, text in enumerate(FORMS))
-    title = "array_to_string(list_transform(string_split(topic, ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
-    return f"""docs0 AS (SELECT doc, {choice(TOPICS, s, i, "'topic'")} AS topic, {between(10, 50, s, i, "'percent'")} AS percent FROM (SELECT unnest(range({n})) AS doc)),
-docs AS MATERIALIZED (SELECT doc, 'doc_' || doc AS id, {title} || ' Research Paper ' || doc AS title, CASE {draw(s, i, "'form'")} % {len(FORMS)} {forms} END AS content, topic,
+    forms = " ".join(f"WHEN {k} THEN printf('{text.replace('%1$s', '%s').replace('%2$d', '%d')}', topic{', number' if '%2$d' in text else ''})" for k, text in enumerate(FORMS))
+    return f"""docs0 AS (SELECT doc, {choice(TOPICS, s, i, "'topic'")} AS topic, {between(1, 99, s, i, "'number'")} AS number FROM (SELECT unnest(range({n})) AS doc)),
+docs AS MATERIALIZED (SELECT doc, 'doc_' || doc AS id, topic || ' ' || doc AS title, CASE {draw(s, i, "'form'")} % {len(FORMS)} {forms} END AS content, topic,
   {between(0, 500, s, i, "'citations'")} AS citations, {between(2015, 2024, s, i, "'year'")} AS year, {between(1, 8, s, i, "'authors'")} AS authors,
   round(CASE WHEN {uniform(s, i, "'good'")} > 0.3e0 THEN 0.3e0 + 0.7e0 * {u} ELSE 0.1e0 + 0.2e0 * {u} END, 9) AS relevance FROM docs0)"""
 
@@ -186,3 +185,20 @@ ask AS MATERIALIZED (SELECT query_id, kind, {names}[a + 1] AS topic1, {names}[(a
 def kb_truth(kind: str) -> str:
     on = {"two_topic": "d.topic IN (a.topic1, a.topic2)", "topic_year": "d.topic = a.topic1 AND d.year > a.after", "topic": "d.topic = a.topic1"}[kind]
     return f"SELECT query_id, node_id FROM (SELECT a.query_id, d.doc AS node_id, count(*) OVER (PARTITION BY a.query_id) AS c, row_number() OVER (PARTITION BY a.query_id ORDER BY d.doc) AS i FROM ask a JOIN docs d ON a.kind = '{kind}' AND {on} AND d.relevance > 0.6e0) WHERE c >= 2 AND i <= 10"
+
+
+def kb_graph(n: int, seed: int, tries: int = 8) -> str:
+    s, hubs = str(seed), max(3, n // 50)
+    names = f"[{', '.join(repr(t) for t in TOPICS)}]"
+    return f"""place AS (SELECT doc, topic, row_number() OVER (PARTITION BY topic ORDER BY doc) - 1 AS place FROM docs),
+sizes AS (SELECT topic AS wanted, count(*) AS size FROM docs GROUP BY 1),
+tries AS (SELECT doc, topic, {between(2, 6, s, "doc", "'degree'")} AS k, unnest(range({2 * tries})) AS t FROM docs),
+aims AS (SELECT *, t < {tries} AS same, CASE WHEN t < {tries} THEN topic ELSE list_filter({names}, lambda x: x <> topic)[{draw(s, "doc", "t", "'other'")} % {len(TOPICS) - 1} + 1] END AS wanted FROM tries),
+spots AS (SELECT a.*, {draw(s, "doc", "t", "'target'")} % size AS place FROM aims a JOIN sizes USING (wanted)),
+hits AS (SELECT a.doc, p.doc AS dst, a.same, a.k, min(a.t) AS t FROM spots a JOIN place p ON p.topic = a.wanted AND p.place = a.place WHERE p.doc <> a.doc GROUP BY ALL),
+kept AS (SELECT doc, dst FROM (SELECT *, row_number() OVER (PARTITION BY doc, same ORDER BY t) AS nth FROM hits) WHERE nth <= CASE WHEN same THEN k // 2 ELSE k - k // 2 END),
+near AS (SELECT doc AS src, dst, {choice(RELATIONS, s, "doc", "dst", "'relation'")} AS relation, round(0.3e0 + 0.7e0 * {uniform(s, "doc", "dst", "'weight'")}, 9) AS weight FROM kept),
+hubs AS (SELECT h, {draw(s, "h", "'hub'")} % {n} AS dst FROM (SELECT unnest(range({hubs})) AS h)),
+far AS (SELECT d.doc AS src, h.dst FROM docs d JOIN hubs h ON h.h = {draw(s, "d.doc", "'which'")} % {hubs} WHERE {uniform(s, "d.doc", "'to_hub'")} > 0.7e0 AND d.doc NOT IN (SELECT dst FROM hubs) AND d.doc <> h.dst)
+SELECT src, dst, relation, weight FROM near UNION ALL
+SELECT src, dst, 'cites_hub', round(0.7e0 + 0.3e0 * {uniform(s, "src", "dst", "'hub_weight'")}, 9) FROM far WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.src = far.src AND near.dst = far.dst)"""

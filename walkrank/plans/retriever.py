@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from walkrank.functions.rng import draw
 from walkrank.operators import walk
 from walkrank.params import Params, profile
 from walkrank.sources.graph import Graph
@@ -34,7 +35,7 @@ class Retriever:
         self.close()
 
     def close(self) -> None:
-        self.graph.nodes.sparkSession.catalog.clearCache()
+        self.graph.release()
 
     def retrieve(self, queries: DataFrame, **changes) -> DataFrame:
         """(query_id, rank, node_id, votes, score) for queries(query_id, qvec), at most ``top_k`` a query; none for queries without a pool or vector. Changed settings hold for this call; None keeps them."""
@@ -51,6 +52,11 @@ class Retriever:
         return self.retrieve(texts.join(vectors, "text").select("query_id", "qvec"), **changes)
 
 
+    def rejected(self, queries: DataFrame) -> DataFrame:
+        """Queries that ``retrieve`` has no rows for because they have no vector: a batch goes on without them."""
+        return queries.where("qvec IS NULL").select("query_id").distinct()
+
+
 def without_vectors(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Queries for which there is no vector."""
     return queries.join(vectors.where("qvec IS NOT NULL"), "query_id", "left_anti")
@@ -68,14 +74,16 @@ def lookup_embedder(vectors: DataFrame) -> Embedder:
 
 
 def hashing_embedder(dims: int = 64) -> Embedder:
-    """Signed counts of hashed words at length 1: an offline stand-in for a remote model, in SQL functions."""
+    """Signed counts of hashed words at length 1, zeros without words: an offline stand-in for a remote model, in SQL functions."""
 
     def embed(texts: DataFrame) -> DataFrame:
-        words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        spots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dims)))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.size(F.filter(spots, lambda s: s == i)) - F.size(F.filter(spots, lambda s: s == i + dims))).cast("double"))
-        rows = texts.select("text", counts.alias("v"))
-        size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-        return rows.select("text", F.transform("v", lambda x: x / F.when(size > 0, size).otherwise(1.0)).alias("qvec"))
+        words = texts.select("text", F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("w"))
+        spot = F.pmod(draw(F.col("w")), F.lit(2 * dims))
+        counts = words.groupBy("text", F.pmod(spot, F.lit(dims)).alias("i")).agg(F.sum(F.when(spot < dims, 1.0).otherwise(-1.0)).alias("c"))
+        found = counts.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
+        size = F.when(F.col("size") > 0, F.col("size")).otherwise(1.0)
+        vector = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("__size"))
+        found = found.withColumn("__size", size).select("text", vector.alias("qvec"))
+        return texts.select("text").distinct().join(found, "text", "left").withColumn("qvec", F.coalesce("qvec", F.array_repeat(F.lit(0.0), dims)))
 
     return embed

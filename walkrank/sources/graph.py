@@ -33,6 +33,11 @@ class Graph:
         degree = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "node_id").persist()
         return Graph(nodes, edges, self.members.persist(), degree, degree.agg(F.avg("degree").alias("avg_degree")).persist())
 
+    def release(self) -> None:
+        """Ends the caching of its own tables."""
+        for frame in (self.nodes, self.edges, self.members, self.degree, self.avg_degree):
+            frame.unpersist()
+
     def traits(self) -> DataFrame:
         """node_id, vec, relevance, degree (0 without edges), avg_degree."""
         mean = F.broadcast(self.avg_degree)  # one row
@@ -70,7 +75,10 @@ def load_truth(spark: SparkSession, sf_dir: str, most: int = 10, least: int = 2)
     """(query_id, node_id): nodes of the query's label with relevance over 0.6, the first ``most`` by id, of queries with ``least`` at least."""
     nodes = load_nodes(spark, sf_dir)
     asked = nodes.where(F.col("node_id") % QUERY_EVERY == 0).select(F.col("node_id").alias("query_id"), "label")
-    return first_truths(nodes.where("relevance > 0.6").join(asked, "label").where("node_id <> query_id").select("query_id", "node_id"), most, least)
+    # of a label only the first nodes can be truths, one more should a query be among them: few rows meet the queries
+    by_label = F.row_number().over(Window.partitionBy("label").orderBy("node_id"))
+    first = nodes.where("relevance > 0.6").select("label", "node_id").withColumn("i", by_label).where(F.col("i") <= max(most, least) + 1)
+    return first_truths(first.join(asked, "label").where("node_id <> query_id").select("query_id", "node_id"), most, least)
 
 
 def first_truths(found: DataFrame, most: int = 10, least: int = 2) -> DataFrame:

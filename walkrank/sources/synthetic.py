@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from walkrank.sources.graph import first_truths
 
 #: Topics of documents. Fixed values.
 TOPICS = ["machine learning", "quantum physics", "biochemistry", "climate science", "neuroscience", "economics", "astronomy", "genetics", "renewable energy", "cryptography"]
-#: Forms of a document's text, with places for the topic and a percentage. Own wording.
-FORMS = ["A study of %1$s with new methods, %2$d%% better than before.", "New directions in %1$s, tested on several data sets.", "A common theory of %1$s, with bounds and proofs.", "A survey of %1$s that questions what was assumed."]
+#: Forms of a document's text, for callers without their own: the topic, and a number where one is asked for.
+FORMS = ("Lecture notes: %1$s.", "Glossary of %1$s with %2$d entries.", "%1$s, exercise sheet %2$d.")
 RELATIONS = ["cites", "related", "extends"]
 
 
@@ -23,17 +25,17 @@ def _between(low: int, high: int, *parts) -> Column:
     return (F.pmod(draw(*parts), F.lit(high - low + 1)) + low).cast("int")
 
 
-def documents(spark: SparkSession, n: int = 500, seed: int = 42) -> DataFrame:
-    """(doc, id, title, content, topic, citations, year, authors, relevance): seven in ten have a relevance of 0.3 to 1, the others 0.1 to 0.3."""
+def documents(spark: SparkSession, n: int = 500, seed: int = 42, forms: Sequence[str] = FORMS) -> DataFrame:
+    """``n`` documents, whatever tables there are: (doc, id, title, content, topic, citations, year, authors, relevance): seven in ten have a relevance of 0.3 to 1, the others 0.1 to 0.3."""
     i = F.col("doc")
     rows = spark.range(n).withColumnRenamed("id", "doc").withColumn("topic", _choice(TOPICS, seed, i, "topic"))
     u = uniform(seed, i, "relevance")
     relevance = F.when(uniform(seed, i, "good") > 0.3, 0.3 + 0.7 * u).otherwise(0.1 + 0.2 * u)
-    form = F.pmod(draw(seed, i, "form"), F.lit(len(FORMS)))
+    form = F.pmod(draw(seed, i, "form"), F.lit(len(forms)))
     content = F.lit(None).cast("string")
-    for k, text in enumerate(FORMS):
-        content = F.when(form == k, F.format_string(text, F.col("topic"), _between(10, 50, seed, i, "percent"))).otherwise(content)
-    return rows.select("doc", F.concat(F.lit("doc_"), i.cast("string")).alias("id"), F.concat(F.initcap("topic"), F.lit(" Research Paper "), i.cast("string")).alias("title"), content.alias("content"), "topic", _between(0, 500, seed, i, "citations").alias("citations"), _between(2015, 2024, seed, i, "year").alias("year"), _between(1, 8, seed, i, "authors").alias("authors"), F.round(relevance, 9).alias("relevance"))
+    for k, text in enumerate(forms):
+        content = F.when(form == k, F.format_string(text, F.col("topic"), _between(1, 99, seed, i, "number"))).otherwise(content)
+    return rows.select("doc", F.concat(F.lit("doc_"), i.cast("string")).alias("id"), F.concat("topic", F.lit(" "), i.cast("string")).alias("title"), content.alias("content"), "topic", _between(0, 500, seed, i, "citations").alias("citations"), _between(2015, 2024, seed, i, "year").alias("year"), _between(1, 8, seed, i, "authors").alias("authors"), F.round(relevance, 9).alias("relevance"))
 
 
 def graph(docs: DataFrame, n: int, seed: int = 42, tries: int = 8) -> DataFrame:
@@ -93,5 +95,5 @@ def questions(spark: SparkSession, n: int = 50, seed: int = 42) -> DataFrame:
     first, step = F.pmod(draw(seed, i, "first"), F.lit(len(TOPICS))), F.pmod(draw(seed, i, "second"), F.lit(len(TOPICS) - 1)) + 1
     names = F.array(*map(F.lit, TOPICS))
     rows = rows.withColumn("topic1", F.element_at(names, (first + 1).cast("int"))).withColumn("topic2", F.element_at(names, (F.pmod(first + step, F.lit(len(TOPICS))) + 1).cast("int"))).withColumn("topic", F.col("topic1")).withColumn("after", _between(2018, 2023, seed, i, "after"))
-    text = F.when(F.col("kind") == "two_topic", F.format_string("What links %s and %s?", "topic1", "topic2")).when(F.col("kind") == "topic_year", F.format_string("Papers on %s after %d", "topic", "after")).otherwise(F.format_string("Good papers on %s", "topic"))
+    text = F.when(F.col("kind") == "two_topic", F.concat_ws(" ", "topic1", "topic2")).when(F.col("kind") == "topic_year", F.concat_ws(" ", "topic", F.col("after").cast("string"))).otherwise(F.col("topic"))
     return rows.withColumn("text", text)

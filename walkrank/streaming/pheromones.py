@@ -14,9 +14,9 @@ def windowed_deposits(visits: DataFrame, window: str = "1 hour", late: str = "10
     return sums.select(F.col("window.start").alias("window_start"), "node_id", "deposit")
 
 
-def levels(deposits: DataFrame, decay: float = 0.5) -> DataFrame:
-    """(node_id, pheromone): each window's deposits, decayed by the number of windows up to the last of all."""
-    order = deposits.select("window_start").distinct()
-    last = F.broadcast(order.agg(F.max("window_start").alias("last")))  # one row
-    span = deposits.join(last).withColumn("age", (F.unix_timestamp("last") - F.unix_timestamp("window_start")) / 3600.0)
-    return span.groupBy("node_id").agg(F.sum(F.col("deposit") * F.pow(F.lit(decay), "age")).alias("pheromone"))
+def levels(deposits: DataFrame, decay: float = 0.5, window: str = "1 hour") -> DataFrame:
+    """(node_id, pheromone): each window's deposits, decayed once for every window of that length up to the last of all."""
+    last = F.broadcast(deposits.agg(F.max("window_start").alias("last")))  # one row
+    length = F.unix_micros(F.to_timestamp(F.lit("1970-01-01 00:00:00")) + F.expr(f"INTERVAL {window}")) - F.unix_micros(F.to_timestamp(F.lit("1970-01-01 00:00:00")))
+    age = (F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("window_start").cast("timestamp"))) / length
+    return deposits.join(last).withColumn("age", age).groupBy("node_id").agg(F.sum(F.col("deposit") * F.pow(F.lit(decay), "age")).alias("pheromone"))
