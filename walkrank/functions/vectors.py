@@ -14,7 +14,7 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column | str, b: Column | str, epsilon: float = 1e-8) -> Column:
-    """Null without a vector; with epsilon 0, null for a zero vector."""
-    size = norm(a) * norm(b) + F.lit(epsilon)
+def cosine(a: Column | str, b: Column | str, epsilon: float = 1e-8, sizes: tuple[str, str] | None = None) -> Column:
+    """Null without a vector; with epsilon 0, null for a zero vector. ``sizes`` names columns that hold the norms already."""
+    size = (F.col(sizes[0]) * F.col(sizes[1]) if sizes else norm(a) * norm(b)) + F.lit(epsilon)
     return dot(a, b) / (size if epsilon else F.nullif(size, F.lit(0.0)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from walkrank.functions import heuristics as h
 from walkrank.functions.rng import uniform, uniform_py
 from walkrank.functions.vectors import cosine
-from walkrank.operators.search import top_n
+from walkrank.operators.search import sized, top_n
 from walkrank.operators.walk import pick, quantised, sampled_starts
 from walkrank.params import Params
 from walkrank.scratch import Scratch
@@ -90,9 +90,9 @@ def async_votes(queries: DataFrame, graph: Graph, params: Params, movement: dict
     for step in range(params.steps - 1):
         near = scratch.save(near.join(graph.edges, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id")).distinct(), f"near-{step}")
         reach = reach.unionByName(near).distinct()
-    traits = graph.nodes.select(F.col("node_id").alias("dst"), "vec", F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
-    edges = reach.join(graph.edges, F.col("node_id") == F.col("src")).join(traits, "dst").join(queries.select("query_id", "qvec"), "query_id")
-    edges = edges.select("query_id", "src", "dst", "relevance", F.coalesce(cosine("qvec", "vec", 0.0), F.lit(0.0)).alias("cos"))
+    traits = graph.nodes.select(F.col("node_id").alias("dst"), "vec", "size", F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
+    edges = reach.join(graph.edges, F.col("node_id") == F.col("src")).join(traits, "dst").join(sized(queries), "query_id")
+    edges = edges.select("query_id", "src", "dst", "relevance", F.coalesce(cosine("qvec", "vec", 0.0, ("qsize", "size")), F.lit(0.0)).alias("cos"))
     edges = scratch.save(edges, "edges")
     n, steps, decay = params.n_agents, params.steps, params.decay
 

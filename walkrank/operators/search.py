@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from walkrank.functions.vectors import cosine
+from walkrank.functions.vectors import cosine, norm
 from walkrank.params import Params
 
 #: Queries that one row of nodes meets at a time, and nodes that meet them in one cell.
@@ -92,7 +92,12 @@ def starts(queries: DataFrame, graph, params: Params) -> DataFrame:
     return drop_zone(members_of_pool(top_n(queries, graph.nodes, params.initial_pool_size), graph.members), params)
 
 
+def sized(queries: DataFrame) -> DataFrame:
+    """query_id, qvec and qsize, its norm: formed once a query, not once a pair."""
+    return queries.select("query_id", "qvec", norm("qvec").alias("qsize"))
+
+
 def similarity(pairs: DataFrame, queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (query_id, node_id, ...) with cos; null where a vector is missing."""
-    rows = pairs.join(nodes.select("node_id", "vec"), "node_id", "left").join(queries.select("query_id", "qvec"), "query_id", "left")
-    return rows.withColumn("cos", cosine("qvec", "vec")).drop("vec", "qvec")
+    rows = pairs.join(nodes.select("node_id", "vec", "size"), "node_id", "left").join(sized(queries), "query_id", "left")
+    return rows.withColumn("cos", cosine("qvec", "vec", sizes=("qsize", "size"))).drop("vec", "qvec", "size", "qsize")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from walkrank.functions import heuristics as h
 from walkrank.functions.rng import uniform
 from walkrank.functions.vectors import cosine
-from walkrank.operators.search import similarity, starts
+from walkrank.operators.search import similarity, sized, starts
 from walkrank.params import Params
 from walkrank.scratch import Scratch
 from walkrank.sources.graph import Graph
@@ -23,9 +23,9 @@ def node_weights(pairs: DataFrame, queries: DataFrame, graph: Graph, params: Par
     The weight doesn't depend on where the walker stands, so it is formed once
     for each different pair.
     """
-    traits = graph.traits().where("vec IS NOT NULL").select("node_id", "vec", "degree", "avg_degree", "relevance")
-    rows = pairs.join(traits, "node_id").join(queries.select("query_id", "qvec"), "query_id")
-    rows = rows.withColumn("cos", cosine("qvec", "vec")).withColumn("pheromone", F.lit(0.0)).withColumn("max_pheromone", F.lit(1.0))
+    traits = graph.traits().where("vec IS NOT NULL").select("node_id", "vec", "size", "degree", "avg_degree", "relevance")
+    rows = pairs.join(traits, "node_id").join(sized(queries), "query_id")
+    rows = rows.withColumn("cos", cosine("qvec", "vec", sizes=("qsize", "size"))).withColumn("pheromone", F.lit(0.0)).withColumn("max_pheromone", F.lit(1.0))
     return rows.select("query_id", "node_id", F.greatest(h.weighted(params.movement), F.lit(params.floor)).alias("w"))
 
 
@@ -105,10 +105,10 @@ def sampled_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFram
     at = scratch.save(sampled_starts(starts(queries, graph, params), params), "0")
     visits = at.withColumn("step", F.lit(0))
     level = None
-    traits = graph.traits().where("vec IS NOT NULL").select(F.col("node_id").alias("dst"), "vec", "degree", "avg_degree", "relevance")
+    traits = graph.traits().where("vec IS NOT NULL").select(F.col("node_id").alias("dst"), "vec", "size", "degree", "avg_degree", "relevance")
     for step in range(1, params.steps + 1):
-        hops = at.join(graph.edges, F.col("node_id") == F.col("src"), "left").join(traits, "dst", "left").join(queries.select("query_id", "qvec"), "query_id")
-        hops = hops.withColumn("cos", cosine("qvec", "vec")).withColumn("step", F.lit(step)).drop("vec", "qvec")
+        hops = at.join(graph.edges, F.col("node_id") == F.col("src"), "left").join(traits, "dst", "left").join(sized(queries), "query_id")
+        hops = hops.withColumn("cos", cosine("qvec", "vec", sizes=("qsize", "size"))).withColumn("step", F.lit(step)).drop("vec", "qvec", "size", "qsize")
         if level is None:
             hops = hops.withColumn("pheromone", F.lit(0.0)).withColumn("max_pheromone", F.lit(1.0))
         else:

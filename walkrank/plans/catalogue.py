@@ -86,8 +86,8 @@ def _heuristic(name: str, value, spark: SparkSession, d: str) -> DataFrame:
     graph = g.load_graph(spark, d)
     marks = g.read(spark, d, "part").select(F.col("p_partkey").alias("node_id"), (F.col("p_size") / 10.0).alias("pheromone"))
     top = F.broadcast(marks.join(graph.nodes, "node_id", "left_semi").agg(F.max("pheromone").alias("max_pheromone")))
-    rows = search.in_blocks(g.load_queries(spark, d), graph.traits().join(marks, "node_id", "left").join(top))
-    rows = rows.withColumn("cos", search.cosine("qvec", "vec")).withColumns({"agent_id": F.lit(3), "step": F.lit(2), "dst": F.col("node_id"), "votes": F.col("degree").cast("double"), "n_agents": F.lit(20)})
+    rows = search.in_blocks(search.sized(g.load_queries(spark, d)), graph.traits().join(marks, "node_id", "left").join(top))
+    rows = rows.withColumn("cos", search.cosine("qvec", "vec", sizes=("qsize", "size"))).withColumns({"agent_id": F.lit(3), "step": F.lit(2), "dst": F.col("node_id"), "votes": F.col("degree").cast("double"), "n_agents": F.lit(20)})
     return rows.select("query_id", "node_id", F.round(value(), 6).alias("value"))
 
 

@@ -7,13 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from walkrank.functions.vectors import norm
+
 #: Every row whose id this divides is a query.
 QUERY_EVERY = 100
 
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes(node_id, vec, node_type, relevance), edges(src, dst), members(node_id), degree(node_id, degree). ``avg_degree`` is the mean over nodes with edges."""
+    """nodes(node_id, vec, node_type, relevance; ``of`` adds size, the vector's norm), edges(src, dst), members(node_id), degree(node_id, degree). ``avg_degree`` is the mean over nodes with edges."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -25,6 +27,7 @@ class Graph:
     def of(nodes: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> Graph:
         degree = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "node_id")
         members = edges.select(F.col("src").alias("node_id")).distinct() if members is None else members
+        nodes = nodes if "size" in nodes.columns or "vec" not in nodes.columns else nodes.withColumn("size", norm("vec"))
         return Graph(nodes, edges, members, degree, degree.agg(F.avg("degree").alias("avg_degree")))
 
     def kept(self) -> Graph:
@@ -39,7 +42,7 @@ class Graph:
             frame.unpersist()
 
     def traits(self) -> DataFrame:
-        """node_id, vec, relevance, degree (0 without edges), avg_degree."""
+        """node_id, vec, size, relevance, degree (0 without edges), avg_degree."""
         mean = F.broadcast(self.avg_degree)  # one row
         return self.nodes.join(self.degree, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).join(mean)
 
