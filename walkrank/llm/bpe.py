@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkrank.llm.token_files import byte_alphabet, distinct_runs, joined
+from walkrank.llm.token_files import LONGEST, Kept, byte_alphabet, distinct_runs, joined
+from walkrank.llm.scratch import bounded
 from walkrank.llm.words import NOT_SPACE, offsets, pieces, split
 
 #: The pattern of byte-level vocabularies that splits a text before pairs are merged. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces and pair tests of which each worker process keeps the outcome.
-CACHE = 200_000
+#: Pair tests of which each worker process keeps the outcome.
+TESTS = 200_000
 
 
 class PrefixEncoder:
@@ -66,8 +67,7 @@ class PrefixEncoder:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda t: [t]
         self.fits: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.words, self.chunks = Kept(), Kept()
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging by rank leaves a boundary between tokens a and b that stand side by side.
@@ -113,13 +113,18 @@ class PrefixEncoder:
             else:
                 until, y = 2 * rank[y] + 1, self.left[y]
 
-    def word(self, piece: str) -> tuple[int, ...]:
-        """The ids of one piece of the pattern."""
+    def word(self, piece: str) -> bytes:
+        """The ids of one piece of the pattern, as unsigned 32-bit integers."""
         if (ids := self.words.get(piece)) is not None:
             return ids
         alphabet, length, fits = self.alphabet, self.length, self.fits
         mapped = "".join([alphabet[b] for b in piece.encode()])
-        last = [-1] * (len(mapped) + 1)
+        token = self.automaton.get(mapped, -1)
+        if token >= 0 and self.whole(token):  # the last token of the longest prefix, with nothing before it
+            ids = array("I", [token]).tobytes()
+            self.words.put(piece, ids)
+            return ids
+        last = [-1] * (len(mapped) + 1) if len(mapped) <= LONGEST else array("i", [-1]) * (len(mapped) + 1)
         for end, token in self.automaton.iter(mapped):
             if last[end + 1] >= 0:
                 continue
@@ -134,31 +139,22 @@ class PrefixEncoder:
                     ok = fits[key] = self.whole(token) and self.compatible(before, token)
                 if ok:
                     last[end + 1] = token
-        ids, at = [], len(mapped)
+        ids, at = array("I"), len(mapped)
         while at > 0:
             ids.append(last[at])
             at -= length[last[at]]
-        ids = self.words[piece] = tuple(reversed(ids))
+        ids.reverse()
+        ids = ids.tobytes()
+        self.words.put(piece, ids)
         return ids
 
-    def trim(self) -> None:
-        for kept in (self.words, self.chunks, self.fits):
-            if len(kept) > CACHE:
-                kept.clear()
-
-    def chunk(self, text: str) -> list[int]:
+    def chunk(self, text: str) -> bytes:
         """The ids of a text without added tokens."""
-        return [i for piece in self.split(text) for i in self.word(piece)]
+        return b"".join([self.word(piece) for piece in self.split(text)])
 
-    def text(self, text: str) -> list[int]:
+    def text(self, text: str) -> bytes:
         """The ids of any text; added tokens in it count as such."""
-        ids: list[int] = []
-        for part in self.split_added(text):
-            if part in self.added:
-                ids.append(self.added[part])
-            elif part:
-                ids.extend(self.chunk(part))
-        return ids
+        return b"".join([array("I", [self.added[part]]).tobytes() if part in self.added else self.chunk(part) for part in self.split_added(text)])
 
 
 _open: dict[str, PrefixEncoder] = {}
@@ -214,19 +210,21 @@ def _encode_batch(coder: PrefixEncoder, column: pa.Array) -> tuple[np.ndarray, n
     order = np.argsort(runs_s, kind="stable")
     runs_s, runs_e, runs_r = runs_s[order], runs_e[order], runs_r[order]
     chunks, of = distinct_runs(data, runs_s, runs_e)
-    coder.trim()
+    if len(coder.fits) > TESTS:
+        coder.fits.clear()
     kept = coder.chunks
     ids = []
     for c in chunks:
         got = kept.get(c)
         if got is None:
-            got = kept[c] = array("I", coder.chunk(c.decode())).tobytes()
+            got = coder.chunk(c.decode())
+            kept.put(c, got)
         ids.append(got)
     flat, sizes = joined(ids, of)
     flat = flat.view("<u4")
     count = np.bincount(runs_r, sizes, n).astype(np.int64) if len(of) else np.zeros(n, np.int64)
     if len(odd_rows):
-        whole = {r: np.array(coder.text(data[at[r] : at[r + 1]].tobytes().decode()), "<u4") for r in odd_rows.tolist()}
+        whole = {r: np.frombuffer(coder.text(data[at[r] : at[r + 1]].tobytes().decode()), "<u4") for r in odd_rows.tolist()}
         ends = np.cumsum(count)
         flat = np.concatenate([np.concatenate([flat[lo:hi], whole[r]]) for r, lo, hi in zip(odd_rows.tolist(), np.concatenate([[0], ends[odd_rows[:-1]]]), ends[odd_rows], strict=True)] + [flat[ends[odd_rows[-1]] :]])
         count[odd_rows] = [len(whole[r]) for r in odd_rows.tolist()]
@@ -243,7 +241,9 @@ def _decode_batch(coder: PrefixEncoder, flat: np.ndarray, at: np.ndarray) -> lis
 
 
 def bpe_encode(frame: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, ids array<int>) of each whole text; null counts as empty."""
+    """(doc_id, ids array<int>) of each whole text, one row each. Null counts as empty, and empty texts have no ids; repeated rows each give a row; an empty table gives an empty result; other columns are not read."""
+
+    bounded(frame.sparkSession)
 
     def run(batches):
         coder = encoder(tokenizer)
@@ -255,7 +255,9 @@ def bpe_encode(frame: DataFrame, tokenizer: str, text: str = "text", doc_id: str
 
 
 def bpe_decode(frame: DataFrame, tokenizer: str, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, text) of each list of ids; null counts as empty."""
+    """(doc_id, text) of each list of ids, one row each; bytes that are no UTF-8 become U+FFFD. Null lists count as empty; repeated rows each give a row; an empty table gives an empty result; other columns are not read. Ids must be those of the vocabulary."""
+
+    bounded(frame.sparkSession)
 
     def run(batches):
         coder = encoder(tokenizer)
@@ -274,9 +276,11 @@ def bpe_round_trip(frame: DataFrame, tokenizer: str, text: str = "text", doc_id:
     repeated rows each give a row; an empty table gives an empty result.
     """
 
+    bounded(frame.sparkSession)
+
     def run(batches):
         coder = encoder(tokenizer)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             flat, at = _encode_batch(coder, batch.column("text"))
             ids = [hashlib.sha256(flat[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             texts = [hashlib.sha256(t).hexdigest() for t in _decode_batch(coder, flat, at)]

@@ -1,5 +1,40 @@
-"""Tables that cut lineage, written to the folder all executors share."""
+"""Tables that cut lineage, written to the folder all executors share, in small pieces."""
 
-from walkrank.scratch import Scratch, shared_root
+from __future__ import annotations
 
-__all__ = ["Scratch", "shared_root"]
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from walkrank import scratch
+from walkrank.scratch import mark, release, shared_root
+
+__all__ = ["Scratch", "bounded", "mark", "release", "shared_root", "small"]
+
+#: Most bytes of an Arrow batch that a task sends to its Python worker, and of a row group that it holds before writing.
+BATCH_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB in this session, unless it names a size itself: several long texts don't meet in one."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def small(keys: DataFrame, n: int, most: int = 100_000) -> DataFrame:
+    """A table of n keys, to be sent to every task if these are not too many; else joined as any table, whose large keys Spark splits."""
+    return F.broadcast(keys) if n <= most else keys
+
+
+class Scratch(scratch.Scratch):
+    def __init__(self, spark: SparkSession, name: str):
+        super().__init__(spark, name)
+        bounded(spark)
+
+    def save(self, frame: DataFrame, name: str, **options: str) -> DataFrame:
+        return super().save(frame, name, **{"parquet.block.size": str(GROUP_BYTES), **options})
+
+    def measured(self, frame: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
+        """``save``, with aggregates of the rows that are formed while they are written."""
+        seen = Observation()
+        return self.save(frame.observe(seen, *(v.alias(k) for k, v in values.items())), name), seen.get

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,8 +30,8 @@ _KIND[~_GAPS] = _SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
-#: Chunks of which each worker process keeps the ids.
-CACHE = 200_000
+#: Pieces of which each worker process keeps the ids: the last ones, this many or twice as many, of at most so many characters each.
+CACHE, LONGEST = 50_000, 48
 
 #: ids in rows: dictionary pages where few differ, else delta encodings of format v2; small row groups and pages with
 #: their indexes, so that a filter on doc_id reads few pages.
@@ -51,6 +52,37 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*\Z")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+#: The normalizer and the pre-tokenizer that _PLAIN, _PIECE and ``finer`` do the work of. Fixed value.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+class Kept:
+    """The last outcomes by text, in two generations: what is asked for again outlives what isn't."""
+
+    def __init__(self, size: int = CACHE):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        if (value := self.young.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(key) <= LONGEST:
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary: itself where printable, else the next from U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -68,40 +100,43 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words: dict[str, bytes] = {}
+        self.words, self.kept = Kept(), Kept()
         self.alphabet = byte_alphabet()
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        kind = str(type(self.tokenizer.pre_tokenizer).__name__), str(type(self.tokenizer.normalizer).__name__)
-        # the short way is for vocabularies with word ends, lower case and this pattern
-        self.short = kind == ("Sequence", "Sequence") and getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>"
-        self.kept: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.short = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER and spec["model"].get("end_of_word_suffix") == "</w>"
 
     def _word(self, word: str) -> bytes:
         if (ids := self.words.get(word)) is None:
             mapped = word if word.isascii() else "".join(self.alphabet[b] for b in word.encode())
-            ids = self.words[word] = array("i", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            ids = array("i", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            self.words.put(word, ids)
         return ids
 
     def of(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of each of some distinct runs of ``finer``, as 32-bit integers."""
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        kept, rest, tokenize = self.kept, [], self.tokenizer.model.tokenize
-        for c in chunks:
-            if c not in kept:
+        kept, tokenize = self.kept, self.tokenizer.model.tokenize
+        out: list[bytes] = []
+        rest: list[int] = []
+        for i, c in enumerate(chunks):
+            ids = kept.get(c)
+            if ids is None:
                 if c.isalnum():  # ASCII letters in lower case, or a digit
-                    kept[c] = array("i", [t.id for t in tokenize(c.decode())]).tobytes()
-                    continue
-                text = c.decode()
-                if _PLAIN.match(text) and not any(a in text for a in self.added):
-                    kept[c] = b"".join([self._word(w) for w in _PIECE.findall(text.lower())])
+                    ids = array("i", [t.id for t in tokenize(c.decode())]).tobytes()
+                else:
+                    text = c.decode()
+                    if _PLAIN.match(text) and not any(a in text for a in self.added):
+                        ids = b"".join([self._word(w) for w in _PIECE.findall(text.lower())])
+                if ids is None:
+                    rest.append(i)
                 else:
-                    rest.append(c)
-        for c, e in zip(rest, self.tokenizer.encode_batch([c.decode() for c in rest], add_special_tokens=False) if rest else [], strict=True):
-            kept[c] = array("i", e.ids).tobytes()
-        return [kept[c] for c in chunks]
+                    kept.put(c, ids)
+            out.append(ids)
+        for i, e in zip(rest, self.tokenizer.encode_batch([chunks[i].decode() for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            out[i] = array("i", e.ids).tobytes()
+            kept.put(chunks[i], out[i])
+        return out
 
     def finer(self, words: Words) -> Words:
         """Runs that are encoded apart: letters in lower case, single digits, and other characters of a chunk.
@@ -141,10 +176,29 @@ class ChunkIds:
 
 
 def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct byte runs, and the index in them of each run."""
-    h = run_hashes(data, starts, ends)
-    _, first, of = np.unique(h, return_index=True, return_inverse=True)
-    return [data[s:e].tobytes() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], of
+    """The distinct byte runs, in order of their first places, and the index in them of each run. Runs are in order and don't overlap.
+
+    Runs of equal hash are compared byte by byte with the first of them.
+    """
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    of = pa.array(run_hashes(data, starts, ends)).dictionary_encode().indices.to_numpy()
+    first = np.empty(int(of.max()) + 1, np.int64)
+    first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+    size, like = ends - starts, first[of]
+    equal = bool((size == size[like]).all())
+    long = np.flatnonzero((size > 8) & (like != np.arange(len(of))))  # shorter ones of equal size and hash are equal
+    if equal and len(long):
+        equal = bool((data[ragged(starts[long], size[long])] == data[ragged(starts[like[long]], size[long])]).all())
+    if not equal:  # different runs of one hash: by the bytes alone
+        at = np.empty(2 * len(starts), np.int32)  # runs, and what is between them
+        at[::2], at[1::2] = starts, ends
+        slices = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+        known: dict[bytes, int] = {}
+        of = np.array([known.setdefault(run, len(known)) for run in slices.to_pylist()[::2]], np.int64)
+        return list(known), of
+    raw = data.tobytes()
+    return [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], of
 
 
 def joined(ids: list[bytes], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,18 +6,18 @@ a multi-byte UTF-8 character, so byte runs and code point runs are the same.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = 0xD6E8FEB86659FD93
-_POWER_BITS = 20
-_powers = np.ones(1, np.uint64)
+#: The low bytes of a lane of eight that a run still has.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: Every byte but the white space 0x20 and 0x09-0x0D.
 NOT_SPACE = np.ones(256, bool)
@@ -53,6 +53,14 @@ def pieces(batches, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatc
             hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), limit, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of a task to the system, so that reused workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +93,6 @@ def split(column: pa.Array, kind: np.ndarray = NOT_SPACE, lower: bool = False) -
     return Words(data, starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, at))
 
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _STEP)]), dtype=np.uint64)
-    return _powers
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -99,16 +100,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run (none empty)."""
+    """A 64-bit hash of each byte run (none empty).
+
+    Lanes of eight bytes are mixed with their place and summed, so that no
+    order of the same bytes is alike by its form; runs of one lane and equal
+    size have equal hashes only if they are equal.
+    """
     sizes = ends - starts
     if not len(sizes):
         return np.zeros(0, np.uint64)
-    at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    every = np.arange(int(sizes.sum()))
-    within = (every - np.repeat(at, sizes)) & ((1 << _POWER_BITS) - 1)
-    longest = min(int(sizes.max()), 1 << _POWER_BITS)
-    value = _BYTE[data[every + np.repeat(starts - at, sizes)]] * _power(longest)[within]
-    return mix(np.add.reduceat(value, at) + sizes.astype(np.uint64))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lane = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    total = mix(lane[starts] & _MASK[np.minimum(sizes, 8)])
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) >> 3
+        j = ragged(np.ones(len(long), np.int64), more)
+        value = lane[np.repeat(starts[long], more) + 8 * j] & _MASK[np.minimum(np.repeat(sizes[long], more) - 8 * j, 8)]
+        total[long] += np.add.reduceat(mix(value + j.astype(np.uint64) * _STEP), np.cumsum(more) - more)
+    return mix(total + sizes.astype(np.uint64))
 
 
 def hashes(words: Words) -> np.ndarray:
@@ -119,7 +129,7 @@ def windows(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """A hash of each ``n`` consecutive values, by doubling; blind to rows."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    factor = (_ROLL + 2 * salt) % 2**64
+    factor = np.uint64((_ROLL + 2 * salt) % 2**64)
     block, size, out, have = h, 1, None, 0
     while True:
         if n & size:
@@ -127,12 +137,12 @@ def windows(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
                 out, have = block, size
             else:
                 m = len(h) - have - size + 1
-                out = out[:m] * np.uint64(pow(factor, size, 2**64)) + block[have : have + m]
+                out = mix(out[:m] * factor + block[have : have + m])
                 have += size
         if have == n:
             return mix(out + np.uint64(n))
         m = len(h) - 2 * size + 1
-        block = block[:m] * np.uint64(pow(factor, size, 2**64)) + block[size : size + m]
+        block = mix(block[:m] * factor + block[size : size + m])
         size *= 2
 
 
