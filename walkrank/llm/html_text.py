@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from walkrank.llm.scratch import bounded
+
 #: Elements without text of the article. Fixed value.
 DROPPED = frozenset("script style noscript template head title nav aside footer form button select option textarea input label iframe object embed canvas svg audio video map dialog menu fieldset".split())
 #: Elements whose end is not written. Fixed value.
@@ -30,14 +32,18 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an element's start ends, up to an element that bounds it. Fixed value.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tr td th", "table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-#: Words in class, id and role of what surrounds an article; and of what is part of one in spite of them. Fixed value.
-AROUND = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus footer footnav gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related remark replies reply respond rss search share sharing shoutbox sidebar sidebars signup skip skyscraper social sponsor sponsored subscribe subscription tags teaser toolbar tooltip topbar widget widgets contentinfo complementary alert alertdialog".split())
+#: Words in class, id and role of what surrounds an article, of what does so only outside of one, and of what is part of one in spite of them. Fixed value.
+AROUND = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer footnav gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion replies reply respond share sharing shoutbox sidebar sidebars signup skyscraper sponsor sponsored subscribe subscription toolbar tooltip topbar widget widgets contentinfo complementary alertdialog".split())
+OUTSIDE = frozenset("byline header recommended related remark rss search skip social tags teaser alert".split())
 ALWAYS = frozenset("comment comments commentlist disqus replies reply respond shoutbox cookie cookies consent gdpr advertisement sponsored".split())
 WITHIN = frozenset("article body content main post entry story text blog".split())
 
+#: Characters of a block that gives points, and what its points are divided by for the element it is in and those above.
+POINTED, LEVELS = 25, (1, 2, 6, 9, 12)
+
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>" + RAW + r")\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>(?P<content>.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>" + RAW + r")(?=[\s/>])(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>(?P<content>.*?</(?P=raw)\s*>|.*\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -69,7 +75,7 @@ def surrounds(tag: str, attrs: str, within: bool) -> bool:
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True
     words = {w.lower() for w in NAME.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")))}
-    if not words & AROUND:
+    if not words & AROUND and (within or not words & OUTSIDE):
         return False
     if words & ALWAYS:
         return True
@@ -220,7 +226,7 @@ def whole_article(article: Node, nodes: list[Node], worth: Callable[[Node], floa
 def menus(nodes: list[Node], found: list[tuple[str, Node]], core: Node) -> set[Node]:
     """Elements of little but links before the first or after the last longer text, outside the core, that no heading introduces."""
     at = {node: i for i, node in enumerate(nodes)}
-    prose = [at[owner] for text, owner in found if len(text) >= 25 and owner.linked <= 0.66 * owner.length]
+    prose = [at[owner] for text, owner in found if len(text) >= POINTED and owner.linked <= 0.66 * owner.length]
     if not prose:
         return set()
     last = list(range(len(nodes)))  # of an element, the place of the last element in it
@@ -258,12 +264,12 @@ def main_text(page: str) -> str:
             setattr(node.parent, name, getattr(node.parent, name) + getattr(node, name))
     scored: dict[Node, None] = {}
     for text, owner in found:
-        if len(text) < 25:
+        if len(text) < POINTED:
             continue
         points = 1 + len(re.findall("[,،、，]", text)) + min(len(text) // 100, 3)
         up, level = owner.parent if owner.tag in PARAGRAPH and owner.parent else owner, 0
-        while up is not None and up.tag != "#root" and level < 5:
-            up.score += points / (1, 2, 6, 9, 12)[level]
+        while up is not None and up.tag != "#root" and level < len(LEVELS):
+            up.score += points / LEVELS[level]
             scored[up] = None
             up, level = up.parent, level + 1
 
@@ -286,12 +292,16 @@ def main_text(page: str) -> str:
 def extract_text(frame: DataFrame, html_column: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The rows with text, the main text of the whole html, and n_chars, its code points.
 
+    Blocks of 25 characters or more give points to the five elements around
+    them; that only chooses the container, and shorter blocks in it stay.
+
     Null and empty html give an empty text; markup that breaks off or doesn't
     match is read as browsers do, nearly. One narrow pass without a shuffle:
     memory is that of one page's tree. Columns named text or n_chars are
     replaced; ``keep`` names those to return besides (all). Repeated rows each
     get their text; an empty table gives an empty result.
     """
+    bounded(frame.sparkSession)
     keep = [c for c in (frame.columns if keep is None else keep) if c not in ("text", "n_chars")]
     source = frame.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{html_column}`").alias("__html"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
