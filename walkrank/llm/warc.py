@@ -154,30 +154,33 @@ class Archive:
 
         return self.directory.repartition(n, "shard", "at").mapInArrow(run, schema)
 
-    def lookup(self, url: str, most: int = 1_000_000) -> list[tuple[dict[str, str], bytes]]:
-        """All records of a URL: a binary search in the directory, another in a block, and a range read for each record.
+    def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
+        """All records of a URL: a binary search among the shards' first keys, in the directory of a shard and in a block, then range reads.
 
-        The directory has a row for every BLOCK captures; one of more than
-        ``most`` rows isn't brought to the driver but searched by a filter.
+        The driver gets one row a shard, and the directory rows (one for every
+        BLOCK captures) of the shards that can hold the URL.
         """
-        key = self.spark.range(1).select(url_key(F.lit(url))).first()[0]
-        table = self.directory.select("first_key", "first_id", "index_file", "at", "size")
-        if table.count() > most:
-            before = table.where(F.col("first_key") < key).orderBy(F.desc("first_key"), F.desc_nulls_last("first_id")).limit(1)
-            table = before.unionByName(table.where(F.col("first_key") == key))
-        rows = sorted(table.collect(), key=lambda r: (r.first_key.encode(), r.first_id is not None, r.first_id or 0))
-        keys = [r.first_key.encode() for r in rows]
+        key = self.spark.range(1).select(url_key(F.lit(url))).first()[0].encode()
+        shards = sorted((r.k.encode(), r.shard) for r in self.directory.groupBy("shard").agg(F.min("first_key").alias("k")).collect())
+        some = [shard for _, shard in _around(shards, key)]
+        rows = self.directory.where(F.col("shard").isin(some)).select("shard", "at", "first_key", "index_file", "size").collect() if some else []
         filesystem, base = _open(self.folder)
         out = []
-        for row in rows[max(0, bisect.bisect_left(keys, key.encode()) - 1) : bisect.bisect_right(keys, key.encode())]:
+        for _, row in _around([(r.first_key.encode(), r) for r in sorted(rows, key=lambda r: (r.shard, r.at))], key):
             with filesystem.open_input_file(f"{base}/{row.index_file}") as f:
                 captures = _captures(f.read_at(row.size, row.at))
             own = [c[0].encode() for c in captures]
-            found = captures[bisect.bisect_left(own, key.encode()) : bisect.bisect_right(own, key.encode())]
+            found = captures[bisect.bisect_left(own, key) : bisect.bisect_right(own, key)]
             out += [parse_record(data) for data in _ranges(filesystem, base, found)]
         return out
 
 
+def _around(ordered: list[tuple], key: bytes) -> list[tuple]:
+    """Of pairs in the order of their first keys: those that begin with the key, and the one before them."""
+    firsts = [x[0] for x in ordered]
+    return ordered[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]
+
+
 def _captures(packed: bytes) -> list[list]:
     return [json.loads(line) for line in zlib.decompress(packed).decode().split("\n")]
 
