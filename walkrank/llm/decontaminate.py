@@ -10,53 +10,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from walkrank.llm.scratch import Scratch
 from walkrank.llm.words import ALNUM, hashes, pieces, ragged, split
 
-#: Most bytes of item texts that are indexed, and sent to tasks, at a time; more items are searched in several blocks.
-INDEX_BYTES = 16 << 20
+#: Most bytes of item texts that are indexed, and sent to tasks, at a time (some 200 MB of arrays where each word begins a window); more items are searched in several blocks.
+INDEX_BYTES = 2 << 20
 #: Candidates that are verified at a time.
 STEP = 200_000
 
 
 class Index:
-    """Windows of items, found by the rarest words in them."""
+    """Windows of items, found by the rarest words in them; arrays only."""
 
     def __init__(self, items: list[tuple[int, str]], window: int, share: float):
         words = split(pa.array([t for _, t in items], pa.string()), ALNUM, lower=True)
         h = hashes(words)
-        seen: dict[bytes, int] = {}
-        owners: list[set[int]] = []
-        rows: list[np.ndarray] = []
-        for (item, _), a, b in zip(items, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-            size = min(window, b - a)
-            for s in range(a, b - size + 1) if size else ():
-                key = h[s : s + size].tobytes()
-                if key not in seen:
-                    seen[key] = len(rows)
-                    rows.append(h[s : s + size])
-                    owners.append(set())
-                owners[seen[key]].add(item)
-        self.size = np.array([len(r) for r in rows], np.int64)
+        n = np.diff(words.first)
+        size = np.minimum(n, window)
+        per = np.where(n > 0, n - size + 1, 0)
+        start, of = ragged(words.first[:-1], per), np.repeat(np.arange(len(n)), per)
+        rows = np.zeros((len(start), window + 1), np.uint64)
+        rows[:, window] = size[of]
+        for j in range(window):
+            within = j < size[of]
+            rows[within, j] = h[start[within] + j]
+        rows, back = np.unique(rows, axis=0, return_inverse=True)
+        self.words, self.size = np.ascontiguousarray(rows[:, :window]), rows[:, window].astype(np.int64)
         self.need = np.maximum(1, np.ceil(self.size * share - 1e-9)).astype(np.int64)
-        self.words = np.zeros((len(rows), window), np.uint64)
-        for i, r in enumerate(rows):
-            self.words[i, : len(r)] = r
-        self.owners = [sorted(o) for o in owners]
+        pairs = np.unique(np.stack([back.reshape(-1), np.array([i for i, _ in items], np.int64)[of]], axis=1), axis=0)
+        self.owner, self.owner_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(rows) + 1))
         self.vocabulary = np.unique(h)
 
-    def prefixes(self, frequency: dict[int, int]) -> None:
-        """Keeps of each window the rarest words: one more than may be missing, as one of these must then be there."""
-        by_word: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, size in enumerate(self.size.tolist()):
-            order = sorted(range(size), key=lambda j: (frequency.get(int(self.words[i, j]), 0), int(self.words[i, j]), j))
-            for j in order[: size - int(self.need[i]) + 1]:
-                by_word[int(self.words[i, j])].append((i, j))
-        self.key = np.array(sorted(by_word), np.uint64)
-        pairs = [by_word[int(k)] for k in self.key]
-        self.count = np.array([len(p) for p in pairs], np.int64)
-        self.at = np.cumsum(self.count) - self.count
-        flat = np.array([x for p in pairs for x in p], np.int64).reshape(-1, 2)
-        self.of_window, self.offset = flat[:, 0], flat[:, 1]
+    def prefixes(self, frequency: np.ndarray) -> None:
+        """Keeps of each window the rarest words, by their frequency in order of the vocabulary: one more than may be missing, as one of these must then be there."""
+        order = np.lexsort((np.arange(len(frequency)), frequency))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        inside = np.arange(self.words.shape[1]) < self.size[:, None]
+        place = np.full(self.words.shape, len(order), np.int64)
+        place[inside] = rank[np.searchsorted(self.vocabulary, self.words[inside])]
+        rarest = np.argsort(place, axis=1, kind="stable")
+        window, nth = np.nonzero(np.arange(self.words.shape[1]) < (self.size - self.need + 1)[:, None])
+        offset = rarest[window, nth]
+        word = self.words[window, offset]
+        by = np.argsort(word, kind="stable")
+        self.of_window, self.offset = window[by], offset[by]
+        self.key, self.at, self.count = np.unique(word[by], return_index=True, return_counts=True)
 
 
 def lookup(h: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +70,7 @@ def lookup(h: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return maybe[hit], key[hit]
 
 
-def document_frequency(frame: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
+def document_frequency(frame: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """In how many texts of the column ``text`` each word hash of a bounded vocabulary is, counted over all rows."""
     sent = frame.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -86,7 +85,10 @@ def document_frequency(frame: DataFrame, vocabulary: np.ndarray) -> dict[int, in
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["word", "n"])
 
     counts = frame.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {int(vocabulary[r.word]): r.n for r in counts.toLocalIterator()}
+    out = np.zeros(len(vocabulary), np.int64)
+    for r in counts.toLocalIterator():  # as many rows as the vocabulary has
+        out[r.word] = r.n
+    return out
 
 
 def _hits(index: Index, words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +137,7 @@ def _scan(frame: DataFrame, index: Index, schema: T.StructType, text: str) -> Da
             np.add.at(edges, at + index.size[window], -1)
             items: dict[int, set[int]] = defaultdict(set)
             for r, w in set(zip((np.searchsorted(words.first, at, "right") - 1).tolist(), window.tolist(), strict=True)):
-                items[r].update(index.owners[w])
+                items[r].update(index.owner[index.owner_at[w] : index.owner_at[w + 1]].tolist())
             # what blocks before have found
             if len(batch.column("items").flatten()):
                 for r, (spans, owners) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
@@ -172,8 +174,9 @@ def find_contamination(frame: DataFrame, items: DataFrame, window: int = 13, sha
     place in the window and the window's length set.
 
     Items are sent to tasks in blocks of at most ``index_bytes`` of text (or
-    one item); each block is one narrow pass over the documents, and more
-    blocks are more passes in the same stage. Null texts, and texts without
+    one item); each block is one narrow pass over the documents. With more
+    blocks each pass is a job of its own, whose rows are written and read
+    again, so that one index is in memory at a time. Null texts, and texts without
     words, have no words and no hits; items with a null id or without words
     are left out; equal item ids are one item. Columns named n_words, spans or
     items are replaced; ``keep`` names those to return besides (all).
@@ -183,16 +186,20 @@ def find_contamination(frame: DataFrame, items: DataFrame, window: int = 13, sha
     known = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // index_bytes))
+    scratch = Scratch(frame.sparkSession, "decontaminate")
     inner = frame.withColumn("n_words", F.lit(0).cast("bigint")).withColumn("spans", F.array().cast("array<struct<lo:int,hi:int>>")).withColumn("items", F.array().cast("array<bigint>"))
     texts = frame.select(F.col(f"`{text}`").alias("text"))
     types = {f.name: f for f in inner.schema.fields}
     for b in range(blocks):
         block = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         index = Index([(r.item_id, r.text) for r in block.distinct().toLocalIterator()], window, share)
-        index.prefixes(document_frequency(texts, index.vocabulary) if len(index.vocabulary) else {})
+        index.prefixes(document_frequency(texts, index.vocabulary) if len(index.vocabulary) else np.zeros(0, np.int64))
         last = b == blocks - 1
         names = [*(keep if last else frame.columns), "n_words", "spans", "items"]
         inner = _scan(inner, index, T.StructType([types[c] for c in names]), text)
+        if not last:
+            inner = scratch.save(inner, f"block-{b}")
+            scratch.drop(f"block-{b - 1}")
     return inner
 
 
