@@ -26,29 +26,20 @@ def per_query(results: DataFrame, truth: DataFrame, queries: DataFrame, node_typ
         own = own.withColumn("node_type", F.lit(None).cast("string"))
     right = truth.where("node_id IS NOT NULL").select("query_id", F.col("node_id").cast("string").alias("id")).distinct()
     counts = right.groupBy("query_id").agg(F.count("*").alias("gt_count"))
-    rows = own.join(right.withColumn("hit", F.lit(True)), ["query_id", "id"], "left")
-    hit = F.col("hit")
-
-    def within(k: int):
-        return F.count_distinct(F.when(hit & (F.col("r") <= k), F.col("id")))
-
-    found = rows.groupBy("query_id").agg(
-        *(F.max(F.when(hit & (F.col("r") <= k), 1.0).otherwise(0.0)).alias(f"hit_at_{k}") for k in HIT_AT),
-        *(within(k).alias(f"n_{k}") for k in RECALL_AT),
-        F.min(F.when(hit, F.col("r"))).alias("first"),
-        F.count_distinct(F.when(F.col("r") <= types_cutoff, F.coalesce("node_type", F.lit("unknown")))).alias("types"),
-        within(DIVERSE).alias("diverse"),
-    )
-    rows = queries.select("query_id").join(found, "query_id", "left").join(counts, "query_id", "left")
+    # of each right id the best rank, so that counts are plain sums
+    best = own.join(right, ["query_id", "id"], "left_semi").groupBy("query_id", "id").agg(F.min("r").alias("r"))
+    found = best.groupBy("query_id").agg(*(F.count_if(F.col("r") <= k).alias(f"n_{k}") for k in sorted({*HIT_AT, *RECALL_AT, DIVERSE})), F.min("r").alias("first"))
+    kinds = own.where(F.col("r") <= types_cutoff).select("query_id", F.coalesce("node_type", F.lit("unknown")).alias("kind")).distinct().groupBy("query_id").agg(F.count("*").alias("types"))
+    rows = queries.select("query_id").join(found, "query_id", "left").join(kinds, "query_id", "left").join(counts, "query_id", "left")
     share = lambda n: F.coalesce(F.col(n) / F.col("gt_count"), F.lit(0.0))
     return rows.select(
         "query_id",
-        *(F.coalesce(f"hit_at_{k}", F.lit(0.0)).alias(f"hit_at_{k}") for k in HIT_AT),
+        *(F.when(F.col(f"n_{k}") > 0, 1.0).otherwise(0.0).alias(f"hit_at_{k}") for k in HIT_AT),
         *(share(f"n_{k}").alias(f"recall_at_{k}") for k in RECALL_AT),
         F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"),
         F.coalesce("types", F.lit(0)).cast("bigint").alias("diversity_node_types"),
-        F.coalesce("diverse", F.lit(0)).cast("bigint").alias("diversity_count"),
-        share("diverse").alias("dr_at_20"),
+        F.coalesce(f"n_{DIVERSE}", F.lit(0)).cast("bigint").alias("diversity_count"),
+        share(f"n_{DIVERSE}").alias("dr_at_20"),
         F.coalesce("gt_count", F.lit(0)).cast("bigint").alias("gt_count"),
     )
 

@@ -77,54 +77,52 @@ def consensus(visits: DataFrame, graph: Graph, params: Params, visited: float =
 def async_votes(queries: DataFrame, graph: Graph, params: Params, movement: dict[str, float] | None = None) -> DataFrame:
     """(query_id, node_id, votes) with pheromones that each walker changes for the next one in the same step.
 
-    The order makes a query sequential, so a query is one group: its rows are
-    the edges within reach of its starts, found by joins before. A level that
-    was only read decays from then on, as one that was deposited does.
+    A walker moves once a step, so a step needs the edges of the nodes where
+    walkers stand, joined in by Spark, and the levels so far; only the order of
+    a query's walkers within the step is a loop, in a group of its own.
+    Locations and levels are tables between steps. A level that was only read
+    decays from then on, as one that was deposited does. Walkers in dead ends
+    stay and vote no more.
     """
     weights = movement or {"relevance": 0.4, "cosine": 0.3, "diversity": 0.3}
     pool = top_n(queries, graph.nodes, params.initial_pool_size).where(F.col("rank") <= params.start_subset)
     scratch = Scratch(queries.sparkSession, "live")
-    begin = scratch.save(sampled_starts(pool, params, uniform_zone=True), "starts")
-    near = begin.select("query_id", "node_id").distinct()
-    reach = near
-    for step in range(params.steps - 1):
-        near = scratch.save(near.join(graph.edges, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id")).distinct(), f"near-{step}")
-        reach = reach.unionByName(near).distinct()
+    at = scratch.save(sampled_starts(pool, params, uniform_zone=True), "0")
+    visits = at.select("query_id", "node_id")
     traits = graph.nodes.select(F.col("node_id").alias("dst"), "vec", "size", F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
-    edges = reach.join(graph.edges, F.col("node_id") == F.col("src")).join(traits, "dst").join(sized(queries), "query_id")
-    edges = edges.select("query_id", "src", "dst", "relevance", F.coalesce(cosine("qvec", "vec", 0.0, ("qsize", "size")), F.lit(0.0)).alias("cos"))
-    edges = scratch.save(edges, "edges")
-    n, steps, decay = params.n_agents, params.steps, params.decay
-
-    def walk(starts: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if starts.empty:
-            return pd.DataFrame({"query_id": [], "node_id": [], "votes": []})
-        query = int(starts.query_id.iloc[0])
-        where = dict(zip(starts.agent_id.tolist(), starts.node_id.tolist(), strict=True))
-        out: dict[int, list] = {}
-        for e in edges.sort_values(["src", "dst"]).itertuples():
-            out.setdefault(e.src, []).append((e.dst, e.relevance, e.cos))
-        level: dict[int, float] = {}
-        votes: dict[int, int] = {}
-        for node in where.values():
-            votes[node] = votes.get(node, 0) + 1
-        for step in range(1, steps + 1):
-            for agent in range(n):
-                options = out.get(where[agent])
-                if not options:
-                    continue
-                top = max(level.values(), default=1.0)
-                scores = [weights.get("relevance", 0) * r + weights.get("cosine", 0) * c + weights.get("diversity", 0) * (1 + top - level.setdefault(d, 1.0)) for d, r, c in options]
-                scores = [max(s, 0.0) for s in scores] if sum(max(s, 0.0) for s in scores) > 0 else [1.0] * len(scores)
-                left = uniform_py(query, agent, step, "live") * sum(scores)
-                for (node, relevance, _), s in zip(options, scores, strict=True):
-                    left -= s
-                    if left < 0:
-                        break
-                where[agent] = node
-                level[node] += relevance
-                votes[node] = votes.get(node, 0) + 1
-            level = {k: v * decay for k, v in level.items()}
-        return pd.DataFrame({"query_id": query, "node_id": list(votes), "votes": [float(v) for v in votes.values()]})
-
-    return begin.groupBy("query_id").cogroup(edges.groupBy("query_id")).applyInPandas(walk, "query_id bigint, node_id bigint, votes double")
+    level = None
+    for step in range(1, params.steps + 1):
+        hops = at.join(graph.edges, F.col("node_id") == F.col("src")).join(traits, "dst").join(sized(queries), "query_id")
+        hops = hops.select("query_id", "agent_id", "dst", "relevance", F.coalesce(cosine("qvec", "vec", 0.0, ("qsize", "size")), F.lit(0.0)).alias("cos"))
+        known = hops.sparkSession.createDataFrame([], "query_id bigint, node_id bigint, level double") if level is None else level
+        move = _live_step(step, weights, params.decay)
+        done = scratch.save(hops.groupBy("query_id").cogroup(known.groupBy("query_id")).applyInPandas(move, "query_id bigint, agent_id int, node_id bigint, level double"), str(step))
+        moved = done.where("agent_id IS NOT NULL").select("query_id", "agent_id", F.col("node_id").alias("to"))
+        visits = visits.unionByName(moved.select("query_id", F.col("to").alias("node_id")))
+        level = done.where("agent_id IS NULL").select("query_id", "node_id", "level")
+        at = scratch.save(at.join(moved, ["query_id", "agent_id"], "left").select("query_id", "agent_id", F.coalesce("to", "node_id").alias("node_id")), f"at-{step}")
+    return visits.groupBy("query_id", "node_id").agg(F.count("*").cast("double").alias("votes"))
+
+
+def _live_step(step: int, weights: dict[str, float], decay: float):
+    def move(hops: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """One step of a query's walkers: a row for each that moves, and one for each level, decayed, without a walker."""
+        level: dict[int, float] = dict(zip(known.node_id.tolist(), known.level.tolist(), strict=True))
+        query = int((hops if len(hops) else known).query_id.iloc[0])
+        moved = []
+        for agent, options in hops.sort_values(["agent_id", "dst"]).groupby("agent_id", sort=True):
+            nodes = options.dst.tolist()
+            top = max(level.values(), default=1.0)
+            scores = [max(0.0, weights.get("relevance", 0) * r + weights.get("cosine", 0) * c + weights.get("diversity", 0) * (1 + top - level.setdefault(n, 1.0))) for n, r, c in zip(nodes, options.relevance.tolist(), options.cos.tolist(), strict=True)]
+            scores = scores if sum(scores) > 0 else [1.0] * len(scores)
+            left = uniform_py(query, int(agent), step, "live") * sum(scores)
+            for node, relevance, s in zip(nodes, options.relevance.tolist(), scores, strict=True):
+                left -= s
+                if left < 0:
+                    break
+            level[node] += relevance
+            moved.append((int(agent), node))
+        rows = [(query, agent, node, None) for agent, node in moved] + [(query, None, node, value * decay) for node, value in level.items()]
+        return pd.DataFrame(rows, columns=["query_id", "agent_id", "node_id", "level"]).astype({"agent_id": "Int32", "level": "Float64"})
+
+    return move
