@@ -51,8 +51,8 @@ def relevance_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFr
     at = scratch.save(at, "0")
     relevance = graph.nodes.select(F.col("node_id").alias("dst"), F.coalesce("relevance", F.lit(0.0)).alias("w"))
     edges = graph.edges.join(relevance, "dst")
-    by = Window.partitionBy("src")
-    edges = edges.select("src", "dst", F.when(F.sum("w").over(by) > 0, F.col("w") / F.sum("w").over(by)).otherwise(1.0 / F.count("*").over(by)).alias("p"))
+    total = edges.groupBy("src").agg(F.sum("w").alias("total"), F.count("*").alias("c"))
+    edges = edges.join(total, "src").select("src", "dst", F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(1.0 / F.col("c")).alias("p"))
     edges = scratch.save(edges, "edges")
     visits = at
     for step in range(params.steps):

@@ -34,7 +34,9 @@ def transitions(at: DataFrame, queries: DataFrame, graph: Graph, params: Params)
     hops = at.join(graph.edges, F.col("node_id") == F.col("src")).select("query_id", "src", "dst", "mass")
     pairs = hops.select("query_id", F.col("dst").alias("node_id")).distinct()
     rows = hops.join(node_weights(pairs, queries, graph, params).withColumnRenamed("node_id", "dst"), ["query_id", "dst"])
-    return rows.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("query_id", "src"))).select("query_id", "src", "dst", "mass", "p")
+    # a hub's total is a partial sum, and a join that can be split: no task gets all of its edges
+    total = rows.groupBy("query_id", "src").agg(F.sum("w").alias("total"))
+    return rows.join(total, ["query_id", "src"]).select("query_id", "src", "dst", "mass", (F.col("w") / F.col("total")).alias("p"))
 
 
 def expected_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFrame:
