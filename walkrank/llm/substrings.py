@@ -1,8 +1,9 @@
-"""Removal of passages that occur more than once: sparse suffix trees over prefix-partitioned suffixes."""
+"""Removal of passages that occur more than once: suffix trees over suffixes that are partitioned by prefixes of variable length."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from walkrank.llm.scratch import Scratch
+from walkrank.llm.scratch import Scratch, small
 from walkrank.llm.words import NOT_SPACE, Words, hashes, pieces, ragged, split, windows
 
-#: Words of the shortest prefix by which suffixes are partitioned.
-PREFIX = 8
-#: A prefix of more suffixes than this is made longer, up to the whole window; then only the count of a node matters.
-GROUP = 20_000
+#: Words of the prefixes by which suffixes are partitioned: the next longer one where a group is too large, at last the whole window.
+PREFIXES = (8, 20)
+#: Most anchors of a prefix that form one group.
+GROUP = 5_000
+#: Most hashes of prefixes or windows that are sent to every task; beyond that, rows get their own by a join.
+SENT = 100_000
 
 
 class Anchors(NamedTuple):
@@ -30,15 +33,15 @@ class Anchors(NamedTuple):
     prefix: np.ndarray
 
 
-def anchors(words: Words, h: np.ndarray, window: int) -> Anchors:
-    """Of all windows, the anchor: the word in them at which the prefix of least hash begins (the leftmost, if several).
+def anchors(words: Words, h: np.ndarray, window: int, length: int, only: np.ndarray | None = None) -> Anchors:
+    """Of all windows (or those at ``only``), the anchor: the word in them at which the prefix of ``length`` words and least hash begins (the leftmost, if several).
 
     It depends on the window's words alone, so equal windows have equal
-    anchors at equal places, and a suffix tree of the anchored suffixes sees
-    every repeat.
+    anchors at equal places, and the tree of the suffixes in the windows of
+    one prefix sees every repeat of them.
     """
-    span = window - PREFIX + 1
-    prefix = windows(h, PREFIX)
+    span = window - length + 1
+    prefix = windows(h, length)
     size = np.diff(words.first)
     per_row = np.maximum(size - window + 1, 0)
     if not per_row.sum():
@@ -52,8 +55,12 @@ def anchors(words: Words, h: np.ndarray, window: int) -> Anchors:
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
     at = ragged(words.first[:-1], per_row)
     row = np.repeat(np.arange(len(size)), per_row)
+    if only is not None:
+        keep = only[at]
+        at, row = at[keep], row[keep]
     anchor = (low[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
+    new = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(np.concatenate([[True], new])) if len(at) else np.zeros(0, np.int64)
     return Anchors(row[first], at[first], np.diff(np.concatenate([first, [len(at)]])), anchor[first], prefix[anchor[first]])
 
 
@@ -61,69 +68,149 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _find_anchors(window: int):
+def _listed(batch: pa.RecordBatch, words: Words, name: str) -> np.ndarray:
+    """Whether each word is in the row's list."""
+    lists = batch.column(name)
+    lists = lists.fill_null([]) if lists.null_count else lists
+    at = lists.offsets.to_numpy()
+    out = np.zeros(len(words.starts), bool)
+    out[lists.values.to_numpy()[at[0] : at[-1]] + np.repeat(words.first[:-1], np.diff(at))] = True
+    return out
+
+
+def _known(h: np.ndarray, sent: np.ndarray) -> np.ndarray:
+    """Which hashes are among some sorted ones."""
+    if not len(sent) or not len(h):
+        return np.zeros(len(h), bool)
+    return sent[np.minimum(np.searchsorted(sent, h), len(sent) - 1)] == h
+
+
+def _inside_hot(batch: pa.RecordBatch, words: Words, h: np.ndarray, window: int, before: int, hot: np.ndarray | None) -> np.ndarray:
+    """The windows whose anchors of the length ``before`` have a hot prefix: one of those sent, or else one in the row's list."""
+    found = anchors(words, h, window, before)
+    only = np.zeros(len(words.starts), bool)
+    if len(found.word):
+        take = _listed(batch, words, "hot")[found.word] if hot is None else _known(found.prefix, hot)
+        only[ragged(found.start[take], found.count[take])] = True
+    return only
+
+
+def _find_anchors(window: int, length: int, before: int | None, hot: np.ndarray | None):
+    """Anchors of a prefix length; where ``before`` names a shorter one, of the windows with hot prefixes of that length."""
+
     def run(batches):
         for batch in pieces(batches, "text"):
             words = split(batch.column("text"), NOT_SPACE)
-            found = anchors(words, hashes(words), window)
+            h = hashes(words)
+            found = anchors(words, h, window, length, _inside_hot(batch, words, h, window, before, hot) if before else None)
             d, x = (batch.column(c).to_numpy()[found.row] for c in ("d", "x"))
-            yield _batch(g=found.prefix.view(np.int64), d=d, x=x, a=(found.word - words.first[found.row]).astype(np.int32))
+            more = windows(h, length, 7)[found.word] if length == window and len(found.word) else np.zeros(len(found.word), np.uint64)
+            yield _batch(g=found.prefix.view(np.int64), g2=more.view(np.int64), d=d, x=x, a=(found.word - words.first[found.row]).astype(np.int32))
 
     return run
 
 
-def _cut_suffixes(window: int):
-    """Of the anchors at hand: the text of their windows; of those in hot groups, a row for each window."""
+def _find_leaves(window: int, before: int | None, hot: np.ndarray | None, nodes: dict[int, int]):
+    """The spans of words of runs of windows that are among the nodes, by two hashes each."""
+
+    first = np.array(sorted(nodes), np.int64).view(np.uint64)
+    order = np.argsort(first)
+    first, second = first[order], np.array([nodes[k] for k in sorted(nodes)], np.int64).view(np.uint64)[order]
 
     def run(batches):
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text"):
             words = split(batch.column("text"), NOT_SPACE)
             h = hashes(words)
-            found = anchors(words, h, window)
+            per = np.maximum(np.diff(words.first) - window + 1, 0)
+            at, row = ragged(words.first[:-1], per), np.repeat(np.arange(len(per)), per)
+            if len(at):
+                g, g2 = windows(h, window)[at], windows(h, window, 7)[at]
+                leaf = _known(g, first)
+                leaf[leaf] = second[np.searchsorted(first, g[leaf])] == g2[leaf]
+                if before:
+                    leaf &= _inside_hot(batch, words, h, window, before, hot)[at]
+                at, row = at[leaf], row[leaf]
+            start = at - words.first[row]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
+            last = np.append(new[1:], len(row)) - 1 if len(row) else new
+            d, x = (batch.column(c).to_numpy()[row[new]] for c in ("d", "x"))
+            yield _batch(d=d, x=x, lo=start[new].astype(np.int32), hi=(start[last] + window).astype(np.int32))
+
+    return run
+
+
+def _cut_suffixes(window: int, length: int):
+    """The text of the windows around each anchor in the list ``cold``."""
+
+    def run(batches):
+        for batch in pieces(batches, "text", 1 << 20):
+            words = split(batch.column("text"), NOT_SPACE)
+            found = anchors(words, hashes(words), window, length)
+            if not len(found.word):
+                continue
+            take = _listed(batch, words, "cold")[found.word]
+            row, start, count, prefix = found.row[take], found.start[take], found.count[take], found.prefix[take]
             d, x = (batch.column(c).to_numpy() for c in ("d", "x"))
-            for kind in ("cold", "hot"):
-                lists = batch.column(kind)
-                lists = lists.fill_null([]) if lists.null_count else lists
-                sizes = np.diff(lists.offsets.to_numpy())
-                wanted = lists.values.to_numpy()[lists.offsets.to_numpy()[0] : lists.offsets.to_numpy()[-1]] + np.repeat(words.first[:-1], sizes)
-                take = np.isin(found.word, wanted)
-                row, start, count, prefix = found.row[take], found.start[take], found.count[take], found.prefix[take]
-                if kind == "cold":
-                    ends = start + count + window - 2  # the last word of the last window
-                    raw = words.data.tobytes()
-                    texts = [b" ".join(raw[s:e].split()) for s, e in zip(words.starts[start].tolist(), words.ends[ends].tolist(), strict=True)]
-                    yield _batch(g=prefix.view(np.int64), g2=np.zeros(len(row), np.int64), d=d[row], x=x[row], s=(start - words.first[row]).astype(np.int32), text=pa.array(texts, pa.binary()).cast(pa.string()))
-                elif len(row):
-                    at, of = ragged(start, count), np.repeat(row, count)
-                    yield _batch(g=windows(h, window)[at].view(np.int64), g2=windows(h, window, 7)[at].view(np.int64), d=d[of], x=x[of], s=(at - words.first[of]).astype(np.int32), text=pa.nulls(len(at), pa.string()))
+            ends = start + count + window - 2  # the last word of the last window
+            raw = words.data.tobytes()
+            texts = [b" ".join(raw[s:e].split()) for s, e in zip(words.starts[start].tolist(), words.ends[ends].tolist(), strict=True)]
+            yield _batch(g=prefix.view(np.int64), d=d[row], x=x[row], s=(start - words.first[row]).astype(np.int32), text=pa.array(texts, pa.binary()).cast(pa.string()))
 
     return run
 
 
-def repeated_leaves(words: Words, h: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix tree of each group, cut at the depth of a window: (piece, offset) of each leaf under a node of that depth with more leaves.
+class SuffixArray(NamedTuple):
+    """Suffixes in an order that keeps those of a common prefix together, and how many words each shares with the one before it."""
+
+    piece: np.ndarray
+    offset: np.ndarray
+    common: np.ndarray
 
-    Suffixes are sorted by their words; the leaves of a node are neighbours
-    whose common prefix is at least a window long.
+
+def suffix_array(words: Words, h: np.ndarray, window: int) -> SuffixArray:
+    """The suffixes of all pieces that have a window's words at least, and their common prefixes, which end where a piece ends.
+
+    They are ordered by their first ``window`` words, then by those that
+    follow; common prefixes are found by halving steps over hashes of 1, 2, 4
+    ... words.
     """
-    per = np.diff(words.first) - window + 1
+    per = np.maximum(np.diff(words.first) - window + 1, 0)
     at, piece = ragged(words.first[:-1], per), np.repeat(np.arange(len(per)), per)
-    _, symbol = np.unique(h, return_inverse=True)
-    symbol = (symbol + 1).astype(">u4")
-    rows = np.empty((len(at), window + 1), ">u4")
-    rows[:, 0] = np.unique(group, return_inverse=True)[1][piece] + 1
-    rows[:, 1:] = symbol[at[:, None] + np.arange(window)]
-    keys = rows.reshape(-1).view(f"S{4 * (window + 1)}")
-    order = np.argsort(keys, kind="stable")
-    alike = (rows[order[1:]] == rows[order[:-1]]).all(axis=1)
-    deep = np.concatenate([[False], alike]) | np.concatenate([alike, [False]])
-    leaves = order[deep]
-    leaves.sort()
-    return piece[leaves], at[leaves] - words.first[piece[leaves]]
+    left = words.first[1:][piece] - at
+    half = (window + 1) // 2
+    deep, after = windows(h, window), windows(h, half)
+    follow = np.where(left >= window + half, after[np.minimum(at + window, len(after) - 1)] if len(after) else 0, np.uint64(0))
+    order = np.lexsort((follow, deep[at]))
+    at, piece, left = at[order], piece[order], left[order]
+    a, b, most = at[:-1], at[1:], np.minimum(left[:-1], left[1:])
+    shared = np.zeros(len(most), np.int64)
+    for k in range(max(1, int(most.max(initial=1))).bit_length() - 1, -1, -1):
+        block = windows(h, 1 << k)
+        fits = np.flatnonzero(shared + (1 << k) <= most)
+        alike = fits[block[a[fits] + shared[fits]] == block[b[fits] + shared[fits]]]
+        shared[alike] += 1 << k
+    return SuffixArray(piece, at - words.first[piece], np.concatenate([[0], shared])[: len(at)])
+
+
+def maximal_repeats(suffixes: SuffixArray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, lo, hi): the words of each leaf under an internal node of a window's depth or more, down to its deepest such node; overlapping ones of a piece are one."""
+    depth = np.maximum(suffixes.common, np.append(suffixes.common[1:], 0))
+    leaf = np.flatnonzero(depth >= window)
+    piece, lo = suffixes.piece[leaf], suffixes.offset[leaf]
+    order = np.lexsort((lo, piece))
+    piece, lo, hi = piece[order], lo[order], (lo + depth[leaf])[order]
+    if not len(piece):
+        return piece, lo, hi
+    new = np.concatenate([[True], piece[1:] != piece[:-1]])
+    wide = int(hi.max()) + 1
+    upto = np.maximum.accumulate(hi + piece * wide) - piece * wide  # pieces ascend, so none reaches into the next
+    new[1:] |= lo[1:] > upto[:-1]
+    first = np.flatnonzero(new)
+    return piece[first], lo[first], upto[np.append(first[1:], len(piece)) - 1]
 
 
 def _grow_trees(window: int):
-    """Of pieces sorted by prefix: whole groups at a time, the spans of words in repeated windows."""
+    """Of pieces sorted by prefix: the spans of words of maximal repeats, whole groups at a time."""
 
     def groups(batches) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
@@ -144,19 +231,13 @@ def _grow_trees(window: int):
     def run(batches):
         for table in groups(batches):
             table = table.combine_chunks()
-            g = table.column("g").to_numpy()
-            # groups of one have no deep node
-            _, of, n = np.unique(g, return_inverse=True, return_counts=True)
-            table, g = table.filter(pa.array(n[of] > 1)).combine_chunks(), g[n[of] > 1]
             if not table.num_rows:
                 continue
             words = split(table.column("text"), NOT_SPACE)
-            piece, offset = repeated_leaves(words, hashes(words), g, window)
-            start = table.column("s").to_numpy()[piece] + offset
-            first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (start[1:] != start[:-1] + 1)])) if len(piece) else np.zeros(0, np.int64)
-            last = np.concatenate([first[1:], [len(piece)]]) - 1 if len(piece) else first
-            d, x = (table.column(c).to_numpy()[piece[first]] for c in ("d", "x"))
-            yield _batch(d=d, x=x, lo=start[first].astype(np.int32), hi=(start[last] + window).astype(np.int32))
+            piece, lo, hi = maximal_repeats(suffix_array(words, hashes(words), window), window)
+            start = table.column("s").to_numpy()[piece]
+            d, x = (table.column(c).to_numpy()[piece] for c in ("d", "x"))
+            yield _batch(d=d, x=x, lo=(start + lo).astype(np.int32), hi=(start + hi).astype(np.int32))
 
     return run
 
@@ -170,40 +251,56 @@ def repeated_spans(frame: DataFrame, window: int = 35, text: str = "text", doc_i
     """(d, x, copied, spans): for rows with repeats, the spans [lo, hi) of words in windows that also start elsewhere.
 
     ``copied`` marks texts that several rows have: their windows all repeat,
-    and one row stands for them below. Suffixes are taken at anchors, about
-    one in 14 words, and dealt out by the first words there; prefixes that
-    only one suffix has are dropped. Prefixes with too many suffixes for a
-    task grow to the whole window: such a group is one node, of which only the
-    number of leaves counts, a sum that is formed before the shuffle.
+    and one row stands for them below. Each window's suffixes are dealt out by
+    a prefix of 8 words at its anchor; prefixes that only one anchor has are
+    dropped. Where more than GROUP anchors have a prefix, their windows get
+    anchors of 20 words, then of all words, so that groups fit a task; each
+    group's suffix array gives its internal nodes. At the length of a window a group is
+    one internal node, of any number of leaves: two are enough.
     """
-    scratch = Scratch(frame.sparkSession, "substrings")
-    n_parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _row_keys(frame.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "doc_id", "text")
+    spark = frame.sparkSession
+    scratch = Scratch(spark, "substrings")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _row_keys(frame.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "doc_id", "text").select("d", "x", "text")
     ids = scratch.save(rows.select("d", "x", F.md5(F.col("text").cast("binary")).alias("t")), "ids")
-    several = ids.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("d", "x")).alias("one")).where("c > 1")
-    copies = scratch.save(ids.join(several, "t").select("d", "x", (F.struct("d", "x") == F.col("one")).alias("stands")).distinct(), "copies")
-
-    # copies' anchors go before they are dealt out; the texts themselves needn't move for it
-    every = rows.select("d", "x", "text").mapInArrow(_find_anchors(window), "g bigint, d bigint, x bigint, a int")
-    found = scratch.save(every.join(copies.where("NOT stands"), ["d", "x"], "left_anti"), "anchors")
-    counts = found.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    shared = scratch.save(counts.select("g", (F.col("c") > GROUP).alias("hot")), "prefixes")
-    lists = found.join(shared, "g").groupBy("d", "x").agg(F.collect_list(F.when(~F.col("hot"), F.col("a"))).alias("cold"), F.collect_list(F.when(F.col("hot"), F.col("a"))).alias("hot"))
-    lists = scratch.save(lists, "lists")
-    scratch.drop("anchors", "prefixes")
-    cut = rows.select("d", "x", "text").join(lists, ["d", "x"]).mapInArrow(_cut_suffixes(window), "g bigint, g2 bigint, d bigint, x bigint, s int, text string")
-    cut = scratch.save(cut, "suffixes")
-    scratch.drop("lists")
-
-    trees = cut.where("text IS NOT NULL").select("g", "d", "x", "s", "text").repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(_grow_trees(window), "d bigint, x bigint, lo int, hi int")
-    hot = cut.where("text IS NULL").select("g", "g2", "d", "x", "s")
-    nodes = hot.groupBy("g", "g2").agg(F.count("*").alias("c")).where("c > 1").select("g", "g2")
-    leaves = hot.join(nodes, ["g", "g2"]).select("d", "x", F.col("s").alias("lo"), (F.col("s") + window).alias("hi"))
-    spans = trees.unionByName(leaves).groupBy("d", "x").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")).withColumn("copied", F.lit(False))
+    several, seen = scratch.measured(ids.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("d", "x")).alias("one")).where("c > 1"), "several", n=F.count("*"))
+    copies = scratch.save(ids.join(small(several, seen["n"]), "t").select("d", "x", (F.struct("d", "x") == F.col("one")).alias("stands")).distinct(), "copies")
+
+    trees, lists, before, hot = [], None, None, None
+    for length in [n for n in PREFIXES if n < window] + [window]:
+        # hot prefixes are few, as each has many anchors: tasks know them, and texts needn't move
+        at_hand = rows if lists is None or hot is not None else rows.join(lists.where("size(hot) > 0").select("d", "x", "hot"), ["d", "x"])
+        found = at_hand.mapInArrow(_find_anchors(window, length, before, hot), "g bigint, g2 bigint, d bigint, x bigint, a int")
+        # copies' anchors go before they are dealt out; the texts themselves needn't move for it
+        found = scratch.save(found.join(copies.where("NOT stands"), ["d", "x"], "left_anti"), f"anchors-{length}")
+        counts, seen = scratch.measured(found.groupBy("g", "g2").agg(F.count("*").alias("c")).where("c > 1"), f"prefixes-{length}", n=F.count("*"), hot=F.count_if(F.col("c") > GROUP))
+        if length == window:
+            if seen["n"] <= SENT and hot is not None:
+                nodes = {r.g: r.g2 for r in counts.toLocalIterator()}
+                trees.append(rows.mapInArrow(_find_leaves(window, before, hot, nodes), "d bigint, x bigint, lo int, hi int"))
+            else:
+                leaves = found.join(counts.select("g", "g2"), ["g", "g2"])
+                trees.append(leaves.select("d", "x", F.col("a").alias("lo"), (F.col("a") + window).alias("hi")))
+            break
+        found, several = found.select("g", "d", "x", "a"), small(counts.where(F.col("c") > GROUP).select("g"), seen["hot"])
+        fit = found.join(several, "g", "left_anti").join(counts.where(F.col("c") <= GROUP).select("g"), "g").withColumn("is_hot", F.lit(False))
+        hot = np.sort(np.array([r.g for r in counts.where(F.col("c") > GROUP).toLocalIterator()], np.int64).view(np.uint64)) if seen["hot"] <= SENT else None
+        if hot is None:
+            fit = fit.unionByName(found.join(several, "g").withColumn("is_hot", F.lit(True)))
+        lists = fit.groupBy("d", "x").agg(F.collect_list(F.when(~F.col("is_hot"), F.col("a"))).alias("cold"), F.collect_list(F.when(F.col("is_hot"), F.col("a"))).alias("hot"))
+        lists = scratch.save(lists, f"lists-{length}")
+        cut = rows.join(lists.where("size(cold) > 0").select("d", "x", "cold"), ["d", "x"]).mapInArrow(_cut_suffixes(window, length), "g bigint, d bigint, x bigint, s int, text string")
+        cut = scratch.save(cut, f"suffixes-{length}")
+        scratch.drop(f"anchors-{length}", f"prefixes-{length}")
+        trees.append(cut.repartition(n_parts, "g").sortWithinPartitions("g").mapInArrow(_grow_trees(window), "d bigint, x bigint, lo int, hi int"))
+        if not seen["hot"]:
+            break
+        before = length
+    spans = reduce(DataFrame.unionByName, trees).groupBy("d", "x").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")).withColumn("copied", F.lit(False))
     spans = spans.join(copies.select("d", "x"), ["d", "x"], "left_anti")
     all_of = copies.select("d", "x", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(True).alias("copied"))
     out = scratch.save(spans.select("d", "x", "spans", "copied").unionByName(all_of), "spans")
-    scratch.drop("suffixes", "ids", "copies")
+    scratch.drop("ids", "several", "copies", *(f"{kind}-{n}" for kind in ("anchors", "prefixes", "lists", "suffixes") for n in (*PREFIXES, window)))
     return out
 
 
