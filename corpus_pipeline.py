@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from walkrank.llm import bpe, decontaminate, neardup, substrings, toxicity
 from walkrank.llm.queries import table, tokenizer_path
-from walkrank.llm.scratch import Scratch
+from walkrank.llm.scratch import Scratch, mark, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -16,7 +16,12 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on the labelled rows among these, scores below 0.5."""
+    """Documents that the model, fitted on the labelled rows among these, scores below 0.5.
+
+    Null and empty texts have the score of no terms; repeated rows stay or go
+    together; without labels of both kinds all stay; columns beyond those of
+    documents are not kept.
+    """
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs.select(*COLUMNS), machine, score="__toxicity").where("__toxicity < 0.5").select(*COLUMNS)
 
@@ -35,8 +40,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     row = F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text").isNull(), "text")
     own = F.col("doc_id") if several.isEmpty() else row
     keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), own).when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), row))
-    again = scratch.save(keyed.where("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("c")).where("c > 1").select("__key"), "again")
-    if again.isEmpty():
+    again, seen = scratch.measured(keyed.where("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("c")).where("c > 1").select("__key"), "again", n=F.count("*"))
+    if not seen["n"]:
         return keyed
     some = keyed.where("__key IS NOT NULL")
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
@@ -73,7 +78,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text."""
+    """doc_id, n_tokens and the digests of the ids and of the decoded text, for each row: null texts count as empty, repeated rows and null ids stay."""
     return bpe.bpe_round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
@@ -91,6 +96,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
+        begun = mark()
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
+        release(spark, begun)  # what the stage itself has written
         scratch.drop(f"stage-{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,18 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from walkrank.llm.scratch import Scratch
+from walkrank.llm.scratch import Scratch, small
 from walkrank.llm.words import NOT_SPACE, hashes, mix, pieces, split, windows
 
 #: Size bands grow by this factor; a part more than the bound for each so many differences keeps parts non-empty.
 BAND_RATIO, SLACK_SHARE = 1.4, 0.10
 #: Bits of the smallest sketch for the Hamming bound; larger sets have the next power of two.
 SKETCH_BITS = 1024
-#: Rows of a bucket that meet in one step of the exact pass.
-QUERY_BLOCK, TARGET_BLOCK = 512, 2048
+#: A key's low bits name its band.
+BAND_BITS = 6
+#: Most rows of a key that are joined by it in one task; larger ones are dealt out as they come.
+HOT = 1_000
+#: 64-bit words of the rows of a bucket that meet in one cell, on either side, and what a row takes besides its arrays.
+QUERY_WORDS, TARGET_WORDS, ROW_WORDS = 1 << 17, 1 << 18, 64
 
 
 def shingle_sets(column: pa.Array, words: int = 5) -> list[np.ndarray]:
@@ -78,6 +82,12 @@ class Bands:
         return [b for b in range(band, least - 1, -1) if b >= 0 and self.differ(b) > 0]
 
 
+def dealt(shingles: np.ndarray, bands: Bands, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each shingle, ascending, and the first shingle of each part that isn't empty."""
+    part = ((shingles >> np.uint64(32)) * np.uint64(bands.parts(band))) >> np.uint64(32)
+    return part, np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+
+
 def band_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """Join keys: the XOR of the shingles of each part of the sketch, by band and part.
 
@@ -87,17 +97,25 @@ def band_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """
     out = [shingles[:0]]
     for band in bands.joined(len(shingles)):
-        p = bands.parts(band)
-        part = ((shingles >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)  # grows with the sorted hashes
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        parity = np.bitwise_xor.reduceat(shingles, first)
-        out.append(mix(parity ^ mix(part[first] + np.uint64(band << 40))))
-        if p - len(first) >= p - bands.differ(band):
+        p, name = bands.parts(band), np.uint64(band)
+        part, first = dealt(shingles, bands, band)
+        keys = [mix(np.bitwise_xor.reduceat(shingles, first) ^ mix(part[first] + np.uint64(band << 40)))]
+        if len(first) <= bands.differ(band):
             empty = np.setdiff1d(np.arange(p, dtype=np.uint64), part[first])
-            out.append(mix(mix(empty + np.uint64(band << 40)) ^ np.uint64(0x5EED)))
+            keys.append(mix(mix(empty + np.uint64(band << 40)) ^ np.uint64(0x5EED)))
+        out.append((np.concatenate(keys) >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) | name)
     return np.concatenate(out)
 
 
+def needs(shingles: np.ndarray, bands: Bands) -> list[int]:
+    """For each band of a set, as band << 32 | need: how many of its keys a linked set of that band has at least."""
+    out = []
+    for band in bands.joined(len(shingles)):
+        filled = len(dealt(shingles, bands, band)[1])
+        out.append(band << 32 | max(1, filled - bands.differ(band)))
+    return out
+
+
 def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
@@ -106,12 +124,13 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r) for r in rows)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *(r.view(np.int64) for r in rows)])))
 
 
-def _fingerprints(words: int):
+def _fingerprints(words: int, percent: int):
     def run(batches):
+        bands = Bands(percent)
         for batch in pieces(batches, "text"):
             sets = shingle_sets(batch.column("text"), words)
             prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
-            yield _batch(doc_id=batch.column("doc_id"), n_shingles=np.array([len(s) for s in sets], np.int64), f1=prints[:, 0], f2=prints[:, 1], sketch=_lists([sketch(s) for s in sets]))
+            yield _batch(doc_id=batch.column("doc_id"), n_shingles=np.array([len(s) for s in sets], np.int64), f1=prints[:, 0], f2=prints[:, 1], sketch=_lists([sketch(s) for s in sets]), needs=_lists([np.array(needs(s, bands), np.int64) for s in sets]))
 
     return run
 
@@ -198,21 +217,22 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     neighbours go to the smallest. Minima are partial aggregates and the joins
     can be split, so a node with many links is no hot spot.
     """
-    e = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
-    state, step = None, 0
-    while True:
+    state = {"n": F.count("*"), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    e, before = scratch.measured(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0", **state)
+    step = 0
+    while before["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        nearer = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         step += 1
-        e = scratch.save(small, f"{name}-{step}")
+        e, now = scratch.measured(nearer, f"{name}-{step}", **state)
         scratch.drop(f"{name}-{step - 1}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return e.select(F.col("u").alias("doc"), F.col("v").alias("root"))
-        state = now
+        if now == before:
+            break
+        before = now
+    return e.select(F.col("u").alias("doc"), F.col("v").alias("root"))
 
 
 def _views(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -298,17 +318,41 @@ def _meet(percent: int, exact: bool):
     return run
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """Rows (k, doc, root, ...) of buckets, dealt to cells: blocks of those outside the bucket's largest class meet blocks of all."""
-    classes = rows.groupBy("k", "root").agg(F.count("*").alias("c"))
-    size = classes.groupBy("k").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("main")).where("all > most")
-    rows = rows.join(size, "k")
-    q_blocks, t_blocks = F.ceil((F.col("all") - F.col("most")) / QUERY_BLOCK), F.ceil(F.col("all") / TARGET_BLOCK)
+def of_keys(rows: DataFrame, keys: DataFrame, n_large: int) -> DataFrame:
+    """The rows whose k is among keys(k, c), with c, the number of rows there. Rows of keys of more than HOT rows, of which there are n_large, aren't dealt out by them."""
+    large = small(keys.where(F.col("c") > HOT), n_large)
+    rest = rows.join(large.select("k"), "k", "left_anti").join(keys.where(F.col("c") <= HOT), "k")
+    return rest.unionByName(rows.join(large, "k"))
+
+
+def likely(rows: DataFrame, traits: DataFrame) -> DataFrame:
+    """Of rows (k, doc, root, c) of all buckets that span classes: those at which linked documents must meet.
+
+    Linked documents of different classes share as many of these keys as both
+    need. Documents with fewer in a band go; of the others' keys, those of the
+    smallest buckets stay, as many as leave out one key less than they need:
+    two such choices have a key in common. So a key that very many documents
+    share, as of a common passage, by itself brings nobody together.
+    """
+    need = traits.select("doc", F.explode("needs").alias("v")).groupBy("doc", F.shiftright("v", 32).alias("band")).agg(F.min(F.col("v").bitwiseAND(F.lit(0xFFFFFFFF))).alias("need"))
+    mine = Window.partitionBy("doc", "band")
+    rows = rows.withColumn("band", F.col("k").bitwiseAND(F.lit((1 << BAND_BITS) - 1)))
+    rows = rows.withColumn("i", F.row_number().over(mine.orderBy("c", "k"))).withColumn("own", F.count("*").over(mine)).join(need, ["doc", "band"])
+    return rows.where("own >= need AND i <= own - need + 1").select("k", "doc", "root")
+
+
+def _cells(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows (k, doc, root, words, ...) of buckets, dealt to cells of bounded size: blocks of those outside the bucket's largest class meet blocks of all."""
+    classes = rows.groupBy("k", "root").agg(F.sum("words").alias("w"))
+    sums = classes.groupBy("k").agg(F.sum("w").alias("all"), F.max("w").alias("most"), F.max_by("root", F.struct("w", "root")).alias("main")).where("all > most")
+    sums, seen = scratch.measured(sums, name, n=F.count("*"))
+    rows = rows.join(small(sums, seen["n"]), "k")
+    q_blocks, t_blocks = F.ceil((F.col("all") - F.col("most")) / QUERY_WORDS), F.ceil(F.col("all") / TARGET_WORDS)
     spread = F.xxhash64("doc")
     outer = rows.where("root <> main").withColumn("query", F.lit(True)).withColumn("qb", F.pmod(spread, q_blocks)).withColumn("tb", F.explode(F.sequence(F.lit(0).cast("bigint"), t_blocks - 1)))
     inner = rows.withColumn("query", F.lit(False)).withColumn("tb", F.pmod(spread, t_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), q_blocks - 1)))
     cell = ["k", "qb", "tb"]
-    return outer.unionByName(inner).drop("all", "most", "main").repartition(*cell).sortWithinPartitions(*cell, "query", "doc")
+    return outer.unionByName(inner).drop("all", "most", "main", "words").repartition(*cell).sortWithinPartitions(*cell, "query", "doc")
 
 
 def link_classes(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -326,24 +370,25 @@ def link_classes(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     key in bounded runs. Pairs of a document and the first of a run are left
     out if the sketches' Hamming distance is too large; each document is then
     verified against one such partner, and against its others of another
-    class. Buckets of three or more that still span classes are searched in
-    blocks, by the sketches and then exactly, until every pair of different
-    classes in a bucket has been compared or joined. Equal and joined documents need no more pairs, so
+    class. In buckets of three or more that still span classes, documents with
+    too few such keys for a link go (see likely); the rest is searched in
+    cells of bounded size, by the sketches and then exactly, until every pair
+    of different classes in a bucket has been compared or joined. Equal and joined documents need no more pairs, so
     groups of copies cost rows in proportion to their size.
     """
     scratch = Scratch(frame.sparkSession, "neardup")
     n_parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = frame.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    docs = scratch.save(rows.mapInArrow(_fingerprints(words), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch array<bigint>"), "docs")
+    docs = scratch.save(rows.mapInArrow(_fingerprints(words, percent), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch array<bigint>, needs array<bigint>"), "docs")
     some = docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = scratch.save(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
     stand = some.join(reps.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "n_shingles", "doc_id"], "left_semi")
-    traits = scratch.save(stand.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["doc", "n", "sketch"]), "traits")
+    traits = scratch.save(stand.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch", "needs").dropDuplicates(["doc", "n", "sketch"]), "traits")
 
     kept = rows.join(traits.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
     keys = kept.mapInArrow(_keys(words, percent), "k bigint, doc bigint, pivot bigint")
-    dealt = keys.repartition(n_parts, F.when(F.col("doc") == F.col("pivot"), F.col("k")).otherwise(F.xxhash64("doc"))).sortWithinPartitions("k", "doc")
-    members = scratch.save(dealt.mapInArrow(_runs, "k bigint, doc bigint, pivot bigint"), "members")
+    ordered = keys.repartition(n_parts, F.when(F.col("doc") == F.col("pivot"), F.col("k")).otherwise(F.xxhash64("doc"))).sortWithinPartitions("k", "doc")
+    members = scratch.save(ordered.mapInArrow(_runs, "k bigint, doc bigint, pivot bigint"), "members")
 
     pairs = scratch.save(plausible(members.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), traits, percent).distinct(), "pairs")
 
@@ -352,31 +397,37 @@ def link_classes(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 
     sets = scratch.save(sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))), "sets")
     links = scratch.save(verified(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "links-1")
-    roots = components(links, scratch, "roots-1")
 
-    def labelled(frame: DataFrame, key: str, root: str) -> DataFrame:
+    def labelled(frame: DataFrame, roots: DataFrame, key: str, root: str) -> DataFrame:
         return frame.join(roots.select(F.col("doc").alias(key), F.col("root").alias(root)), key, "left").withColumn(root, F.coalesce(root, key))
 
-    rest = labelled(labelled(pairs, "a", "r1"), "b", "r2").where("r1 <> r2").select("a", "b")
-    more = scratch.save(verified(rest, sets, percent), "links-2")
-    roots = components(links.unionByName(more), scratch, "roots-2")
+    linked = links.select(F.col("a").alias("doc"), F.col("b").alias("root"))  # a row a document at most
+    rest = labelled(labelled(pairs, linked, "a", "r1"), linked, "b", "r2").where("r1 <> r2").select("a", "b")
+    links = links.unionByName(scratch.save(verified(rest, sets, percent), "links-2"))
+    roots = components(links, scratch, "roots-1")
 
+    # buckets of two have been compared; of the others, those that still span classes
+    hot = F.count_if(F.col("c") > HOT)
+    larger, seen = scratch.measured(members.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "larger", hot=hot)
     bucket = members.select("k", "doc").unionByName(members.select("k", F.col("pivot").alias("doc"))).distinct()
-    mixed = members.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    spans = labelled(bucket.join(mixed, "k", "left_semi"), "doc", "root")
-    several = spans.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    open_rows = scratch.save(spans.join(several, "k", "left_semi"), "open")
-    maybe = _cells(open_rows.join(traits, "doc")).select("k", "qb", "tb", "query", "doc", "root", "n", "sketch").mapInArrow(_meet(percent, False), "k bigint, doc bigint").distinct()
-    maybe = scratch.save(maybe.join(open_rows, ["k", "doc"]), "maybe")
-    again = maybe.join(traits, "doc").join(sets_of(maybe.select(F.col("doc").alias("doc_id"))).select("doc", "shingles"), "doc")
-    last = _cells(again).select("k", "qb", "tb", "query", "doc", "root", "n", "sketch", "shingles").mapInArrow(_meet(percent, True), "a bigint, b bigint").distinct()
-    last = scratch.save(last, "links-3")
+    spans = scratch.save(labelled(of_keys(bucket, larger, seen["hot"]).select("k", "doc"), roots, "doc", "root"), "spans")
+    several, seen = scratch.measured(spans.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("k", "c"), "several", hot=hot)
+    open_rows, left = scratch.measured(likely(of_keys(spans, several, seen["hot"]), traits), "open", n=F.count("*"))
+    scratch.drop("members", "pairs", "sets", "larger", "spans", "several")
+    more = roots.select(F.col("doc").alias("a"), F.col("root").alias("b"))
+    if left["n"]:
+        met = open_rows.join(traits.drop("needs"), "doc").withColumn("words", F.size("sketch") + ROW_WORDS)
+        maybe = _cells(met, scratch, "cells-1").select("k", "qb", "tb", "query", "doc", "root", "n", "sketch").mapInArrow(_meet(percent, False), "k bigint, doc bigint").distinct()
+        maybe = scratch.save(maybe.join(open_rows, ["k", "doc"]), "maybe")
+        again = maybe.join(traits.drop("needs"), "doc").join(sets_of(maybe.select(F.col("doc").alias("doc_id"))).select("doc", "shingles"), "doc").withColumn("words", F.size("sketch") + F.size("shingles") + ROW_WORDS)
+        last = _cells(scratch.save(again, "again"), scratch, "cells-2").select("k", "qb", "tb", "query", "doc", "root", "n", "sketch", "shingles").mapInArrow(_meet(percent, True), "a bigint, b bigint").distinct()
+        more = more.unionByName(scratch.save(last, "links-3"))
     # rows that share a doc_id are one document
     own = docs.where("n_shingles > 0 AND doc_id IS NOT NULL").join(reps, ["f1", "f2", "n_shingles"]).select("doc_id", "rep").distinct()
     least = own.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1")
-    same = scratch.save(own.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"), "same-id")
-    roots = components(links.unionByName(more).unionByName(last).unionByName(same), scratch, "roots-3")
-    scratch.drop("members", "pairs", "sets", "open", "maybe")
+    more = more.unionByName(scratch.save(own.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"), "same-id"))
+    roots = components(more, scratch, "roots-2")
+    scratch.drop("open", "cells-1", "maybe", "again", "cells-2")
 
-    named = docs.join(reps, ["f1", "f2", "n_shingles"], "left").join(roots.withColumnRenamed("doc", "rep"), "rep", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    named = docs.select("doc_id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2", "n_shingles"], "left").join(roots.withColumnRenamed("doc", "rep"), "rep", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
