@@ -100,7 +100,7 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words, self.kept = Kept(), Kept()
+        self.words, self.kept = Kept(), Kept(2 * CACHE)
         self.alphabet = byte_alphabet()
         self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         with open(path, encoding="utf-8") as f:
