@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkrank.llm import bpe, decontaminate, html_text, neardup, substrings, token_files, topk, toxicity, urls, warc
+from walkrank.llm import bpe, decontaminate, divergence, html_text, merkle, neardup, quality, substrings, token_files, topk, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,9 +152,122 @@ SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN n
 """
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM g) LEFT JOIN k USING (lang) GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM w JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, CAST(coalesce(sum(c), 0) AS HUGEINT) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (n.n + 2 * v.v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(c)::HUGEINT + 2) // (any_value(t) + 2 * any_value(v)) AS q FROM p JOIN (SELECT lang, sum(n) AS t FROM n GROUP BY 1) USING (lang) JOIN v USING (lang) GROUP BY ALL),
+f AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+t AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM f UNION ALL SELECT lang, source, 'term', item, value FROM t),
+r AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    documents = table(spark, sf_dir, "documents").select(*fields)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaf = merkle.leaf_digest(*map(F.col, fields))
+    claim = F.when(tampered, merkle.leaf_digest(*map(F.col, fields[:-1]), lowered)).otherwise(leaf)
+    rows = merkle.proofs(merkle.build(documents.withColumn("claim", claim), leaf, keep=["doc_id", "claim"]))
+    folded = rows.select(F.col("row.doc_id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.fold(F.col("row.claim"), F.col("path")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op12_sql(levels: int = 6, upper: int = 4) -> str:
+    """Trees of at most 16^levels rows, and of 16^upper sources, level by level. A level that has one node stays as it is."""
+
+    def tree(name: str, n: int) -> str:
+        return "".join(
+            f"""{name}r{i} AS MATERIALIZED (SELECT tree, idx // 16 AS up, any_value(size) AS size, list(d ORDER BY idx) AS run FROM {name}{i} GROUP BY ALL),
+{name}{i + 1} AS (SELECT tree, up AS idx, CASE WHEN size > 1 THEN (size + 15) // 16 ELSE 1 END AS size, CASE WHEN size > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS d FROM {name}r{i}),
+"""
+            for i in range(n)
+        )
+
+    def climb(rows: str, name: str, n: int, to: str) -> str:
+        """Proof and folded digest of each row, level by level."""
+        out = ""
+        for i in range(n):
+            before, after = f"array_to_string(run[1:spot % 16], '')", f"array_to_string(run[spot % 16 + 2:], '')"
+            source = rows if i == 0 else f"{to}{i - 1}"
+            out += f"""{to}{i} AS (SELECT x.* EXCLUDE (spot, proof, own), spot // 16 AS spot, CASE WHEN size > 1 THEN proof || {before} || {after} ELSE proof END AS proof, CASE WHEN size > 1 THEN sha256({before} || own || {after}) ELSE own END AS own FROM {source} x JOIN {name}r{i} y ON x.tree = y.tree AND x.spot // 16 = y.up),
+"""
+        return out
+
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    shift = "CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
+    crc = "i"
+    steps = ""
+    for k in range(8):
+        steps += f"s{k} AS (SELECT i, {shift.format(c=crc)} AS c FROM {'bytes' if k == 0 else f's{k - 1}'}),\n"
+        crc = "c"
+    return f"""WITH bytes AS (SELECT CAST(unnest(range(256)) AS BIGINT) AS i),
+{steps}crcs AS (SELECT list(c ORDER BY i) AS t FROM s7),
+h AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '-') AS name, sha256({head} || {value("text")}) AS leaf, sha256({head} || {value(low)}) AS lowered,
+  coalesce(xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295) % 5 = 0, false) AS tampered FROM documents, crcs),
+trees AS (SELECT name, n, row_number() OVER (ORDER BY name) - 1 AS tree FROM (SELECT name, count(*) AS n FROM h GROUP BY 1)),
+p AS MATERIALIZED (SELECT r, doc_id, tree, n AS size, leaf, CASE WHEN tampered THEN lowered ELSE leaf END AS claim, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM h JOIN trees USING (name)),
+a0 AS (SELECT tree, idx, size, leaf AS d FROM p),
+{tree("a", levels)}b0 AS (SELECT 0 AS tree, tree AS idx, (SELECT count(*) FROM trees) AS size, d FROM a{levels}),
+{tree("b", upper)}c AS (SELECT r, doc_id, tree, leaf, idx AS spot, '' AS proof, claim AS own FROM p),
+{climb("c", "a", levels, "up")}e AS (SELECT u.r, u.doc_id, 0 AS tree, u.tree AS spot, u.leaf, s.d AS subroot, u.proof, u.own FROM up{levels - 1} u JOIN a{levels} s ON s.tree = u.tree),
+{climb("e", "b", upper, "top")}z AS (SELECT d AS root FROM b{upper})
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, own AS folded_root, own = root AS verified FROM top{upper - 1}, z"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality.host_quality(documents, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op13_sql() -> str:
+    rules = quality.RULES
+    each = lambda text: ", ".join(text.format(r=r.name, fails=r.fails, limit=r.limit) for r in rules)
+    low, high = quality.STRENGTH
+    return f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+i AS (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
+s AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS s FROM i),
+m AS (SELECT r, i FROM s QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM m) GROUP BY r),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w),
+b AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+k AS MATERIALIZED (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(ws, '')), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (r) LEFT JOIN b USING (r)),
+h AS (SELECT source, count(*) AS n, {each("CAST(count(*) FILTER ({fails}) AS DOUBLE) AS f_{r}")} FROM k GROUP BY source),
+t AS (SELECT CAST(count(*) AS DOUBLE) AS hosts, CAST(sum(n) AS DOUBLE) AS docs, sum(CAST(n AS DOUBLE) * n) AS squares, {each("sum(f_{r}) / sum(n) AS m_{r}, sum(f_{r} * f_{r} / n) - sum(f_{r}) * sum(f_{r}) / sum(n) AS s_{r}")} FROM h),
+e AS (SELECT *, docs - squares / docs - (hosts - 1) AS room, {each("s_{r} - (hosts - 1) * m_{r} * (1 - m_{r}) AS x_{r}, m_{r} * (1 - m_{r}) AS v_{r}")} FROM t),
+a AS (SELECT *, {each(f"CASE WHEN x_{{r}} > 0 AND v_{{r}} > 0 AND room > 0 THEN least({high}e0, greatest({low}e0, v_{{r}} * room / x_{{r}} - 1)) ELSE {high}e0 END AS a_{{r}}")} FROM e),
+g AS (SELECT source, {" OR ".join(f"((f_{r.name} + m_{r.name} * a_{r.name}) / (n + a_{r.name}) > {r.limit}e0 AND f_{r.name} > {r.limit}e0 * n)" for r in rules)} AS bad FROM h, a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {" OR ".join(f"({r.fails})" for r in rules if r.alone)} AS base_failed, NOT ({" OR ".join(f"({r.fails})" for r in rules if r.alone)} OR bad) AS kept
+FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_html_extraction, op4_token_files, op5_decontamination, op6_toxicity, op7_ngram_jaccard, op8_substring_dedup, op9_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_html_extraction, op4_token_files, op5_decontamination, op6_toxicity, op7_ngram_jaccard, op8_substring_dedup, op9_bpe, op10_warc, op11_source_divergence, op12_merkle_manifest, op13_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op1_url_filters": OP1_SQL, "op2_exact_topk": OP2_SQL, "op5_decontamination": OP5_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_quality_rules": OP13_SQL}
