@@ -209,36 +209,37 @@ def _step(run: Column, place: Column) -> Column:
     return F.struct(F.array_join(F.slice(run, F.lit(1), place), "").alias("before"), F.array_join(F.slice(run, place + 2, F.size(run)), "").alias("after"))
 
 
-def _down(nodes: DataFrame, tops: DataFrame, depth: int, arity: int) -> DataFrame:
-    """(tree, idx, children, path, subroot) of the lowest nodes, for tops(tree, level, path, subroot): each level takes its path from its parents by their reverse links, of which a parent has ``arity`` at most."""
-    empty = nodes.where("false").join(tops, ["tree", "level"]).select("tree", "idx", "children", "path", "subroot")
-    above = empty
+def _linked(rows: DataFrame, links: DataFrame, tops: DataFrame, arity: int) -> DataFrame:
+    """rows(tree, idx, ...) with path and subroot, from links(tree, idx, children, path, subroot), their parents, of which each has ``arity`` rows at most, and for a tree whose top they are from tops(tree, path, subroot)."""
+    up = links.select("tree", F.col("idx").alias("__up"), F.col("children").alias("__run"), "path", "subroot")
+    own = tops.select("tree", F.lit(0).cast("bigint").alias("__up"), F.lit(None).cast("array<string>").alias("__run"), "path", "subroot")
+    rows = rows.withColumn("__up", F.floor(F.col("idx") / arity)).join(up.unionByName(own), ["tree", "__up"])
+    step = _step(F.col("__run"), (F.col("idx") % arity).cast("int"))
+    return rows.withColumn("path", F.when(F.col("__run").isNull(), F.col("path")).otherwise(F.concat(F.array(step), "path"))).drop("__up", "__run")
+
+
+def _down(scratch: Scratch, nodes: DataFrame, tops: DataFrame, depth: int, name: str, arity: int) -> DataFrame:
+    """links(tree, idx, children, path, subroot) of the lowest nodes, for tops(tree, level, path, subroot): level by level from the tops, by reverse links."""
+    links = nodes.select("tree", "idx", "children").where("false").join(tops, "tree").drop("level")
     for level in range(depth, 0, -1):
-        here = nodes.where(F.col("level") == level).select("tree", "idx", "children", "top")
-        first = here.where("top").join(tops.where(F.col("level") == level).drop("level"), "tree").select(*empty.columns)
-        up = above.select("tree", F.col("idx").alias("__up"), F.col("children").alias("__run"), "path", "subroot")
-        rest = here.withColumn("__up", F.floor(F.col("idx") / arity)).join(up, ["tree", "__up"])
-        step = _step(F.col("__run"), (F.col("idx") % arity).cast("int"))
-        above = first.unionByName(rest.withColumn("path", F.concat(F.array(step), "path")).select(*empty.columns))
-    return above
+        here = nodes.where(F.col("level") == level).select("tree", "idx", "children")
+        links = scratch.save(_linked(here, links, tops.where(F.col("level") == level), arity), f"{name}-{level}")
+    return links
 
 
 def proofs(manifest: Manifest) -> DataFrame:
     """The leaves (their row, leaf, ...) with subroot, root and path: array of (before, after), the siblings of each level up to the root, digests one after the other. A path's length follows from the number of rows, not its size from any group's."""
     m, arity = manifest, manifest.arity
+    scratch = Scratch(m.leaves.sparkSession, "proofs")
     upper, lower = m.nodes.where(F.col("tree") == UPPER), m.nodes.where(F.col("tree") != UPPER)
     none = F.array().cast("array<struct<before:string,after:string>>")
     depth = {r["up"]: r["level"] for r in m.nodes.groupBy((F.col("tree") == UPPER).alias("up")).agg(F.max("level").alias("level")).collect()}  # two rows
-    subroots = lower.where("top").select("tree", "level", F.col("digest").alias("subroot")).unionByName(m.leaves.where("n = 1").select("tree", F.lit(0).alias("level"), F.col("leaf").alias("subroot")))
-    if True in depth:
-        start = upper.where("top").select("tree", "level", none.alias("path"), F.col("digest").alias("subroot"))
-        runs = _down(upper, start, depth[True], arity).select(F.col("idx").alias("__up"), "children", "path")
-        step = _step(F.col("children"), (F.col("tree") % arity).cast("int"))
-        subroots = subroots.withColumn("__up", F.floor(F.col("tree") / arity)).join(runs, "__up").withColumn("path", F.concat(F.array(step), "path")).drop("__up", "children")
-    else:
-        subroots = subroots.withColumn("path", none)
-    alone = m.leaves.where("n = 1").join(subroots.where("level = 0").select("tree", "subroot", "path"), "tree")
-    runs = _down(lower, subroots, depth.get(False, 0), arity).select("tree", F.col("idx").alias("__up"), "children", "path", "subroot")
-    several = m.leaves.where("n > 1").withColumn("__up", F.floor(F.col("idx") / arity)).join(runs, ["tree", "__up"])
-    several = several.withColumn("path", F.concat(F.array(_step(F.col("children"), (F.col("idx") % arity).cast("int"))), "path"))
-    return several.select(*alone.columns).unionByName(alone).withColumn("root", F.lit(m.root).cast("string"))
+    tops = lower.where("top").select("tree", "level", F.col("digest").alias("subroot")).unionByName(m.leaves.where("n = 1").select("tree", F.lit(0).alias("level"), F.col("leaf").alias("subroot")))
+    # a tree's top is a leaf of the upper tree
+    first = upper.where("top").select("tree", "level", none.alias("path"), "digest") if True in depth else tops.select(F.lit(UPPER).cast("bigint").alias("tree"), F.lit(0).alias("level"), none.alias("path"), F.col("subroot").alias("digest"))
+    first = first.withColumnRenamed("digest", "subroot")
+    rows = tops.select(F.lit(UPPER).cast("bigint").alias("tree"), F.col("tree").alias("idx"), "level", F.col("subroot").alias("own"))
+    rows = _linked(rows, _down(scratch, upper, first, depth.get(True, 0), "upper", arity), first.where("level = 0"), arity)
+    tops = scratch.save(rows.select(F.col("idx").alias("tree"), "level", "path", F.col("own").alias("subroot")), "tops")
+    links = _down(scratch, lower, tops, depth.get(False, 0), "links", arity)
+    return _linked(m.leaves, links, tops.where("level = 0"), arity).withColumn("root", F.lit(m.root).cast("string"))
