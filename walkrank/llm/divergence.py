@@ -19,7 +19,7 @@ LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 #: Shares are counted in parts of this many.
 PARTS = 1_000_000_000
 #: Bytes of text whose terms a task counts together; rows of counts in a block of terms, that is, what a task of the audit holds; seats of a language at most.
-TALLY_BYTES, BLOCK_ROWS, SEATS = 12 << 20, 400_000, 15
+TALLY_BYTES, BLOCK_ROWS, SEATS = 6 << 20, 400_000, 15
 #: Groups for which a language gets another seat.
 GROUPS = 4
 
