@@ -23,6 +23,12 @@ def uniform(*parts) -> Column:
     return draw(*parts) / F.lit(4294967296.0)
 
 
+def race(weight, *parts) -> Column:
+    """When a candidate arrives in an exponential race: the first of several is each with a chance in proportion to its weight. ``parts`` tell the draw apart and name the candidate; null without a positive weight."""
+    u = (draw(*parts) + F.lit(0.5)) / F.lit(4294967296.0)
+    return F.when(_column(weight) > 0, -F.ln(u) / _column(weight))
+
+
 def uniform_py(*parts) -> float:
     """The same draw in Python."""
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0

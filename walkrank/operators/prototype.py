@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from walkrank.functions import heuristics as h
-from walkrank.functions.rng import uniform, uniform_py
+from walkrank.functions.rng import uniform_py
 from walkrank.functions.vectors import cosine
 from walkrank.operators.search import sized, top_n
 from walkrank.operators.walk import pick, quantised, sampled_starts
@@ -29,9 +29,9 @@ def flow_visits(queries: DataFrame, graph: Graph, trajectories: int = 20, steps:
     visits = at.select("query_id", "agent_id", F.lit(0).alias("step"), "node_id")
     relevance = graph.nodes.select(F.col("node_id").alias("dst"), "relevance")
     for step in range(1, steps + 1):
-        hops = at.join(graph.edges, F.col("node_id") == F.col("src")).where(~F.array_contains("seen", F.col("dst"))).join(relevance, "dst").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
-        hops = hops.withColumn("w", quantised(F.exp(5.0 * F.col("relevance")))).withColumn("u", uniform(F.col("query_id"), F.col("agent_id"), step, "flow")).withColumn("to", F.struct("dst", "relevance"))
-        moved = pick(hops, ["query_id", "agent_id", "seen"], "dst", "w", "u", "to").where(F.col("to.relevance") >= least)
+        hops = graph.hops(at).where(~F.array_contains("seen", F.col("dst"))).join(relevance, "dst").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+        hops = hops.withColumn("w", quantised(F.exp(5.0 * F.col("relevance")))).withColumn("to", F.struct("dst", "relevance"))
+        moved = pick(hops, ["query_id", "agent_id", "seen"], "dst", "w", (F.col("query_id"), F.col("agent_id"), step, "flow"), "to").where(F.col("to.relevance") >= least)
         at = scratch.save(moved.select("query_id", "agent_id", F.col("to.dst").alias("node_id"), F.array_append("seen", F.col("to.dst")).alias("seen")), str(step))
         visits = visits.unionByName(at.select("query_id", "agent_id", F.lit(step).alias("step"), "node_id"))
     return visits
@@ -92,7 +92,7 @@ def async_votes(queries: DataFrame, graph: Graph, params: Params, movement: dict
     traits = graph.nodes.select(F.col("node_id").alias("dst"), "vec", "size", F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
     level = None
     for step in range(1, params.steps + 1):
-        hops = at.join(graph.edges, F.col("node_id") == F.col("src")).join(traits, "dst").join(sized(queries), "query_id")
+        hops = graph.hops(at).join(traits, "dst").join(sized(queries), "query_id")
         hops = hops.select("query_id", "agent_id", "dst", "relevance", F.coalesce(cosine("qvec", "vec", 0.0, ("qsize", "size")), F.lit(0.0)).alias("cos"))
         known = hops.sparkSession.createDataFrame([], "query_id bigint, node_id bigint, level double") if level is None else level
         move = _live_step(step, weights, params.decay)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from walkrank.functions import heuristics as h
-from walkrank.functions.rng import uniform
+from walkrank.functions.rng import race
 from walkrank.functions.vectors import cosine
 from walkrank.operators.search import similarity, sized, starts
 from walkrank.params import Params
@@ -31,7 +31,7 @@ def node_weights(pairs: DataFrame, queries: DataFrame, graph: Graph, params: Par
 
 def transitions(at: DataFrame, queries: DataFrame, graph: Graph, params: Params) -> DataFrame:
     """(query_id, src, dst, mass, p) for at(query_id, node_id, mass): the probabilities of each next hop; none from dead ends."""
-    hops = at.join(graph.edges, F.col("node_id") == F.col("src")).select("query_id", "src", "dst", "mass")
+    hops = graph.hops(at).select("query_id", F.col("node_id").alias("src"), "dst", "mass")
     pairs = hops.select("query_id", F.col("dst").alias("node_id")).distinct()
     rows = hops.join(node_weights(pairs, queries, graph, params).withColumnRenamed("node_id", "dst"), ["query_id", "dst"])
     # a hub's total is a partial sum, and a join that can be split: no task gets all of its edges
@@ -77,12 +77,14 @@ def rank_visits(visits: DataFrame, queries: DataFrame, graph: Graph, params: Par
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= params.top_k).select("query_id", "rank", "node_id", "votes", "score")
 
 
-def pick(rows: DataFrame, key: list[str], order: str, weight: str, u: str, value: str) -> DataFrame:
-    """Of each key's rows, the first in order at which the running sum of weights passes u times their total; null values for keys without weights."""
-    by = Window.partitionBy(*key)
-    rows = rows.withColumn("__cum", F.sum(weight).over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__total", F.sum(weight).over(by))
-    passed = F.col("__cum") > F.col(u) * F.col("__total")
-    return rows.groupBy(*key).agg(F.min_by(F.when(passed, F.col(value)), F.when(passed, F.col(order))).alias(value))
+def pick(rows: DataFrame, key: list[str], order: str, weight: str, draws: tuple, value: str) -> DataFrame:
+    """Of each key's rows one, with a chance in proportion to its weight: the first in a race of draws for ``draws`` and ``order``; null for keys without weights.
+
+    The first of a race is that of the first of its parts, so tasks send one
+    row a key, however many candidates a hub gives it.
+    """
+    arrival = race(F.col(weight), *draws, F.col(order))
+    return rows.groupBy(*key).agg(F.min_by(value, F.when(arrival.isNotNull(), F.struct(arrival, order))).alias(value))
 
 
 def quantised(weight: Column) -> Column:
@@ -92,8 +94,7 @@ def quantised(weight: Column) -> Column:
 def sampled_starts(zone: DataFrame, params: Params, uniform_zone: bool = False) -> DataFrame:
     """(query_id, agent_id, node_id): each walker's start, drawn with replacement."""
     agents = zone.select("query_id", "rank", "node_id", quantised(F.lit(1.0) if uniform_zone else F.col("weight")).alias("w")).withColumn("agent_id", F.explode(F.sequence(F.lit(0), F.lit(params.n_agents - 1))))
-    agents = agents.withColumn("u", uniform(F.col("query_id"), F.col("agent_id"), 0, "drop"))
-    return pick(agents, ["query_id", "agent_id"], "rank", "w", "u", "node_id")
+    return pick(agents, ["query_id", "agent_id"], "rank", "w", (F.col("query_id"), F.col("agent_id"), 0, "drop"), "node_id")
 
 
 def sampled_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFrame:
@@ -101,7 +102,8 @@ def sampled_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFram
 
     With pheromone "sync", all walkers of a step see the levels that the step
     before left: a deposit on a node never marked lands on 1, others decay
-    first. Draws are counters, so a lost partition repeats them.
+    first. Draws are counters, so a lost partition repeats them. What a hop
+    depends on but for the walker is formed once a query and node.
     """
     scratch = Scratch(queries.sparkSession, "sampled")
     at = scratch.save(sampled_starts(starts(queries, graph, params), params), "0")
@@ -109,17 +111,18 @@ def sampled_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFram
     level = None
     traits = graph.traits().where("vec IS NOT NULL").select(F.col("node_id").alias("dst"), "vec", "size", "degree", "avg_degree", "relevance")
     for step in range(1, params.steps + 1):
-        hops = at.join(graph.edges, F.col("node_id") == F.col("src"), "left").join(traits, "dst", "left").join(sized(queries), "query_id")
-        hops = hops.withColumn("cos", cosine("qvec", "vec", sizes=("qsize", "size"))).withColumn("step", F.lit(step)).drop("vec", "qvec", "size", "qsize")
+        hops = graph.hops(at, outer=True)
+        pairs = hops.select("query_id", "dst").distinct().join(traits, "dst").join(sized(queries), "query_id")
+        pairs = pairs.withColumn("cos", cosine("qvec", "vec", sizes=("qsize", "size"))).drop("vec", "qvec", "size", "qsize")
         if level is None:
-            hops = hops.withColumn("pheromone", F.lit(0.0)).withColumn("max_pheromone", F.lit(1.0))
+            pairs = pairs.withColumn("pheromone", F.lit(0.0)).withColumn("max_pheromone", F.lit(1.0))
         else:
             top = level.groupBy("query_id").agg(F.max("pheromone").alias("max_pheromone"))
-            hops = hops.join(level, ["query_id", "dst"], "left").join(top, "query_id", "left").withColumn("max_pheromone", F.coalesce("max_pheromone", F.lit(1.0)))
+            pairs = pairs.join(level, ["query_id", "dst"], "left").join(top, "query_id", "left").withColumn("max_pheromone", F.coalesce("max_pheromone", F.lit(1.0)))
+        hops = hops.join(pairs, ["query_id", "dst"], "left").withColumn("step", F.lit(step))
         hops = hops.withColumn("w", F.when(F.col("cos").isNotNull(), quantised(F.greatest(h.weighted(params.movement), F.lit(params.floor)))))
-        hops = hops.withColumn("deposit", h.weighted(params.deposit)).withColumn("u", uniform(F.col("query_id"), F.col("agent_id"), F.col("step"), "hop"))
-        hops = hops.withColumn("to", F.struct("dst", "deposit"))
-        moved = scratch.save(pick(hops, ["query_id", "agent_id", "node_id"], "dst", "w", "u", "to"), str(step))
+        hops = hops.withColumn("to", F.struct("dst", h.weighted(params.deposit).alias("deposit")))
+        moved = scratch.save(pick(hops, ["query_id", "agent_id", "node_id"], "dst", "w", (F.col("query_id"), F.col("agent_id"), step, "hop"), "to"), str(step))
         visits = visits.unionByName(moved.where("to IS NOT NULL").select("query_id", "agent_id", F.col("to.dst").alias("node_id"), F.lit(step).alias("step")))
         if params.pheromone == "sync":
             left = moved.where("to.deposit > 0").groupBy("query_id", F.col("to.dst").alias("dst")).agg(F.sum("to.deposit").alias("added"))

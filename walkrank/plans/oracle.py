@@ -15,6 +15,10 @@ def uniform(*parts: str) -> str:
     return f"({draw(*parts)} / 4294967296.0e0)"
 
 
+def race(weight: str, *parts: str) -> str:
+    return f"(-ln(({draw(*parts)} + 0.5e0) / 4294967296.0e0) / {weight})"
+
+
 BASE = f"""
 nodes AS MATERIALIZED (
   SELECT vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS vec, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm, label,
@@ -95,8 +99,7 @@ def sampled(p: Params) -> str:
     """CTEs up to ``votes`` of drawn walks."""
     out = f"""{zone(p)},
 d AS (SELECT query_id, rank, node_id, CAST(round(weight * 1000000) AS BIGINT) AS w, unnest(range({p.n_agents})) AS agent_id FROM zone),
-dc AS (SELECT *, sum(w) OVER (PARTITION BY query_id, agent_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY query_id, agent_id) AS total FROM d),
-a0 AS MATERIALIZED (SELECT query_id, agent_id, arg_min(node_id, rank) AS node_id FROM dc WHERE cum > {uniform("query_id", "agent_id", "0", "'drop'")} * total GROUP BY 1, 2)"""
+a0 AS MATERIALIZED (SELECT query_id, agent_id, arg_min(node_id, row({race("w", "query_id", "agent_id", "0", "'drop'", "rank")}, rank)) AS node_id FROM d GROUP BY 1, 2)"""
     union = ["SELECT query_id, node_id FROM a0"]
     for s in range(1, p.steps + 1):
         level = f"l{s - 1}" if p.pheromone == "sync" and s > 1 else None
@@ -105,8 +108,8 @@ a0 AS MATERIALIZED (SELECT query_id, agent_id, arg_min(node_id, rank) AS node_id
         out += f""",
 h{s} AS (SELECT a.query_id, a.agent_id, e.dst, {s} AS step, s.cos, s.degree, s.a, s.relevance, {marks} FROM a{s - 1} a JOIN edges e ON e.src = a.node_id JOIN sims s ON s.query_id = a.query_id AND s.node_id = e.dst {join}),
 w{s} AS (SELECT query_id, agent_id, dst, CAST(round(greatest({weighted(p.movement)}, {p.floor}e0) * 1000000) AS BIGINT) AS w, {weighted(p.deposit)} AS deposit FROM h{s}),
-c{s} AS (SELECT *, sum(w) OVER (PARTITION BY query_id, agent_id ORDER BY dst ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY query_id, agent_id) AS total FROM w{s}),
-p{s} AS MATERIALIZED (SELECT query_id, agent_id, min(dst) AS dst, arg_min(deposit, dst) AS deposit FROM c{s} WHERE cum > {uniform("query_id", "agent_id", str(s), "'hop'")} * total GROUP BY 1, 2),
+c{s} AS (SELECT *, row({race("w", "query_id", "agent_id", str(s), "'hop'", "dst")}, dst) AS arrival FROM w{s} WHERE w > 0),
+p{s} AS MATERIALIZED (SELECT query_id, agent_id, arg_min(dst, arrival) AS dst, arg_min(deposit, arrival) AS deposit FROM c{s} GROUP BY 1, 2),
 a{s} AS MATERIALIZED (SELECT a.query_id, a.agent_id, coalesce(p.dst, a.node_id) AS node_id FROM a{s - 1} a LEFT JOIN p{s} p USING (query_id, agent_id))"""
         if p.pheromone == "sync":
             left = f"(SELECT query_id, dst, sum(deposit) AS added FROM p{s} WHERE deposit > 0 GROUP BY 1, 2)"
@@ -134,8 +137,8 @@ def flow() -> str:
     for s in range(1, 5):
         out += f""",
 g{s} AS (SELECT f.query_id, f.agent_id, f.seen, e.dst, coalesce(n.relevance, 0e0) AS relevance, CAST(round(exp(5e0 * coalesce(n.relevance, 0e0)) * 1000000) AS BIGINT) AS w FROM f{s - 1} f JOIN edges e ON e.src = f.node_id JOIN nodes n ON n.node_id = e.dst WHERE NOT list_contains(f.seen, e.dst)),
-k{s} AS (SELECT *, sum(w) OVER (PARTITION BY query_id, agent_id ORDER BY dst ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY query_id, agent_id) AS total FROM g{s}),
-f{s} AS MATERIALIZED (SELECT query_id, min(dst) AS node_id, agent_id, list_append(any_value(seen), min(dst)) AS seen FROM k{s} WHERE cum > {uniform("query_id", "agent_id", str(s), "'flow'")} * total GROUP BY query_id, agent_id HAVING arg_min(relevance, dst) >= 0.1e0)"""
+k{s} AS (SELECT *, row({race("w", "query_id", "agent_id", str(s), "'flow'", "dst")}, dst) AS arrival FROM g{s}),
+f{s} AS MATERIALIZED (SELECT query_id, arg_min(dst, arrival) AS node_id, agent_id, list_append(any_value(seen), arg_min(dst, arrival)) AS seen FROM k{s} GROUP BY query_id, agent_id HAVING arg_min(relevance, arrival) >= 0.1e0)"""
         union.append(f"SELECT query_id, node_id FROM f{s}")
     return out + f",\nvotes AS (SELECT query_id, node_id, count(*) AS votes FROM ({' UNION ALL '.join(union)}) GROUP BY 1, 2)"
 

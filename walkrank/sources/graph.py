@@ -11,11 +11,22 @@ from walkrank.functions.vectors import norm
 
 #: Every row whose id this divides is a query.
 QUERY_EVERY = 100
+#: Edges of a node that stand together in a task; those of a hub are dealt to as many slots as it needs.
+SLOT_EDGES = 10_000
+#: Nodes of several slots that are sent to every task at most; more are joined.
+SENT_HUBS = 100_000
+
+
+def _slotted(edges: DataFrame, degree: DataFrame) -> DataFrame:
+    """The edges with slot, 0 but for hubs, whose edges are dealt out by what they lead to."""
+    hubs = degree.where(F.col("degree") > SLOT_EDGES).select(F.col("node_id").alias("src"), F.ceil(F.col("degree") / SLOT_EDGES).alias("__slots"))
+    rows = edges.join(hubs, "src", "left")
+    return rows.withColumn("slot", F.when(F.col("__slots").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("__slots"))).cast("int")).drop("__slots")
 
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes(node_id, vec, node_type, relevance; ``of`` adds size, the vector's norm), edges(src, dst), members(node_id), degree(node_id, degree). ``avg_degree`` is the mean over nodes with edges."""
+    """nodes(node_id, vec, node_type, relevance; ``of`` adds size, the vector's norm), edges(src, dst, slot), members(node_id), degree(node_id, degree). ``avg_degree`` is the mean over nodes with edges."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -28,7 +39,19 @@ class Graph:
         degree = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "node_id")
         members = edges.select(F.col("src").alias("node_id")).distinct() if members is None else members
         nodes = nodes if "size" in nodes.columns or "vec" not in nodes.columns else nodes.withColumn("size", norm("vec"))
-        return Graph(nodes, edges, members, degree, degree.agg(F.avg("degree").alias("avg_degree")))
+        return Graph(nodes, _slotted(edges.select("src", "dst"), degree), members, degree, degree.agg(F.avg("degree").alias("avg_degree")))
+
+    def hops(self, at: DataFrame, outer: bool = False) -> DataFrame:
+        """at(node_id, ...) with each dst it leads to. A hub's rows are joined slot by slot, so its edges meet those that stand there in as many tasks as they need."""
+        hubs = self.degree.where(F.col("degree") > SLOT_EDGES).select("node_id", F.ceil(F.col("degree") / SLOT_EDGES).cast("int").alias("__slots"))
+        n = hubs.count()
+        if n:
+            rows = at.join(F.broadcast(hubs) if n <= SENT_HUBS else hubs, "node_id", "left")
+            at = rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("__slots", F.lit(1)) - 1))).drop("__slots")
+        else:
+            at = at.withColumn("slot", F.lit(0))
+        edges = self.edges.select(F.col("src").alias("node_id"), "slot", "dst")
+        return at.join(edges, ["node_id", "slot"], "left" if outer else "inner").drop("slot")
 
     def kept(self) -> Graph:
         """The same graph with its tables cached: every step of a walk reads them."""
