@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from walkrank.llm import bpe, decontaminate, neardup, substrings, toxicity
 from walkrank.llm.queries import table, tokenizer_path
-from walkrank.llm.scratch import Scratch, mark, release
+from walkrank.llm.scratch import Folders, Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -96,8 +96,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        begun = mark()
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
-        release(spark, begun)  # what the stage itself has written
+        with Folders(spark):  # what the stage itself writes goes with it
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
         scratch.drop(f"stage-{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,11 +29,16 @@ def node_weights(pairs: DataFrame, queries: DataFrame, graph: Graph, params: Par
     return rows.select("query_id", "node_id", F.greatest(h.weighted(params.movement), F.lit(params.floor)).alias("w"))
 
 
-def transitions(at: DataFrame, queries: DataFrame, graph: Graph, params: Params) -> DataFrame:
-    """(query_id, src, dst, mass, p) for at(query_id, node_id, mass): the probabilities of each next hop; none from dead ends."""
+def reached(at: DataFrame, graph: Graph) -> DataFrame:
+    """(query_id, node_id), once each, to which the next hops may lead."""
+    return graph.hops(at.select("query_id", "node_id")).select("query_id", F.col("dst").alias("node_id")).distinct()
+
+
+def transitions(at: DataFrame, queries: DataFrame, graph: Graph, params: Params, weights: DataFrame | None = None) -> DataFrame:
+    """(query_id, src, dst, mass, p) for at(query_id, node_id, mass): the probabilities of each next hop; none from dead ends. ``weights`` has those of all nodes in reach, if they are known."""
     hops = graph.hops(at).select("query_id", F.col("node_id").alias("src"), "dst", "mass")
-    pairs = hops.select("query_id", F.col("dst").alias("node_id")).distinct()
-    rows = hops.join(node_weights(pairs, queries, graph, params).withColumnRenamed("node_id", "dst"), ["query_id", "dst"])
+    weights = node_weights(reached(at, graph), queries, graph, params) if weights is None else weights
+    rows = hops.join(weights.withColumnRenamed("node_id", "dst"), ["query_id", "dst"])
     # a hub's total is a partial sum, and a join that can be split: no task gets all of its edges
     total = rows.groupBy("query_id", "src").agg(F.sum("w").alias("total"))
     return rows.join(total, ["query_id", "src"]).select("query_id", "src", "dst", "mass", (F.col("w") / F.col("total")).alias("p"))
@@ -43,15 +48,20 @@ def expected_visits(queries: DataFrame, graph: Graph, params: Params) -> DataFra
     """(query_id, node_id, votes): the mean number of visits over all walks, exactly. Walkers in dead ends vote no more.
 
     Each step's frontier holds one row a query and node, whatever the number
-    of walkers. Heuristics with draws or live pheromones need samples.
+    of walkers, and a pair is scored at the first step that reaches it.
+    Heuristics with draws or live pheromones need samples.
     """
     if "jitter" in params.movement or params.pheromone != "off":
         raise ValueError("expected visits need weights without draws and pheromones")
     scratch = Scratch(queries.sparkSession, "expected")
     at = scratch.save(starts(queries, graph, params).select("query_id", "node_id", (F.col("share") * params.n_agents).alias("mass")), "0")
-    visits = at
+    visits, weights = at, None
     for step in range(params.steps):
-        moved = transitions(at, queries, graph, params).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
+        pairs = reached(at, graph)
+        more = node_weights(pairs if weights is None else pairs.join(weights, ["query_id", "node_id"], "left_anti"), queries, graph, params)
+        more = scratch.save(more, f"weights-{step}")
+        weights = more if weights is None else weights.unionByName(more)
+        moved = transitions(at, queries, graph, params, weights).groupBy("query_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
         at = scratch.save(moved, str(step + 1))  # else each step's plan would hold those before it twice
         visits = visits.unionByName(at)
     return visits.groupBy("query_id", "node_id").agg(F.sum("mass").alias("votes"))

@@ -12,6 +12,7 @@ from walkrank.functions import heuristics as h
 from walkrank.operators import analysis, metrics, prototype, search, walk
 from walkrank.params import Params, profile
 from walkrank.plans import oracle as o
+from walkrank.plans.registry import Registry, plain
 from walkrank.plans.retriever import Retriever, hashing_embedder, without_vectors
 from walkrank.sources import graph as g
 from walkrank.sources import synthetic
@@ -79,7 +80,7 @@ def degree_stats(spark: SparkSession, d: str) -> DataFrame:
 def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
     graph = g.load_graph(spark, d)
     asked = g.load_queries(spark, d).select(F.col("query_id").alias("node_id"))
-    return asked.join(graph.edges, F.col("node_id") == F.col("src")).join(graph.degree.withColumnRenamed("node_id", "dst"), "dst", "left").select("node_id", "dst", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return graph.hops(asked).join(graph.degree.withColumnRenamed("node_id", "dst"), "dst", "left").select("node_id", "dst", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def _heuristic(name: str, value, spark: SparkSession, d: str) -> DataFrame:
@@ -169,12 +170,18 @@ _BOTH = _WALK + ",\n" + o.relevance_walk(Params()) + ",\n" + o.metrics("res2", "
 _ROUNDED_METRICS = ", ".join(f"round({m}, 6) AS {m}" for m in o.NAMES if not m.startswith("diversity")) + ", diversity_node_types, diversity_count, gt_count"
 
 
+def _stored(name: str, params: Params, results: Callable[[], DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of a run, from the registry: queries of one session, and later ones, walk once."""
+    return Registry(spark).run(name, plain(params), g.sources(d), lambda: _metrics(spark, d, results()))
+
+
 def _walk_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _metrics(spark, d, _expected(Params(), "visit_weighted", spark, d))
+    return _stored("walk", Params(), lambda: _expected(Params(), "visit_weighted", spark, d), spark, d)
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.union_runs({"walk": _walk_metrics(spark, d), "relevance": _metrics(spark, d, _relevance_walk(Params(), spark, d))})
+    relevance = _stored("relevance", Params(), lambda: _relevance_walk(Params(), spark, d), spark, d)
+    return analysis.union_runs({"walk": _walk_metrics(spark, d), "relevance": relevance})
 
 
 @register("metrics_per_query", o.query(_WALK, f"SELECT query_id, {_ROUNDED_METRICS} FROM mw"))
@@ -257,8 +264,13 @@ def ablation_pair(spark: SparkSession, d: str) -> DataFrame:
 @register("ablation_summary")
 def ablation_summary(spark: SparkSession, d: str) -> DataFrame:
     """The full walk, that without pheromones, that of five walkers and the greedy flow, over the first ten queries."""
-    runs = {"full": _live_walk(Params(), spark, d), "no_pheromone": _relevance_walk(Params(), spark, d), "few_agents": _live_walk(_FEW, spark, d), "greedy": flow_greedy(spark, d)}
-    rows = analysis.union_runs({name: _metrics(spark, d, found) for name, found in runs.items()})
+    runs = {
+        "full": _stored("live", Params(), lambda: _live_walk(Params(), spark, d), spark, d),
+        "no_pheromone": _stored("relevance", Params(), lambda: _relevance_walk(Params(), spark, d), spark, d),
+        "few_agents": _stored("live", _FEW, lambda: _live_walk(_FEW, spark, d), spark, d),
+        "greedy": _stored("greedy", Params(), lambda: flow_greedy(spark, d), spark, d),
+    }
+    rows = analysis.union_runs(runs)
     return analysis.ablation(analysis.first_queries(rows, 10), "full")
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Collection
+from contextvars import ContextVar, Token
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Folders that this process has begun and not released.
-_begun: list[str] = []
+#: Who owns the folders that this thread begins.
+_owner: ContextVar[Folders | None] = ContextVar("walkrank_folders", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,9 +24,37 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)  # False if there is none
+def file_system(spark: SparkSession, path: str):
+    """The path, and what its files are reached with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path, files = file_system(spark, folder)
+    files.delete(path, True)  # False if there is none
+
+
+class Folders:
+    """Owns the folders of intermediate tables that are begun within it, by this thread, and removes them at its end.
+
+    What lazy results of such operators read goes with them, so results have
+    to be written within. Owners nest; other threads have their own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+        self._token: Token | None = None
+
+    def __enter__(self) -> Folders:
+        self._token = _owner.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _owner.reset(self._token)
+        while self.paths:
+            delete(self.spark, self.paths.pop())
 
 
 class Scratch:
@@ -34,14 +62,16 @@ class Scratch:
 
     ``save`` writes a frame as Parquet and rereads it: later stages then start
     from shared files and outlive any executor. Shuffle files of the finished
-    write are released at once, so disk use is that of the largest step. What
-    a lazy result still reads stays until ``release``.
+    write are released at once, so disk use is that of the largest step. The
+    folder stays until its owner, ``Folders``, ends; without one, with the
+    shared folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        _begun.append(self.path)
+        if (owner := _owner.get()) is not None:
+            owner.paths.append(self.path)
 
     def save(self, frame: DataFrame, name: str, **options: str) -> DataFrame:
         before = self.spark.conf.get(_CLEANUP, None)
@@ -55,16 +85,4 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Removes tables that no later frame reads."""
         for name in names:
-            _delete(self.spark, f"{self.path}/{name}")
-
-
-def mark() -> int:
-    """A point in time for ``release``."""
-    return len(_begun)
-
-
-def release(spark: SparkSession, since: int = 0, keep: Collection[str] = ()) -> None:
-    """Removes the folders begun since a mark, but those to keep: when what reads them has been written elsewhere."""
-    for path in [p for p in _begun[since:] if p not in keep]:
-        _delete(spark, path)
-        _begun.remove(path)
+            delete(self.spark, f"{self.path}/{name}")

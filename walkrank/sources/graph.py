@@ -3,58 +3,72 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from walkrank.functions.vectors import norm
+from walkrank.scratch import Folders, Scratch
+from walkrank.store import Store, read_buckets, write_buckets
 
 #: Every row whose id this divides is a query.
 QUERY_EVERY = 100
 #: Edges of a node that stand together in a task; those of a hub are dealt to as many slots as it needs.
 SLOT_EDGES = 10_000
+#: Rows of a kept table in a bucket.
+BUCKET_ROWS = 2_000_000
 #: Nodes of several slots that are sent to every task at most; more are joined.
 SENT_HUBS = 100_000
 
 
-def _slotted(edges: DataFrame, degree: DataFrame) -> DataFrame:
-    """The edges with slot, 0 but for hubs, whose edges are dealt out by what they lead to."""
+def _place(node: str, slot) -> Column:
+    """Where some edges of a node stand."""
+    return F.xxhash64(F.col(node), slot)
+
+
+def _placed(edges: DataFrame, degree: DataFrame) -> DataFrame:
+    """The edges with place: one a node, but for hubs, whose edges are dealt to slots by what they lead to."""
     hubs = degree.where(F.col("degree") > SLOT_EDGES).select(F.col("node_id").alias("src"), F.ceil(F.col("degree") / SLOT_EDGES).alias("__slots"))
-    rows = edges.join(hubs, "src", "left")
-    return rows.withColumn("slot", F.when(F.col("__slots").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("__slots"))).cast("int")).drop("__slots")
+    slot = F.when(F.col("__slots").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("__slots"))).cast("int")
+    return edges.join(hubs, "src", "left").select("src", "dst", _place("src", slot).alias("place"))
 
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes(node_id, vec, node_type, relevance; ``of`` adds size, the vector's norm), edges(src, dst, slot), members(node_id), degree(node_id, degree). ``avg_degree`` is the mean over nodes with edges."""
+    """nodes(node_id, vec, node_type, relevance; ``of`` adds size, the vector's norm), edges(src, dst, place), members(node_id), degree(node_id, degree). ``avg_degree`` is the mean over nodes with edges."""
 
     nodes: DataFrame
     edges: DataFrame
     members: DataFrame
     degree: DataFrame
     avg_degree: DataFrame
+    whole: DataFrame | None = None
 
     @staticmethod
     def of(nodes: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> Graph:
         degree = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "node_id")
         members = edges.select(F.col("src").alias("node_id")).distinct() if members is None else members
         nodes = nodes if "size" in nodes.columns or "vec" not in nodes.columns else nodes.withColumn("size", norm("vec"))
-        return Graph(nodes, _slotted(edges.select("src", "dst"), degree), members, degree, degree.agg(F.avg("degree").alias("avg_degree")))
+        return Graph(nodes, _placed(edges.select("src", "dst"), degree), members, degree, degree.agg(F.avg("degree").alias("avg_degree")))
 
     def hops(self, at: DataFrame, outer: bool = False) -> DataFrame:
         """at(node_id, ...) with each dst it leads to. A hub's rows are joined slot by slot, so its edges meet those that stand there in as many tasks as they need."""
-        hubs = self.degree.where(F.col("degree") > SLOT_EDGES).select("node_id", F.ceil(F.col("degree") / SLOT_EDGES).cast("int").alias("__slots"))
-        n = hubs.count()
-        if n:
-            rows = at.join(F.broadcast(hubs) if n <= SENT_HUBS else hubs, "node_id", "left")
-            at = rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("__slots", F.lit(1)) - 1))).drop("__slots")
-        else:
-            at = at.withColumn("slot", F.lit(0))
-        edges = self.edges.select(F.col("src").alias("node_id"), "slot", "dst")
-        return at.join(edges, ["node_id", "slot"], "left" if outer else "inner").drop("slot")
+        slot = F.lit(0)
+        if self._hubs:
+            hubs = self.degree.where(F.col("degree") > SLOT_EDGES).select("node_id", F.ceil(F.col("degree") / SLOT_EDGES).cast("int").alias("__slots"))
+            rows = at.join(F.broadcast(hubs) if self._hubs <= SENT_HUBS else hubs, "node_id", "left")
+            at, slot = rows.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.coalesce("__slots", F.lit(1)) - 1))).drop("__slots"), F.col("__slot")
+        # places are the only key, so that kept edges don't move; the difference tells nodes of one place apart
+        met = (F.col("__place") == F.col("place")) & (F.col("node_id") - F.col("src") == 0)
+        return at.withColumn("__place", _place("node_id", slot)).join(self.edges, met, "left" if outer else "inner").select(*(c for c in at.columns if c != "__slot"), "dst")
+
+    @cached_property
+    def _hubs(self) -> int:
+        return self.degree.where(F.col("degree") > SLOT_EDGES).count()
 
     def kept(self) -> Graph:
-        """The same graph with its tables cached: every step of a walk reads them."""
+        """The same graph with its tables cached for a session: every step of a walk reads them."""
         nodes, edges = self.nodes.persist(), self.edges.persist()
         degree = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "node_id").persist()
         return Graph(nodes, edges, self.members.persist(), degree, degree.agg(F.avg("degree").alias("avg_degree")).persist())
@@ -66,6 +80,8 @@ class Graph:
 
     def traits(self) -> DataFrame:
         """node_id, vec, size, relevance, degree (0 without edges), avg_degree."""
+        if self.whole is not None:
+            return self.whole
         mean = F.broadcast(self.avg_degree)  # one row
         return self.nodes.join(self.degree, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).join(mean)
 
@@ -89,8 +105,34 @@ def load_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
 
 
+def sources(sf_dir: str) -> list[str]:
+    """What a graph of these tables, and any run over it, is made from."""
+    return [f"{sf_dir}/{name}.parquet" for name in ("embeddings", "lineitem", "part")]
+
+
 def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.of(load_nodes(spark, sf_dir), load_edges(spark, sf_dir)).kept()
+    """The graph of a folder's tables, from the store; built anew once a file of them has changed."""
+
+    def write(folder: str) -> None:
+        with Folders(spark):
+            write_graph(Graph.of(load_nodes(spark, sf_dir), Scratch(spark, "edges").save(load_edges(spark, sf_dir), "edges")), folder)
+
+    return read_graph(spark, Store(spark).entry("graph", {"slot_edges": SLOT_EDGES}, sources(sf_dir), write))
+
+
+def write_graph(graph: Graph, folder: str) -> None:
+    """Nodes with all their traits in buckets of their ids, edges in those of their places: neither moves in a hop."""
+    n = max(1, int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for name, frame, keys in (("nodes", graph.traits(), ["node_id"]), ("edges", graph.edges, ["place"])):
+        write_buckets(frame, folder, name, max(n, -(-frame.count() // BUCKET_ROWS)), *keys)
+    graph.degree.write.parquet(f"{folder}/degree")
+    graph.avg_degree.write.parquet(f"{folder}/avg_degree")
+
+
+def read_graph(spark: SparkSession, folder: str) -> Graph:
+    nodes, edges = read_buckets(spark, folder, "nodes", "node_id"), read_buckets(spark, folder, "edges", "place")
+    degree = spark.read.parquet(f"{folder}/degree")
+    return Graph(nodes.drop("degree", "avg_degree"), edges, degree.select("node_id"), degree, spark.read.parquet(f"{folder}/avg_degree"), nodes)
 
 
 def load_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
