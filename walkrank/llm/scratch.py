@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from walkrank import scratch
-from walkrank.scratch import mark, release, shared_root
+from walkrank.scratch import Folders, shared_root
 
-__all__ = ["Scratch", "bounded", "mark", "release", "shared_root", "small"]
+__all__ = ["Folders", "Scratch", "bounded", "shared_root", "small"]
 
 #: Most bytes of an Arrow batch that a task sends to its Python worker, and of a row group that it holds before writing.
 BATCH_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
