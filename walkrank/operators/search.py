@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from walkrank.functions.vectors import cosine, norm
@@ -29,44 +29,78 @@ def in_blocks(queries: DataFrame, rows: DataFrame, size: int = QUERY_BLOCK) -> D
     return q.join(r, ["qb", "rb"]).drop("qb", "rb")
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    rows = np.stack(vectors.to_list()).astype(np.float64)
+def faulty(vector: str, dims) -> Column:
+    """Why a vector can't be compared with those of ``dims`` components, as null, length or non-finite; null if it can be."""
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(F.col(vector).isNull(), "null").when(F.size(vector) != dims, "length").when(odd, "non-finite")
+
+
+def common_length(frame: DataFrame, vector: str) -> int | None:
+    """The number of components that most vectors have; of equally many, the smaller. None without vectors."""
+    sizes = frame.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("n")).agg(F.count("*").alias("c"))
+    row = sizes.agg(F.max_by("n", F.struct("c", -F.col("n"))).alias("n")).first()
+    return row["n"]
+
+
+def finite(frame: DataFrame, vector: str, dims: int | None = None) -> DataFrame:
+    """Rows whose vector is whole: of ``dims`` components (the common length), each a finite number."""
+    dims = common_length(frame, vector) if dims is None else dims
+    return frame.where("false") if dims is None else frame.where(faulty(vector, dims).isNull())
+
+
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_list()).astype(np.float64)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows at length 1; zeros stay."""
     size = np.sqrt(np.einsum("ij,ij->i", rows, rows))
     return rows / np.where(size > 0, size, 1.0)[:, None]
 
 
+def best_of(asked: pd.DataFrame, known: pd.DataFrame, n: int) -> pd.DataFrame:
+    """(query_id, node_id, score): of asked(query_id, qvec) and known(node_id, vec) the n highest cosines of each query, and all that equal them to 10 digits up to n by id."""
+    parts = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "node_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
+    if len(asked) and len(known):
+        known = known.sort_values("node_id", kind="stable")
+        ids, vectors, own, step = known.node_id.to_numpy(), unit(stacked(known.vec)), unit(stacked(asked.qvec)), max(1, _SCORES // len(known))
+        for lo in range(0, len(asked), step):
+            scores = own[lo : lo + step] @ vectors.T
+            for query, row in zip(asked.query_id.to_numpy()[lo : lo + step], scores, strict=True):
+                ordered = np.round(row, 10)
+                least = np.partition(ordered, -n)[-n] if len(row) > n else -np.inf
+                best = np.flatnonzero(ordered >= least)
+                best = best[np.argsort(-ordered[best], kind="stable")][:n]
+                parts.append(pd.DataFrame({"query_id": query, "node_id": ids[best], "score": row[best]}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def merged(scored: DataFrame, n: int) -> DataFrame:
+    """(query_id, rank, node_id, score): the first n of what blocks gave."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "node_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "rank", "node_id", "score")
+
+
 def top_n(queries: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(query_id, rank, node_id, score): the n nodes of highest cosine; equal scores (to 10 digits) by id. Nodes without a vector take no part.
+    """(query_id, rank, node_id, score): the n nodes of highest cosine; equal scores (to 10 digits) by id. Nodes and queries without a whole vector, of the nodes' common length and finite numbers, take no part.
 
     Blocks of queries meet blocks of nodes in a grid whose cells are matrix
     products of bounded size; each keeps n nodes a query, and a window merges
-    the cells. All vectors have the same number of components.
+    the cells.
     """
-    q = queries.where("qvec IS NOT NULL").select("query_id", "qvec")
-    r = nodes.where("vec IS NOT NULL").select("node_id", "vec")
+    dims = common_length(nodes, "vec")
+    q = finite(queries.select("query_id", "qvec"), "qvec", dims)
+    r = finite(nodes.select("node_id", "vec"), "vec", dims)
     q_blocks, r_blocks = (max(1, -(-frame.count() // size)) for frame, size in ((q, QUERY_BLOCK), (r, NODE_BLOCK)))
     r_blocks = max(r_blocks, min(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8))
     q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))))
     r = r.withColumn("rb", F.pmod(F.xxhash64("node_id"), F.lit(r_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
 
     def cell(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"query_id": [], "node_id": [], "score": []})]
-        if len(asked) and len(known):
-            known = known.sort_values("node_id", kind="stable")
-            ids, vectors, own, step = known.node_id.to_numpy(), _unit(known.vec), _unit(asked.qvec), max(1, _SCORES // len(known))
-            for lo in range(0, len(asked), step):
-                scores = own[lo : lo + step] @ vectors.T
-                for query, row in zip(asked.query_id.to_numpy()[lo : lo + step], scores, strict=True):
-                    ordered = np.round(row, 10)
-                    least = np.partition(ordered, -n)[-n] if len(row) > n else -np.inf
-                    best = np.flatnonzero(ordered >= least)
-                    best = best[np.argsort(-ordered[best], kind="stable")][:n]
-                    parts.append(pd.DataFrame({"query_id": query, "node_id": ids[best], "score": row[best]}))
-        return pd.concat(parts, ignore_index=True)
+        return best_of(asked, known, n)
 
     scored = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(cell, "query_id bigint, node_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "node_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "rank", "node_id", "score")
+    return merged(scored, n)
 
 
 def fetch(requests: DataFrame, nodes: DataFrame) -> DataFrame:

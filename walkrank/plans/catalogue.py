@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walkrank.functions import heuristics as h
-from walkrank.operators import analysis, metrics, prototype, search, walk
+from walkrank.operators import analysis, metrics, pivots, prototype, search, walk
 from walkrank.params import Params, profile
 from walkrank.plans import oracle as o
 from walkrank.plans.registry import Registry, plain
-from walkrank.plans.retriever import Retriever, hashing_embedder, without_vectors
+from walkrank.plans.retriever import Retriever, checked, hashing_embedder, rejects, without_vectors
 from walkrank.sources import graph as g
 from walkrank.sources import synthetic
 
@@ -45,6 +45,12 @@ def vector_topn(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(search.top_n(g.load_queries(spark, d), g.load_nodes(spark, d), 30), "score")
 
 
+@register("vector_topn_pivots", o.query(o.pool(30), "SELECT query_id, rank, node_id, round(score, 6) AS score FROM pool"))
+def vector_topn_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """The same by blocks around pivots, of which those that can't matter are skipped."""
+    return _rounded(pivots.build_index(g.load_nodes(spark, d)).top_n(g.load_queries(spark, d), 30)[0], "score")
+
+
 @register(
     "vector_fetch_batch",
     o.query("", "SELECT query_id AS request_id, CAST(pos AS INTEGER) AS pos, r.node_id, round(n.vec[1], 6) AS first, len(n.vec) AS dims FROM (SELECT query_id, unnest([query_id, query_id + 1, -1, query_id]) AS node_id, unnest([0, 1, 2, 3]) AS pos FROM queries) r LEFT JOIN nodes n USING (node_id)"),
@@ -311,6 +317,31 @@ def rejected_queries(spark: SparkSession, d: str) -> DataFrame:
     return without_vectors(g.load_queries(spark, d).select("query_id"), vectors)
 
 
+_FAULTS = "CASE vec_id % 9 WHEN 1 THEN 'null' WHEN 2 THEN 'length' WHEN 3 THEN 'non-finite' WHEN 4 THEN 'non-finite' WHEN 5 THEN 'zero' END"
+
+
+def _faulty_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth node asks; in most ninths of them something is wrong with the vector."""
+    v, kind = F.col("vec"), F.col("node_id") % 9
+    wrong = F.when(kind == 1, F.lit(None).cast("array<double>")).when(kind == 2, F.slice(v, 2, 1000)).when(kind == 3, F.concat(F.slice(v, 2, 1000), F.array(F.lit(float("nan"))))).when(kind == 4, F.concat(F.array(F.lit(float("-inf"))), F.slice(v, 2, 1000))).when(kind == 5, F.transform(v, lambda _: F.lit(0.0))).otherwise(v)
+    return g.load_nodes(spark, d).where("node_id % 10 = 0").select(F.col("node_id").alias("query_id"), wrong.alias("qvec"))
+
+
+@register("checked_rejects", f"SELECT vec_id AS query_id, {_FAULTS} AS reason FROM embeddings WHERE vec_id % 10 = 0 AND vec_id % 9 BETWEEN 1 AND 5")
+def checked_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return rejects(_faulty_batch(spark, d), search.common_length(g.load_nodes(spark, d), "vec"))
+
+
+_CHECKED = o.query(o.pool(5), "SELECT query_id, rank, node_id, round(score, 6) AS score FROM pool").replace(f"node_id % {g.QUERY_EVERY} = 0", "node_id % 10 = 0 AND node_id % 9 NOT BETWEEN 1 AND 5")
+
+
+@register("checked_topn", _CHECKED)
+def checked_topn(spark: SparkSession, d: str) -> DataFrame:
+    """The good queries of the same batch: their results are those they have alone."""
+    nodes = g.load_nodes(spark, d)
+    return _rounded(search.top_n(checked(_faulty_batch(spark, d), search.common_length(nodes, "vec")), nodes, 5), "score")
+
+
 @register("h_relation", f"WITH {o.kb(DOCS, SEED)},\n" + o.kb_graph(DOCS, SEED).replace("SELECT src, dst, relation, weight FROM near UNION ALL", ", edges AS (SELECT src, dst, relation FROM near UNION ALL").replace(f"'cites_hub', round(0.7e0 + 0.3e0 * {o.uniform(str(SEED), 'src', 'dst', chr(39) + 'hub_weight' + chr(39))}, 9)", "'cites_hub'") + ")\nSELECT src, dst, CASE relation WHEN 'cites' THEN 1e0 WHEN 'extends' THEN 0.8e0 ELSE 0.5e0 END AS value FROM edges")
 def h_relation(spark: SparkSession, d: str) -> DataFrame:
     edges = synthetic.graph(synthetic.documents(spark, DOCS, SEED), DOCS, SEED)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walkrank.functions.rng import draw
-from walkrank.operators import walk
+from walkrank.operators import search, walk
 from walkrank.params import Params, profile
 from walkrank.sources.graph import Graph
 
@@ -37,10 +38,15 @@ class Retriever:
     def close(self) -> None:
         self.graph.release()
 
-    def retrieve(self, queries: DataFrame, **changes) -> DataFrame:
-        """(query_id, rank, node_id, votes, score) for queries(query_id, qvec), at most ``top_k`` a query; none for queries without a pool or vector. Changed settings hold for this call; None keeps them."""
+    def retrieve(self, queries: DataFrame, errors: str = "skip", **changes) -> DataFrame:
+        """(query_id, rank, node_id, votes, score) for queries(query_id, qvec), at most ``top_k`` a query; none for queries without a pool.
+
+        Queries of faulty vectors have no rows and don't stop a batch (see
+        ``rejected``); with ``errors`` "raise" the first fails it. Changed
+        settings hold for this call; None keeps them.
+        """
         params = self.params.but(**changes)
-        queries = queries.select("query_id", "qvec").dropDuplicates(["query_id"])
+        queries = checked(queries.select("query_id", "qvec").dropDuplicates(["query_id"]), self.dims, errors)
         if self.mode == "expected":
             return walk.rank_visits(walk.expected_visits(queries, self.graph, params), queries, self.graph, params, "visit_weighted")
         votes = walk.count_votes(walk.sampled_visits(queries, self.graph, params))
@@ -51,10 +57,34 @@ class Retriever:
         vectors = embed(texts.select("text").distinct())
         return self.retrieve(texts.join(vectors, "text").select("query_id", "qvec"), **changes)
 
+    @cached_property
+    def dims(self) -> int | None:
+        return search.common_length(self.graph.nodes, "vec")
 
     def rejected(self, queries: DataFrame) -> DataFrame:
-        """Queries that ``retrieve`` has no rows for because they have no vector: a batch goes on without them."""
-        return queries.where("qvec IS NULL").select("query_id").distinct()
+        """(query_id, reason) of the queries that ``retrieve`` goes on without."""
+        return rejects(queries, self.dims)
+
+
+def _reason(dims: int | None) -> Column:
+    zero = F.forall("qvec", lambda x: x == 0)
+    return F.coalesce(search.faulty("qvec", F.lit(dims)), F.when(zero, "zero"))
+
+
+def rejects(queries: DataFrame, dims: int | None) -> DataFrame:
+    """(query_id, reason) of queries(query_id, qvec) that can't be asked: null (no vector), length (not ``dims``; not tested if that is None), non-finite (a component that is null, NaN or infinite), or zero (no direction). The first that fits."""
+    return queries.select("query_id", _reason(dims).alias("reason")).where("reason IS NOT NULL").distinct()
+
+
+def checked(queries: DataFrame, dims: int | None, errors: str = "skip") -> DataFrame:
+    """The queries without those that are rejected, or with ``errors`` "raise" a failure when the first of them is read."""
+    if errors not in ("skip", "raise"):
+        raise ValueError(f"no policy {errors!r}")
+    reason = _reason(dims)
+    if errors == "skip":
+        return queries.where(reason.isNull())
+    failure = F.raise_error(F.concat(F.lit("query "), F.col("query_id").cast("string"), F.lit(" is rejected: "), reason)).cast("array<double>")
+    return queries.withColumn("qvec", F.when(reason.isNull(), F.col("qvec")).otherwise(failure))
 
 
 def without_vectors(queries: DataFrame, vectors: DataFrame) -> DataFrame:
