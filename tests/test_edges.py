@@ -154,9 +154,28 @@ def test_live_pheromones_are_the_plain_loop(spark, small, agents):
     assert [r.node_id for r in ranked] == [n for _, n in want]
 
 
-def test_p_values_are_those_of_tables():
-    for t, df, p in ((12.706, 1, 0.05), (2.228, 10, 0.05), (3.169, 10, 0.01), (1.96, 1_000_000, 0.05), (2.0452, 29, 0.05), (0.0, 5, 1.0), (0.6998, 10, 0.5)):
-        assert analysis.student_p(t, df) == pytest.approx(p, abs=2e-4) and analysis.student_p(-t, df) == analysis.student_p(t, df)
+def test_p_values_are_those_of_tables(spark):
+    told = [(12.706, 1, 0.05), (2.228, 10, 0.05), (3.169, 10, 0.01), (1.96, 1_000_000, 0.05), (2.0452, 29, 0.05), (0.0, 5, 1.0), (0.6998, 10, 0.5), (636.619, 1, 0.001), (1e9, 3, 0.0), (1e-9, 3, 1.0)]
+    frame = spark.createDataFrame([*told, *((-t, df, p) for t, df, p in told)], "t double, df bigint, p double")
+    for r in frame.select("*", analysis.student_p(F.col("t"), F.col("df")).alias("got")).collect():
+        assert r.got == pytest.approx(r.p, abs=2e-4 if r.p > 0.002 else 1e-6), r
+    x, lgamma = [0.5, 1.0, 1.5, 7.25, 300.5, 1e6], lambda c: analysis.log_gamma(c).alias("g")
+    rows = spark.createDataFrame([(v,) for v in x], "x double").select("x", lgamma(F.col("x"))).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.x), rel=1e-10, abs=1e-10) for r in rows)
+
+
+def test_quantiles_need_no_buffer(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("abc"), rng.choice([None, rng.random(), round(rng.random(), 1)])) for _ in range(500)] + [("one", 3.0), ("none", None), (None, 1.0), (None, 2.0)]
+    frame = spark.createDataFrame(rows, "run string, value double").repartition(3)
+    shares = {"low": 0.0, "q1": 0.25, "third": 1 / 3, "median": 0.5, "high": 1.0}
+    got = {r.run: tuple(r)[1:] for r in analysis.quantiles(frame, "run", "value", shares).collect()}
+    want = frame.groupBy("run").agg(F.percentile("value", F.array(*map(F.lit, shares.values()))).alias("q")).where("q IS NOT NULL").collect()
+    assert got == {r.run: pytest.approx(tuple(r.q)) for r in want} and "none" not in got
+    many = spark.range(10_000_000).select(F.lit("x").alias("run"), (F.xxhash64("id") % 1_000_000 / 7.0).alias("value"))
+    plan = analysis.quantiles(many, "run", "value", shares)
+    assert tuple(plan.first())[1:] == pytest.approx(tuple(many.agg(F.percentile("value", F.array(*map(F.lit, shares.values())))).first()[0]))
+    assert "percentile" not in plan._jdf.queryExecution().toString()
 
 
 def test_significance_of_tests_without_spread(spark):

@@ -221,12 +221,17 @@ def ab_summary(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = f"stack AS ({o.stacked('runs', COMPARED, 'method, query_id')}), pairs AS (SELECT x.query_id, x.metric, x.value AS x, y.value AS y FROM stack x JOIN stack y ON x.query_id = y.query_id AND x.metric = y.metric AND x.method = 'walk' AND y.method = 'relevance')"
 
 
-@register("ab_ttest", o.query(_BOTH + ",\n" + _PAIRS, "SELECT metric, n, round(m, 6) AS mean_diff, CASE WHEN sd > 1e-12 THEN round(m / (sd / sqrt(n)), 6) END AS t, n - 1 AS df FROM (SELECT metric, count(*) AS n, avg(x - y) AS m, stddev_samp(x - y) AS sd FROM pairs GROUP BY metric)"))
+_TESTED = "SELECT metric, n, round(m, 6) AS mean_diff, CASE WHEN sd > 1e-12 THEN round(m / (sd / sqrt(n)), 6) END AS t, n - 1 AS df FROM (SELECT metric, count(*) AS n, avg(x - y) AS m, stddev_samp(x - y) AS sd FROM pairs GROUP BY metric)"
+#: The density of t summed over its angle, by Simpson's rule.
+_P_VALUE = "1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - lgamma(0.5)) * atan(abs(t) / sqrt(df)) / 6000 * list_sum(list_transform(range(2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(atan(abs(t) / sqrt(df)) * i / 2000), df - 1)))"
+
+
+@register("ab_ttest", o.query(_BOTH + ",\n" + _PAIRS, _TESTED))
 def ab_ttest(spark: SparkSession, d: str) -> DataFrame:
     return analysis.paired_t(_runs(spark, d), "walk", "relevance", COMPARED)
 
 
-@register("ab_significance")
+@register("ab_significance", o.query(_BOTH + ",\n" + _PAIRS + f", tested AS ({_TESTED}), p AS (SELECT *, CASE WHEN df >= 1 THEN round({_P_VALUE}, 6) END AS p_value FROM (SELECT * REPLACE (CAST(df AS DOUBLE) AS df) FROM tested))", "SELECT metric, n, mean_diff, t, CAST(df AS BIGINT) AS df, p_value, CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' ELSE 'ns' END AS stars FROM p"))
 def ab_significance(spark: SparkSession, d: str) -> DataFrame:
     return analysis.with_significance(ab_ttest(spark, d))
 
