@@ -65,7 +65,8 @@ class PivotIndex:
                     if later:
                         rest = order[first:]
                         chosen = rest[bounds[lo][rest] >= frame.least.iloc[lo]]
-                    yield pd.DataFrame({"query_id": frame.query_id.iloc[lo], "qvec": [frame.qvec.iloc[lo]] * len(chosen), "block": ids[chosen]})
+                    if len(chosen):
+                        yield pd.DataFrame({"query_id": frame.query_id.iloc[lo], "qvec": [frame.qvec.iloc[lo]] * len(chosen), "block": ids[chosen]})
 
         source = queries if after is None else queries.join(after, "query_id")
         return source.mapInPandas(run, "query_id bigint, qvec array<double>, block bigint")

@@ -54,14 +54,14 @@ class Graph:
 
     def hops(self, at: DataFrame, outer: bool = False) -> DataFrame:
         """at(node_id, ...) with each dst it leads to. A hub's rows are joined slot by slot, so its edges meet those that stand there in as many tasks as they need."""
-        slot = F.lit(0)
+        slot, own = F.lit(0), at.columns
         if self._hubs:
             hubs = self.degree.where(F.col("degree") > SLOT_EDGES).select("node_id", F.ceil(F.col("degree") / SLOT_EDGES).cast("int").alias("__slots"))
             rows = at.join(F.broadcast(hubs) if self._hubs <= SENT_HUBS else hubs, "node_id", "left")
             at, slot = rows.withColumn("__slot", F.explode(F.sequence(F.lit(0), F.coalesce("__slots", F.lit(1)) - 1))).drop("__slots"), F.col("__slot")
         # places are the only key, so that kept edges don't move; the difference tells nodes of one place apart
         met = (F.col("__place") == F.col("place")) & (F.col("node_id") - F.col("src") == 0)
-        return at.withColumn("__place", _place("node_id", slot)).join(self.edges, met, "left" if outer else "inner").select(*(c for c in at.columns if c != "__slot"), "dst")
+        return at.withColumn("__place", _place("node_id", slot)).join(self.edges, met, "left" if outer else "inner").select(*own, "dst")
 
     @cached_property
     def _hubs(self) -> int:
