@@ -137,6 +137,52 @@ def test_html_without_article_element():
     assert text(f"<div class=sidebar><p>{more}</p></div>{entry}<div class=comments><p>{long}</p></div>") == [long, more]
 
 
+LONG, MORE = "A first paragraph, with commas, and words enough to count as text of an article.", "Another one, as long, and with some more words in it, to be on the safe side."
+ARTICLE = f"<h1>Title</h1><p>{LONG}</p><p>{MORE}</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<form id=aspnetForm>{ARTICLE}<input name=q><button>Send</button><select><option>one</select></form>",
+        f"<form id=aspnetForm><div class=sidebar><p>Beside, and long enough to count.</p></div><div class=content>{ARTICLE}</div></form>",
+        f"<article class='post comments-open'>{ARTICLE}</article>",
+        f"<div class='post has-comments'>{ARTICLE}</div>",
+        f"<div class='no-sidebar'>{ARTICLE}</div>",
+        f"<div class=noSidebar>{ARTICLE}</div>",
+        f"<div class='layout sidebar-right'>{ARTICLE}<div class=sidebar><p>Beside, and long.</p></div></div>",
+        f"<div class='page hidden-sidebar'>{ARTICLE}</div>",
+        f"<div class='elementor-widget'>{ARTICLE}</div>",
+        f"<div class=widget-area><div class=modal>{ARTICLE}<div class=cookie>Cookies?</div></div></div><footer>All rights</footer>",
+        f"<article>{ARTICLE}<div class=related-posts><ul><li><a href=a>One of these</a><li><a href=b>And another</a></ul></div><div class=social><a href=c>Share</a></div></article>",
+        f"<article>{ARTICLE}<form><p>Your name, please, and your address, too.</p><input></form></article>",
+    ],
+)
+def test_names_drop_no_whole_article(page):
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n\n") == ["Title", LONG, MORE]
+
+
+def test_names_of_parts_of_an_article():
+    for part in ("<p class='modal-verbs'>{}</p>", "<figure class=banner><figcaption>{}</figcaption></figure>", "<ul><li class='tags-of'>{}</li></ul>", "<div class=related><p>{}</p></div>"):
+        told = "Such verbs, as may and can, are shown here."
+        assert html_text.main_text(f"<article>{ARTICLE}{part.format(told)}</article>").split("\n\n") == ["Title", LONG, MORE, told], part
+    for part in ("<p class=ad>{}</p>", "<figure class=advert>{}</figure>", "<div class=modal>{}</div>", "<div class='comment-list'>{}</div>", "<section class=comments><p>{}</p></section>"):
+        assert html_text.main_text(f"<article>{ARTICLE}{part.format(LONG)}</article>").split("\n\n") == ["Title", LONG, MORE], part
+    assert html_text.main_text(f"<article><p>{LONG}</p></article><div class=comments>{f'<p>{MORE}</p>' * 20}</div>") == LONG
+
+
+SURROUNDS = st.sampled_from(["<div class=sidebar><p>{}</p></div>", "<div id=comments><p>{}</p></div>", "<nav><a href=x>{}</a></nav>", "<div class='share bar'>{}</div>", "<aside>{}</aside>", "<div class=newsletter><form>{}<input></form></div>", "<div class=popup-box><p>{}</p></div>"])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([LONG, MORE, "Short one.", "It ends, as it has begun, with a sentence of some length."]), min_size=2, max_size=6), st.lists(SURROUNDS, max_size=4), st.sampled_from(["<div class=entry>{}</div>", "<form>{}</form>", "<div class='has-sidebar'>{}</div>", "<div class='widget-wrap'><div>{}</div></div>", "<section>{}</section>"]), st.booleans())
+def test_html_is_what_was_put_in(paragraphs, around, wrapper, before):
+    """Made-up pages without an article element: the paragraphs of the wrapper, and nothing around it."""
+    side = "".join(a.format("Beside.") for a in around)
+    body = wrapper.format("".join(f"<p>{p}</p>" for p in [LONG, *paragraphs]))
+    assert html_text.main_text(f"<html><body>{side if before else ''}{body}{'' if before else side}</body></html>").split("\n\n") == [LONG, *paragraphs]
+
+
 class Articles(HTMLParser):
     """Brute force for pages that have an article element: its blocks, without what the contract drops."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from walkrank.llm.scratch import bounded
 
 #: Elements without text of the article. Fixed value.
-DROPPED = frozenset("script style noscript template head title nav aside footer form button select option textarea input label iframe object embed canvas svg audio video map dialog menu fieldset".split())
+DROPPED = frozenset("script style noscript template head title nav aside footer button select option textarea input label iframe object embed canvas svg audio video map dialog menu fieldset".split())
 #: Elements whose end is not written. Fixed value.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup. Fixed value.
@@ -37,6 +37,14 @@ AROUND = frozenset("ad ads adv advert adverts advertisement advertising banner b
 OUTSIDE = frozenset("byline header recommended related remark rss search skip social tags teaser alert".split())
 ALWAYS = frozenset("comment comments commentlist disqus replies reply respond shoutbox cookie cookies consent gdpr advertisement sponsored".split())
 WITHIN = frozenset("article body content main post entry story text blog".split())
+#: Words of adverts: the only ones that count on what shows something in an article; and words of lists of links that may stand in one. Fixed value.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising promo promoted promotion sponsor sponsored skyscraper".split())
+LISTS = frozenset("recommended related social teaser tags".split())
+SHOWN = frozenset("figure picture table pre blockquote".split())
+#: Names that say what a page or an article has or hasn't, not what an element is. Fixed value.
+STATES = re.compile(r"^(?:no|not|has|with|without)(?=[-_A-Z])|[-_](?:open|opened|closed|enabled|disabled|allowed)$")
+#: An element isn't dropped by its name if it holds more than so many times the text of all that stays without it.
+WRAPS = 4
 
 #: Characters of a block that gives points, and what its points are divided by for the element it is in and those above.
 POINTED, LEVELS = 25, (1, 2, 6, 9, 12)
@@ -54,32 +62,71 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("children", "dropped", "inside", "length", "links", "linked", "parent", "score", "tag")
+    __slots__ = ("anchored", "children", "dropped", "inside", "kind", "length", "links", "linked", "parent", "prose", "score", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, kind: str = ""):
+        self.tag, self.parent, self.dropped, self.kind = tag, parent, False, kind
         self.children: list[Node | str] = []
+        self.prose = self.anchored = 0
         self.length = self.linked = self.links = 0
         self.score, self.inside = 0.0, False
 
 
-def surrounds(tag: str, attrs: str, within: bool) -> bool:
-    """Whether an element is no part of an article, by its name, class, id, role and style."""
+def surrounds(tag: str, attrs: str, within: bool) -> str:
+    """How an element is no part of an article, by its name, class, id, role and style: "never"; "named", unless it wraps nearly all text; "list", if it is little but links; or not at all."""
     if tag in DROPPED:
-        return True
+        return "never"
     if tag == "header" and not within:
-        return True
+        return "never"
+    if tag == "form":
+        return "named"
     if not attrs or tag in ("html", "body"):
-        return False
+        return ""
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
-    words = {w.lower() for w in NAME.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")))}
-    if not words & AROUND and (within or not words & OUTSIDE):
-        return False
+        return "never"
+    names = [n for k in ("class", "id", "role") for n in found.get(k, "").split() if not STATES.search(n)]
+    whole = within and (tag in PARAGRAPH or tag in SHOWN)  # there a part of a name says little
+    words = {w.lower() for n in names for w in ([n] if whole else NAME.findall(n))}
+    if within and tag in SHOWN:
+        words &= ADVERTS
     if words & ALWAYS:
-        return True
-    return tag not in ("article", "main") and not words & WITHIN
+        return "never"
+    if tag in ("article", "main") or words & WITHIN:
+        return ""
+    if words & AROUND or (not within and words & OUTSIDE):
+        return "named"
+    return "list" if words & LISTS and tag not in PARAGRAPH and tag not in HEADING else ""
+
+
+def settle(nodes: list[Node]) -> None:
+    """Which elements are dropped: no name drops one that holds nearly all text of the page."""
+    linked = set()
+    for node in nodes:
+        node.dropped = node.kind == "never" or (node.parent is not None and node.parent.dropped)
+        if node.tag == "a" or node.parent in linked:
+            linked.add(node)
+        n = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.prose, node.anchored = (0, n) if node in linked else (n, 0)
+    for node in reversed(nodes[1:]):
+        if not node.dropped:
+            node.parent.prose += node.prose
+            node.parent.anchored += node.anchored
+    wraps: set[Node] = set()
+    while True:
+        tops, free = [], nodes[0].prose
+        for node in nodes[1:]:
+            named = node.kind == "named" and node not in wraps
+            own = named or (node.kind == "list" and node.anchored >= node.prose)
+            if own and not node.parent.dropped:
+                free -= node.prose
+                if named:
+                    tops.append(node)
+            node.dropped = node.kind == "never" or own or node.parent.dropped
+        most = max(tops, key=lambda node: node.prose, default=None)
+        if most is None or most.prose <= WRAPS * free:
+            return
+        wraps.add(most)
 
 
 def parse(page: str) -> list[Node]:
@@ -139,8 +186,7 @@ def parse(page: str) -> list[Node]:
                 at = leave(top.parent)
         if tag in ("html", "body") and open_tags[tag] > 0:
             continue
-        node = Node(tag, at)
-        node.dropped = at.dropped or surrounds(tag, attrs, open_tags["article"] + open_tags["main"] > 0)
+        node = Node(tag, at, surrounds(tag, attrs, open_tags["article"] + open_tags["main"] > 0))
         at.children.append(node)
         nodes.append(node)
         if tag not in VOID and (tag in BLOCK or not attrs.endswith("/")):
@@ -148,6 +194,7 @@ def parse(page: str) -> list[Node]:
             open_tags[tag] += 1
     if pos < len(page):
         at.children.append(page[pos:])
+    settle(nodes)
     return nodes
 
 
@@ -294,6 +341,8 @@ def extract_text(frame: DataFrame, html_column: str = "html", keep: list[str] |
 
     Blocks of 25 characters or more give points to the five elements around
     them; that only chooses the container, and shorter blocks in it stay.
+    Names of classes drop what surrounds an article, but no element that holds
+    nearly all text.
 
     Null and empty html give an empty text; markup that breaks off or doesn't
     match is read as browsers do, nearly. One narrow pass without a shuffle:
