@@ -8,8 +8,11 @@ counts as 0, a missing degree as 0; without a vector cos is null.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,9 +115,36 @@ NAMED: dict[str, Callable[[], Column]] = {
 }
 
 
+@dataclass(frozen=True)
+class Batched:
+    """A heuristic as any callable over whole columns: it gets Arrow arrays of the columns it reads, by name, and gives a number for each row."""
+
+    function: Callable[[dict[str, pa.Array]], Sequence[float] | np.ndarray | pa.Array]
+    reads: tuple[str, ...]
+
+
+def _batches(parts: list[tuple[Batched, float]]) -> Column:
+    """The weighted sum of some batched heuristics, of which a task evaluates all in one pass over the union of what they read."""
+    reads = sorted({c for part, _ in parts for c in part.reads})
+
+    @F.arrow_udf("double")
+    def total(*columns: pa.Array) -> pa.Array:
+        named = dict(zip(reads, columns, strict=True))
+        out = np.zeros(len(columns[0]))
+        for part, weight in parts:
+            found = part.function({c: named[c] for c in part.reads})
+            out += weight * np.asarray(found.to_numpy(False) if isinstance(found, pa.Array) else found, np.float64)
+        return pa.array(out, from_pandas=True)
+
+    return total(*map(F.col, reads))
+
+
 def weighted(strategies: Mapping) -> Column:
-    """The weighted sum of named heuristics or of functions that return a Column."""
-    total = F.lit(0.0)
+    """The weighted sum of named heuristics, of functions that return a Column, and of batched ones; null where one is."""
+    total, parts = F.lit(0.0), []
     for what, weight in strategies.items():
-        total = total + (NAMED[what] if isinstance(what, str) else what)() * F.lit(float(weight))
-    return total
+        if isinstance(what, Batched):
+            parts.append((what, float(weight)))
+        else:
+            total = total + (NAMED[what] if isinstance(what, str) else what)() * F.lit(float(weight))
+    return total + _batches(parts) if parts else total

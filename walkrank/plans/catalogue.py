@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,11 @@ from walkrank.functions import heuristics as h
 from walkrank.operators import analysis, metrics, pivots, prototype, search, walk
 from walkrank.params import Params, profile
 from walkrank.plans import oracle as o
+from walkrank.plans.embeddings import CachedEmbedder
 from walkrank.plans.registry import Registry, plain
 from walkrank.plans.retriever import Retriever, checked, hashing_embedder, rejects, without_vectors
 from walkrank.sources import graph as g
-from walkrank.sources import synthetic
+from walkrank.sources import plugins, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -139,6 +141,29 @@ for _name, _p in {"walk_sampled_off": Params(), "walk_sampled_sync": Params(pher
     register(_name, o.query(o.sampled(_p) + ",\n" + o.ranked(_p), _RESULT))(lambda s, d, p=_p: _rounded(_sampled(p, s, d), "votes", "score"))
 
 
+def _near(columns: dict) -> np.ndarray:
+    return (columns["cos"].to_numpy(zero_copy_only=False) + 1) / 2
+
+
+def _central(columns: dict) -> np.ndarray:
+    own, mean = (np.log1p(columns[c].to_numpy(zero_copy_only=False).astype(float)) for c in ("degree", "avg_degree"))
+    return own / np.where(own + mean > 0, own + mean, 1.0)
+
+
+#: The default strategy with two of its heuristics as callables over columns.
+_MIXED = Params(movement={h.Batched(_near, ("cos",)): 0.3, h.Batched(_central, ("degree", "avg_degree")): 0.4, "repulsion": 0.3})
+register("walk_sampled_batched", _SQL["walk_sampled_off"])(lambda s, d: _rounded(_sampled(_MIXED, s, d), "votes", "score"))
+
+
+@register("walk_plugin", _SQL["walk_expected_fast"])
+def walk_plugin(spark: SparkSession, d: str) -> DataFrame:
+    """A walk over the same graph as a store outside Spark has it: read in parts by the data source of stores."""
+    kept = g.graph_folder(spark, d)
+    graph = plugins.load_dataset(spark, "parquet", nodes=g.kept_folder(spark, kept, "nodes"), edges=g.kept_folder(spark, kept, "edges"))
+    params, queries = profile("fast"), g.load_queries(spark, d)
+    return _rounded(walk.rank_visits(walk.expected_visits(queries, graph, params), queries, graph, params, "visit_weighted"), "votes", "score")
+
+
 @register("flow_greedy", o.query(o.flow(), "SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, node_id) AS rank, node_id, votes FROM votes) WHERE rank <= 20"))
 def flow_greedy(spark: SparkSession, d: str) -> DataFrame:
     return prototype.rank_by_frequency(prototype.flow_visits(g.load_queries(spark, d), g.load_graph(spark, d)))
@@ -314,6 +339,15 @@ def embed_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("value <> 0").select("item_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
+@register("embed_texts_cached", _EMBEDDED)
+def embed_texts_cached(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with vectors that earlier runs have kept: only new texts are embedded."""
+    items = g.read(spark, d, "benchmark").where("text IS NOT NULL")
+    vectors = CachedEmbedder(spark, "hashing-64", hashing_embedder(64))(items.select("text"))
+    rows = items.join(vectors, "text").select("item_id", F.posexplode("qvec").alias("dim", "value"))
+    return rows.where("value <> 0").select("item_id", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
+
+
 @register("rejected_queries", "SELECT vec_id AS query_id FROM embeddings LEFT JOIN part ON p_partkey = vec_id WHERE vec_id % 100 = 0 AND (p_size IS NULL OR p_size > 25)")
 def rejected_queries(spark: SparkSession, d: str) -> DataFrame:
     """A batch in which only queries of small parts have a vector: the others are named, and don't stop it."""

@@ -43,7 +43,7 @@ class Registry:
 
     def listed(self) -> DataFrame:
         """(run, settings, queries, batch_seconds, query_seconds) of all stored runs: a batch's time, and each query's share of it."""
-        names = [f"{_KIND}/{n}" for n in self.store._names(_KIND)]
+        names = [f"{_KIND}/{n}" for n in self.store.names(_KIND)]
         found = [self.spark.read.parquet(f"{folder}/info") for folder in map(self.store.find, names) if folder]
         rows = reduce(DataFrame.unionByName, found, self.spark.createDataFrame([], _INFO))
         return rows.withColumn("query_seconds", F.when(F.col("queries") > 0, F.col("batch_seconds") / F.col("queries")))

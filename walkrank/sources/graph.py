@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from walkrank.functions.vectors import norm
 from walkrank.scratch import Folders, Scratch
-from walkrank.store import Store, read_buckets, write_buckets
+from walkrank.store import Store, bucket_folder, read_buckets, write_buckets
 
 #: Every row whose id this divides is a query.
 QUERY_EVERY = 100
@@ -110,14 +110,24 @@ def sources(sf_dir: str) -> list[str]:
     return [f"{sf_dir}/{name}.parquet" for name in ("embeddings", "lineitem", "part")]
 
 
-def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of a folder's tables, from the store; built anew once a file of them has changed."""
+def graph_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Where the kept graph of these tables is; it is built anew once a file of them has changed."""
 
     def write(folder: str) -> None:
         with Folders(spark):
             write_graph(Graph.of(load_nodes(spark, sf_dir), Scratch(spark, "edges").save(load_edges(spark, sf_dir), "edges")), folder)
 
-    return read_graph(spark, Store(spark).entry("graph", {"slot_edges": SLOT_EDGES}, sources(sf_dir), write))
+    return Store(spark).entry("graph", {"slot_edges": SLOT_EDGES}, sources(sf_dir), write)
+
+
+def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of a folder's tables, from the store."""
+    return read_graph(spark, graph_folder(spark, sf_dir))
+
+
+def kept_folder(spark: SparkSession, folder: str, name: str) -> str:
+    """The files of one table of a kept graph."""
+    return bucket_folder(spark, folder, name)[0]
 
 
 def write_graph(graph: Graph, folder: str) -> None:

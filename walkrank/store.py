@@ -44,13 +44,14 @@ class Store:
         told = json.dumps([VERSION, settings, sorted(paths)], sort_keys=True) + (source_state(self.spark, paths) if paths else "")
         return f"{kind}/{hashlib.sha256(told.encode()).hexdigest()[:24]}"
 
-    def _names(self, key: str) -> list[str]:
+    def names(self, key: str) -> list[str]:
+        """What stands under a kind or key."""
         path, files = file_system(self.spark, f"{self.folder}/{key}")
         return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
     def find(self, key: str) -> str | None:
         """The folder of a whole entry."""
-        done = [n for n in self._names(key) if n.startswith(_DONE)]
+        done = [n for n in self.names(key) if n.startswith(_DONE)]
         return f"{self.folder}/{key}/{done[0].removeprefix(_DONE)}" if done else None
 
     def put(self, key: str, write: Callable[[str], None]) -> str:
@@ -75,7 +76,7 @@ class Store:
             done = self.find(key)
             stays = {done.rsplit("/", 1)[1], _DONE + done.rsplit("/", 1)[1]} if key in keep and done else set()
             gone += not stays
-            for name in [key] if not stays else [f"{key}/{n}" for n in self._names(key) if n not in stays]:
+            for name in [key] if not stays else [f"{key}/{n}" for n in self.names(key) if n not in stays]:
                 delete(self.spark, f"{self.folder}/{name}")
         return gone
 
@@ -88,11 +89,16 @@ def write_buckets(frame: DataFrame, folder: str, name: str, n: int, *columns: st
     frame.sparkSession.sql(f"DROP TABLE {table}")  # an external table: its files stay
 
 
-def read_buckets(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """The table as a session's catalogue has it, so that its buckets count."""
+def bucket_folder(spark: SparkSession, folder: str, name: str) -> tuple[str, str]:
+    """Where a table in buckets is, and their number."""
     path, files = file_system(spark, folder)
     found = next(s.getPath().getName() for s in files.listStatus(path) if s.getPath().getName().rsplit("-", 1)[0] == name)
-    own, n = f"{folder}/{found}", found.rsplit("-", 1)[1]
+    return f"{folder}/{found}", found.rsplit("-", 1)[1]
+
+
+def read_buckets(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The table as a session's catalogue has it, so that its buckets count."""
+    own, n = bucket_folder(spark, folder, name)
     table = f"walkrank_{name}_{hashlib.sha256(own.encode()).hexdigest()[:16]}"
     if not spark.catalog.tableExists(table):
         schema = spark.read.parquet(own).schema.toDDL()
