@@ -57,3 +57,11 @@ def formatted(summarised: DataFrame) -> DataFrame:
     """(run, metric, value): mean ± std at 4 decimals, the mean alone without a std."""
     value = F.when(F.col("std").isNull(), F.format_string("%.4f", "mean")).otherwise(F.format_string("%.4f ± %.4f", "mean", "std"))
     return summarised.select("run", "metric", value.alias("value"))
+
+
+def plotted(summarised: DataFrame, wanted: list[str], missing: float | None = None) -> DataFrame:
+    """(place, metric, ..., value) of the wanted metrics in order, means at 4 decimals as reports write them. Metrics that aren't there have the value ``missing``, or without one no row."""
+    asked = summarised.sparkSession.createDataFrame(list(enumerate(wanted)), "place int, metric string")
+    rows = asked.join(summarised.withColumnRenamed("mean", "value").drop("std"), "metric", "inner" if missing is None else "left")
+    value = F.round("value", 4)
+    return rows.withColumn("value", value if missing is None else F.coalesce(value, F.lit(missing)))

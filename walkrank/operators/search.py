@@ -16,19 +16,6 @@ QUERY_BLOCK, NODE_BLOCK = 2048, 16_384
 _SCORES = 1 << 22
 
 
-def in_blocks(queries: DataFrame, rows: DataFrame, size: int = QUERY_BLOCK) -> DataFrame:
-    """Every row with every query of a stated set, dealt to cells of a grid: query blocks against blocks of rows.
-
-    An equi-join on the cell, so neither side is sent whole to a task and no
-    cell grows with the data.
-    """
-    n = max(1, -(-queries.count() // size))
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = rows.withColumn("rb", F.pmod(F.xxhash64("node_id"), F.lit(parts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    return q.join(r, ["qb", "rb"]).drop("qb", "rb")
-
-
 def faulty(vector: str, dims) -> Column:
     """Why a vector can't be compared with those of ``dims`` components, as null, length or non-finite; null if it can be."""
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

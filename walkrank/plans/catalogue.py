@@ -25,7 +25,9 @@ _SQL: dict[str, str] = {}
 #: Metrics of comparisons.
 COMPARED = ["hit_at_1", "hit_at_5", "hit_at_10", "hit_at_20", "recall_at_5", "recall_at_20", "mrr", "dr_at_20"]
 ABLATED = ["hit_at_10", "mrr", "dr_at_20"]
-DOCS, SEED = 500, 42
+SEED = 42
+#: Years after which questions ask for documents.
+YEARS = (1998, 2000)
 
 
 def register(name: str, sql: str | None = None):
@@ -79,6 +81,13 @@ def adjacency_build(spark: SparkSession, d: str) -> DataFrame:
     return g.adjacency(g.load_edges(spark, d)).select("node_id", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"), F.col("degree").cast("bigint").alias("degree"))
 
 
+@register("adjacency_blocks", o.query("", f"SELECT src AS node_id, CAST(0 AS INTEGER) AS block, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS nbrs, count(*) AS n FROM edges GROUP BY src HAVING count(*) <= {g.SLOT_EDGES}"))
+def adjacency_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of bounded length, of nodes that have one: SQL knows no others in these tables."""
+    blocks = g.adjacency_blocks(g.load_graph(spark, d)).where("blocks = 1")
+    return blocks.select("node_id", "block", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"), F.size("nbrs").cast("bigint").alias("n"))
+
+
 @register("degree_stats", o.query("", "SELECT min(degree) AS min_degree, max(degree) AS max_degree, round(avg(degree), 6) AS mean_degree, (SELECT degree FROM degree ORDER BY degree LIMIT 1 OFFSET (SELECT count(*) // 2 FROM degree)) AS median_degree FROM degree"))
 def degree_stats(spark: SparkSession, d: str) -> DataFrame:
     return g.degree_stats(g.load_graph(spark, d).degree)
@@ -91,16 +100,22 @@ def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
     return graph.hops(asked).join(graph.degree.withColumnRenamed("node_id", "dst"), "dst", "left").select("node_id", "dst", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def _first_hops(spark: SparkSession, d: str, graph: g.Graph) -> DataFrame:
+    """(query_id, node_id) where walkers may go first: what heuristics are asked about."""
+    return walk.reached(search.starts(g.load_queries(spark, d), graph, Params()), graph)
+
+
 def _heuristic(name: str, value, spark: SparkSession, d: str) -> DataFrame:
     graph = g.load_graph(spark, d)
     marks = g.read(spark, d, "part").select(F.col("p_partkey").alias("node_id"), (F.col("p_size") / 10.0).alias("pheromone"))
     top = F.broadcast(marks.join(graph.nodes, "node_id", "left_semi").agg(F.max("pheromone").alias("max_pheromone")))
-    rows = search.in_blocks(search.sized(g.load_queries(spark, d)), graph.traits().join(marks, "node_id", "left").join(top))
+    rows = _first_hops(spark, d, graph).join(graph.traits().join(marks, "node_id", "left"), "node_id").join(search.sized(g.load_queries(spark, d)), "query_id").join(top)
     rows = rows.withColumn("cos", search.cosine("qvec", "vec", sizes=("qsize", "size"))).withColumns({"agent_id": F.lit(3), "step": F.lit(2), "dst": F.col("node_id"), "votes": F.col("degree").cast("double"), "n_agents": F.lit(20)})
     return rows.select("query_id", "node_id", F.round(value(), 6).alias("value"))
 
 
-_MARKED = "marked AS (SELECT s.*, p_size / 10e0 AS pheromone, (SELECT max(p_size / 10e0) FROM part WHERE p_partkey IN (SELECT node_id FROM nodes)) AS max_pheromone, 3 AS agent_id, 2 AS step, node_id AS dst, CAST(degree AS DOUBLE) AS votes, 20 AS n_agents FROM sims s LEFT JOIN part ON p_partkey = node_id)"
+_HOPS = o.zone(Params()) + ",\nhop AS MATERIALIZED (SELECT s.* FROM sims s JOIN (SELECT DISTINCT z.query_id, e.dst AS node_id FROM zone z JOIN edges e ON e.src = z.node_id) USING (query_id, node_id))"
+_MARKED = _HOPS + ",\nmarked AS (SELECT s.*, p_size / 10e0 AS pheromone, (SELECT max(p_size / 10e0) FROM part WHERE p_partkey IN (SELECT node_id FROM nodes)) AS max_pheromone, 3 AS agent_id, 2 AS step, node_id AS dst, CAST(degree AS DOUBLE) AS votes, 20 AS n_agents FROM hop s LEFT JOIN part ON p_partkey = node_id)"
 for _key, _name in {
     "h_semantic": "semantic", "h_cosine": "cosine", "h_centrality": "centrality", "h_log_degree": "log_degree", "h_repulsion": "repulsion", "h_jitter": "jitter", "h_visited": "visited", "h_diversity": "diversity", "h_relevance": "relevance",
     "dep_flat": "flat", "dep_hub": "dep_hub", "dep_hub_raw": "dep_hub_raw", "dep_semantic": "dep_semantic", "dep_semantic_raw": "dep_semantic_raw", "dep_explorer": "dep_explorer", "dep_collab": "dep_collab",
@@ -109,11 +124,10 @@ for _key, _name in {
 register("h_dataset_centrality", o.query(_MARKED, "SELECT query_id, node_id, round(coalesce(ln(1 + degree) / nullif(ln(1 + degree) + ln(1 + 18.2e0), 0), 0), 6) AS value FROM marked"))(partial(_heuristic, "amazon", h.dataset_centrality("amazon")))
 
 
-@register("movement_scores", o.query("", f"SELECT query_id, node_id, round(greatest({o.weighted(Params().movement)}, 0.001e0), 6) AS w FROM (SELECT *, 0e0 AS pheromone, 1e0 AS max_pheromone FROM sims)"))
+@register("movement_scores", o.query(_HOPS, f"SELECT query_id, node_id, round(greatest({o.weighted(Params().movement)}, 0.001e0), 6) AS w FROM (SELECT *, 0e0 AS pheromone, 1e0 AS max_pheromone FROM hop)"))
 def movement_scores(spark: SparkSession, d: str) -> DataFrame:
     graph, queries = g.load_graph(spark, d), g.load_queries(spark, d)
-    pairs = search.in_blocks(queries.select("query_id"), graph.nodes.select("node_id"))
-    return _rounded(walk.node_weights(pairs, queries, graph, Params()), "w")
+    return _rounded(walk.node_weights(_first_hops(spark, d, graph), queries, graph, Params()), "w")
 
 
 @register("transition_matrix", o.query(o.expected(Params()), "SELECT t.query_id, t.src, t.dst, round(t.p, 6) AS p FROM t JOIN zone z ON z.query_id = t.query_id AND z.node_id = t.src"))
@@ -233,6 +247,23 @@ def metrics_formatted(spark: SparkSession, d: str) -> DataFrame:
     return metrics.formatted(metrics_summary(spark, d))
 
 
+#: What a plot asks for: some metrics, of which one isn't measured.
+PLOTTED = ["mrr", "hit_at_5", "ndcg_at_5", "recall_at_20"]
+_SHOWN = "asked AS (SELECT unnest(['mrr', 'hit_at_5', 'ndcg_at_5', 'recall_at_20']) AS metric, unnest([0, 1, 2, 3]) AS place)"
+
+
+@register("plot_bars", o.query(_BOTH + ",\n" + _LONG + ", " + _SHOWN, "SELECT CAST(place AS INTEGER) AS place, metric, coalesce(round(mean, 4), 0e0) AS value FROM asked LEFT JOIN (SELECT * FROM sums WHERE run = 'walk') USING (metric)"))
+def plot_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The bars of one run: a metric that it lacks is 0."""
+    return metrics.plotted(metrics_summary(spark, d).where("run = 'walk'").drop("run"), PLOTTED, missing=0.0)
+
+
+@register("plot_comparison", o.query(_BOTH + ",\n" + _LONG + ", " + _SHOWN, "SELECT CAST(place AS INTEGER) AS place, metric, run, round(mean, 4) AS value FROM asked JOIN sums USING (metric)"))
+def plot_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The bars of several runs, a group a metric: what a run lacks is left out."""
+    return metrics.plotted(metrics_summary(spark, d), PLOTTED)
+
+
 @register("metrics_node_types", o.query(_WALK, "SELECT query_id, diversity_node_types FROM mw"))
 def metrics_node_types(spark: SparkSession, d: str) -> DataFrame:
     return _walk_metrics(spark, d).select("query_id", "diversity_node_types")
@@ -381,28 +412,28 @@ def checked_topn(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(search.top_n(checked(_faulty_batch(spark, d), search.common_length(nodes, "vec")), nodes, 5), "score")
 
 
-@register("h_relation", f"WITH {o.kb(DOCS, SEED)},\n" + o.kb_graph(DOCS, SEED).replace("SELECT src, dst, relation, weight FROM near UNION ALL", ", edges AS (SELECT src, dst, relation FROM near UNION ALL").replace(f"'cites_hub', round(0.7e0 + 0.3e0 * {o.uniform(str(SEED), 'src', 'dst', chr(39) + 'hub_weight' + chr(39))}, 9)", "'cites_hub'") + ")\nSELECT src, dst, CASE relation WHEN 'cites' THEN 1e0 WHEN 'extends' THEN 0.8e0 ELSE 0.5e0 END AS value FROM edges")
+@register("h_relation", f"WITH {o.typed_edges()}\nSELECT src, dst, CASE relation WHEN 'cites' THEN 1e0 WHEN 'extends' THEN 0.8e0 ELSE 0.5e0 END AS value FROM typed")
 def h_relation(spark: SparkSession, d: str) -> DataFrame:
-    edges = synthetic.graph(synthetic.documents(spark, DOCS, SEED), DOCS, SEED)
-    return edges.select("src", "dst", h.relation_preference({"cites": 1.0, "extends": 0.8})().alias("value"))
+    return synthetic.typed_edges(spark, d).select("src", "dst", h.relation_preference({"cites": 1.0, "extends": 0.8})().alias("value"))
 
 
-@register("kb_documents", f"WITH {o.kb(DOCS, SEED)} SELECT * FROM docs")
+@register("kb_documents", f"WITH {o.kb()} SELECT * FROM docs")
 def kb_documents(spark: SparkSession, d: str) -> DataFrame:
-    return synthetic.documents(spark, DOCS, SEED)
+    return synthetic.documents(spark, d)
 
 
-@register("kb_graph", f"WITH {o.kb(DOCS, SEED)},\n{o.kb_graph(DOCS, SEED)}")
+@register("kb_graph", f"WITH {o.kb()},\n{o.kb_graph(SEED)}")
 def kb_graph(spark: SparkSession, d: str) -> DataFrame:
-    return synthetic.graph(synthetic.documents(spark, DOCS, SEED), DOCS, SEED)
+    docs = synthetic.documents(spark, d)
+    return synthetic.graph(docs, docs.count(), SEED)
 
 
 def _kb_truth(kind: str, answer, spark: SparkSession, d: str) -> DataFrame:
-    return answer(synthetic.documents(spark, DOCS, SEED), synthetic.questions(spark, 50, SEED).where(F.col("kind") == kind))
+    return answer(synthetic.documents(spark, d), synthetic.questions(spark, 50, SEED, YEARS).where(F.col("kind") == kind))
 
 
 for _key, _kind, _answer in (("gt_two_topic", "two_topic", synthetic.truth_two_topics), ("gt_topic_year", "topic_year", synthetic.truth_topic_year), ("gt_topic", "topic", synthetic.truth_topic)):
-    register(_key, f"WITH {o.kb(DOCS, SEED)},\n{o.kb_questions(50, SEED)}\n{o.kb_truth(_kind)}")(partial(_kb_truth, _kind, _answer))
+    register(_key, f"WITH {o.kb()},\n{o.kb_questions(50, SEED, YEARS)}\n{o.kb_truth(_kind)}")(partial(_kb_truth, _kind, _answer))
 
 
 def queries() -> dict[str, Query]:

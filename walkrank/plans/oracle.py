@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from walkrank.params import Params
 from walkrank.sources.graph import QUERY_EVERY
-from walkrank.sources.synthetic import FORMS, RELATIONS, TOPICS
+from walkrank.sources.synthetic import FLAGS, RELATIONS, TOPICS
 
 
 def draw(*parts: str) -> str:
@@ -168,20 +168,22 @@ def between(low: int, high: int, *parts: str) -> str:
     return f"CAST({draw(*parts)} % {high - low + 1} + {low} AS INTEGER)"
 
 
-def kb(n: int, seed: int) -> str:
-    i, s = "doc", str(seed)
-    u = uniform(s, i, "'relevance'")
-    forms = " ".join(f"WHEN {k} THEN printf('{text.replace('%1$s', '%s').replace('%2$d', '%d')}', topic{', number' if '%2$d' in text else ''})" for k, text in enumerate(FORMS))
-    return f"""docs0 AS (SELECT doc, {choice(TOPICS, s, i, "'topic'")} AS topic, {between(1, 99, s, i, "'number'")} AS number FROM (SELECT unnest(range({n})) AS doc)),
-docs AS MATERIALIZED (SELECT doc, 'doc_' || doc AS id, topic || ' ' || doc AS title, CASE {draw(s, i, "'form'")} % {len(FORMS)} {forms} END AS content, topic,
-  {between(0, 500, s, i, "'citations'")} AS citations, {between(2015, 2024, s, i, "'year'")} AS year, {between(1, 8, s, i, "'authors'")} AS authors,
-  round(CASE WHEN {uniform(s, i, "'good'")} > 0.3e0 THEN 0.3e0 + 0.7e0 * {u} ELSE 0.1e0 + 0.2e0 * {u} END, 9) AS relevance FROM docs0)"""
+def kb() -> str:
+    return f"""docs AS MATERIALIZED (SELECT doc, 'doc_' || doc AS id, topic || ' ' || doc AS title, content, topic, coalesce(citations, 0) AS citations, coalesce(authors, 0) AS authors, year, relevance FROM
+  (SELECT p_partkey AS doc, p_name AS content, {choice(TOPICS, "p_type", "'topic'")} AS topic, round(0.1e0 + 0.9e0 * (p_size - 1) / 49.0e0, 9) AS relevance FROM part)
+  LEFT JOIN (SELECT l_partkey AS doc, count(*) AS citations, count(DISTINCT l_suppkey) AS authors, CAST(max(year(l_shipdate)) AS INTEGER) AS year FROM lineitem GROUP BY 1) USING (doc))"""
 
 
-def kb_questions(n: int, seed: int) -> str:
+def typed_edges() -> str:
+    flags = " ".join(f"WHEN '{flag}' THEN '{name}'" for flag, name in FLAGS.items())
+    return f"""lines AS (SELECT DISTINCT l_orderkey, l_partkey AS src, CASE l_returnflag {flags} END AS relation FROM lineitem),
+typed AS (SELECT a.src, b.dst, min(relation) AS relation FROM lines a JOIN (SELECT DISTINCT l_orderkey, l_partkey AS dst FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.src <> b.dst GROUP BY 1, 2)"""
+
+
+def kb_questions(n: int, seed: int, years: tuple[int, int]) -> str:
     s, i = str(seed), "query_id"
     names = f"[{', '.join(repr(t) for t in TOPICS)}]"
-    return f"""ask0 AS (SELECT query_id, {choice(["topic_year", "two_topic", "topic", "topic", "topic"], s, i, "'kind'")} AS kind, {draw(s, i, "'first'")} % {len(TOPICS)} AS a, {draw(s, i, "'second'")} % {len(TOPICS) - 1} + 1 AS b, {between(2018, 2023, s, i, "'after'")} AS after FROM (SELECT unnest(range({n})) AS query_id)),
+    return f"""ask0 AS (SELECT query_id, {choice(["topic_year", "two_topic", "topic", "topic", "topic"], s, i, "'kind'")} AS kind, {draw(s, i, "'first'")} % {len(TOPICS)} AS a, {draw(s, i, "'second'")} % {len(TOPICS) - 1} + 1 AS b, {between(*years, s, i, "'after'")} AS after FROM (SELECT unnest(range({n})) AS query_id)),
 ask AS MATERIALIZED (SELECT query_id, kind, {names}[a + 1] AS topic1, {names}[(a + b) % {len(TOPICS)} + 1] AS topic2, after FROM ask0)"""
 
 
@@ -190,8 +192,9 @@ def kb_truth(kind: str) -> str:
     return f"SELECT query_id, node_id FROM (SELECT a.query_id, d.doc AS node_id, count(*) OVER (PARTITION BY a.query_id) AS c, row_number() OVER (PARTITION BY a.query_id ORDER BY d.doc) AS i FROM ask a JOIN docs d ON a.kind = '{kind}' AND {on} AND d.relevance > 0.6e0) WHERE c >= 2 AND i <= 10"
 
 
-def kb_graph(n: int, seed: int, tries: int = 8) -> str:
-    s, hubs = str(seed), max(3, n // 50)
+def kb_graph(seed: int, tries: int = 8) -> str:
+    s, n = str(seed), "(SELECT count(*) FROM docs)"
+    hubs = f"greatest(3, {n} // 50)"
     names = f"[{', '.join(repr(t) for t in TOPICS)}]"
     return f"""place AS (SELECT doc, topic, row_number() OVER (PARTITION BY topic ORDER BY doc) - 1 AS place FROM docs),
 sizes AS (SELECT topic AS wanted, count(*) AS size FROM docs GROUP BY 1),

@@ -171,6 +171,14 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node_id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs")).withColumn("degree", F.size("nbrs"))
 
 
+def adjacency_blocks(graph: Graph) -> DataFrame:
+    """(node_id, block, nbrs, blocks): a node's neighbours in lists of some SLOT_EDGES, dealt by a hash: a hub has as many as it needs, other nodes one."""
+    hubs = graph.degree.where(F.col("degree") > SLOT_EDGES).select("node_id", F.ceil(F.col("degree") / SLOT_EDGES).alias("blocks"))
+    rows = graph.edges.select(F.col("src").alias("node_id"), "dst").join(hubs, "node_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int"))
+    return rows.groupBy("node_id", "block").agg(F.sort_array(F.collect_list("dst")).alias("nbrs"), F.first("blocks").alias("blocks"))
+
+
 def degree_stats(degree: DataFrame) -> DataFrame:
     """min, max, mean and the upper median of degrees, from their counts: no sort of all nodes."""
     counts = degree.groupBy("degree").agg(F.count("*").alias("c"))

@@ -1,20 +1,18 @@
-"""A synthetic knowledge base: documents, their directed graph, and questions with several answers; drawn by counters."""
+"""A knowledge base over the parts of a shop: documents, a directed graph drawn among them by counters, and questions with several answers."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from walkrank.functions.rng import draw, uniform
-from walkrank.sources.graph import first_truths
+from walkrank.sources.graph import first_truths, read
 
 #: Topics of documents. Fixed values.
 TOPICS = ["machine learning", "quantum physics", "biochemistry", "climate science", "neuroscience", "economics", "astronomy", "genetics", "renewable energy", "cryptography"]
-#: Forms of a document's text, for callers without their own: the topic, and a number where one is asked for.
-FORMS = ("Lecture notes: %1$s.", "Glossary of %1$s with %2$d entries.", "%1$s, exercise sheet %2$d.")
+#: Relations of near documents, and what the flag of an order line stands for. Fixed values.
 RELATIONS = ["cites", "related", "extends"]
+FLAGS = {"A": "cites", "R": "extends", "N": "related"}
 
 
 def _choice(values: list[str], *parts) -> Column:
@@ -25,17 +23,13 @@ def _between(low: int, high: int, *parts) -> Column:
     return (F.pmod(draw(*parts), F.lit(high - low + 1)) + low).cast("int")
 
 
-def documents(spark: SparkSession, n: int = 500, seed: int = 42, forms: Sequence[str] = FORMS) -> DataFrame:
-    """``n`` documents, whatever tables there are: (doc, id, title, content, topic, citations, year, authors, relevance): seven in ten have a relevance of 0.3 to 1, the others 0.1 to 0.3."""
-    i = F.col("doc")
-    rows = spark.range(n).withColumnRenamed("id", "doc").withColumn("topic", _choice(TOPICS, seed, i, "topic"))
-    u = uniform(seed, i, "relevance")
-    relevance = F.when(uniform(seed, i, "good") > 0.3, 0.3 + 0.7 * u).otherwise(0.1 + 0.2 * u)
-    form = F.pmod(draw(seed, i, "form"), F.lit(len(forms)))
-    content = F.lit(None).cast("string")
-    for k, text in enumerate(forms):
-        content = F.when(form == k, F.format_string(text, F.col("topic"), _between(1, 99, seed, i, "number"))).otherwise(content)
-    return rows.select("doc", F.concat(F.lit("doc_"), i.cast("string")).alias("id"), F.concat("topic", F.lit(" "), i.cast("string")).alias("title"), content.alias("content"), "topic", _between(0, 500, seed, i, "citations").alias("citations"), _between(2015, 2024, seed, i, "year").alias("year"), _between(1, 8, seed, i, "authors").alias("authors"), F.round(relevance, 9).alias("relevance"))
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, id, title, content, topic, citations, year, authors, relevance) of every part: its type gives the topic, its size the relevance, its order lines how often, by how many and until when it is cited."""
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("doc")).agg(F.count("*").alias("citations"), F.count_distinct("l_suppkey").alias("authors"), F.max(F.year("l_shipdate")).alias("year"))
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("content"), _choice(TOPICS, F.col("p_type"), "topic").alias("topic"), F.round(0.1 + 0.9 * (F.col("p_size") - 1) / 49.0, 9).alias("relevance"))
+    rows = parts.join(lines, "doc", "left")
+    i = F.col("doc").cast("string")
+    return rows.select("doc", F.concat(F.lit("doc_"), i).alias("id"), F.concat("topic", F.lit(" "), i).alias("title"), "content", "topic", F.coalesce("citations", F.lit(0)).alias("citations"), F.coalesce("authors", F.lit(0)).alias("authors"), "year", "relevance")
 
 
 def graph(docs: DataFrame, n: int, seed: int = 42, tries: int = 8) -> DataFrame:
@@ -66,6 +60,17 @@ def graph(docs: DataFrame, n: int, seed: int = 42, tries: int = 8) -> DataFrame:
     return near.unionByName(far.join(near.select("src", "dst"), ["src", "dst"], "left_anti"))
 
 
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, relation): parts of one order, each with the others; the first relation by name that a line of the source has."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part"), "l_returnflag")
+    relation = F.lit(None).cast("string")
+    for flag, name in FLAGS.items():
+        relation = F.when(F.col("l_returnflag") == flag, name).otherwise(relation)
+    a = lines.select("l_orderkey", F.col("part").alias("src"), relation.alias("relation")).distinct()
+    b = lines.select("l_orderkey", F.col("part").alias("dst")).distinct()
+    return a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.min("relation").alias("relation"))
+
+
 def truth_two_topics(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """For questions(query_id, topic1, topic2): good documents of either topic."""
     asked = questions.select("query_id", F.explode(F.array_distinct(F.array("topic1", "topic2"))).alias("topic"))
@@ -88,12 +93,12 @@ def _truth(docs: DataFrame, asked: DataFrame, condition: Column | None = None) -
     return first_truths(rows.select("query_id", F.col("doc").alias("node_id")))
 
 
-def questions(spark: SparkSession, n: int = 50, seed: int = 42) -> DataFrame:
+def questions(spark: SparkSession, n: int = 50, seed: int = 42, years: tuple[int, int] = (2018, 2023)) -> DataFrame:
     """(query_id, kind, text, topic, topic1, topic2, after): kinds two_topic, topic_year and topic."""
     i = F.col("query_id")
     rows = spark.range(n).withColumnRenamed("id", "query_id").withColumn("kind", _choice(["topic_year", "two_topic", "topic", "topic", "topic"], seed, i, "kind"))
     first, step = F.pmod(draw(seed, i, "first"), F.lit(len(TOPICS))), F.pmod(draw(seed, i, "second"), F.lit(len(TOPICS) - 1)) + 1
     names = F.array(*map(F.lit, TOPICS))
-    rows = rows.withColumn("topic1", F.element_at(names, (first + 1).cast("int"))).withColumn("topic2", F.element_at(names, (F.pmod(first + step, F.lit(len(TOPICS))) + 1).cast("int"))).withColumn("topic", F.col("topic1")).withColumn("after", _between(2018, 2023, seed, i, "after"))
+    rows = rows.withColumn("topic1", F.element_at(names, (first + 1).cast("int"))).withColumn("topic2", F.element_at(names, (F.pmod(first + step, F.lit(len(TOPICS))) + 1).cast("int"))).withColumn("topic", F.col("topic1")).withColumn("after", _between(*years, seed, i, "after"))
     text = F.when(F.col("kind") == "two_topic", F.concat_ws(" ", "topic1", "topic2")).when(F.col("kind") == "topic_year", F.concat_ws(" ", "topic", F.col("after").cast("string"))).otherwise(F.col("topic"))
     return rows.withColumn("text", text)
