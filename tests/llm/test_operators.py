@@ -352,8 +352,9 @@ def test_toxicity_of_pairs(kind):
         return ((m.score(flat, at) >= 0.5) == label[3000:]).mean()
 
     assert right(machine) >= 0.95
-    without = machine._replace(factor=np.zeros_like(machine.factor))
-    assert right(without) <= right(machine) - (0.2 if kind != "both" else 0.0)
+    if kind != "both":  # that weights alone can tell, too
+        without = machine._replace(factor=np.zeros_like(machine.factor))
+        assert right(without) <= right(machine) - 0.2
 
 
 def test_toxicity_score_is_its_formula():
