@@ -589,7 +589,9 @@ def test_chunks_are_the_library(text):
     assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "<|endoftext|>" + text)]
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_warc(spark, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT", hot)
     body = "<p>" + "é" * 60
     cases = [(5, "http://www.Example.com/a?b", body), (3, "http://b.org/", body), (9, None, body), (4, "http://b.org/", None), (7, "http://b.org/", ""), (8, "x", "short"), (2, "y", "short"), (10, "http://b.org/\r\nx", "z" * 300_000), (3, "http://b.org/", body), (None, "http://n/", body)]
     frame = spark.createDataFrame(cases, "page_id bigint, url string, html string").withColumn("digest", F.lit("d")).withColumn("n", F.lit(1)).repartition(3)

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkrank.llm.scratch import Scratch
+from walkrank.llm.scratch import Scratch, small
 
 #: Captures in a block of the index; bytes of archive that are read at a time; payloads below SMALL never revisit.
 BLOCK, READ_BYTES, SMALL = 1000, 8 << 20, 100
+#: Pages of one payload from which they aren't dealt out by it.
+HOT = 10_000
 _DATE = "1970-01-01T00:00:00Z"
 _DIRECTORY = "shard int, first_key string, first_id bigint, index_file string, at bigint, size bigint, captures bigint"
 
@@ -29,15 +31,19 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, r"(?s)^[^/?#]*", ""))
 
 
-def roles(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to) of the rows that revisit: those whose payload, of SMALL bytes at least, a smaller page_id has too.
+def roles(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, page_id, digest, refers_to) of the rows that revisit: those whose payload, of SMALL bytes at least, a smaller page_id has too.
 
-    Only ids and digests move; the least ids are partial sums, so one payload
-    that many pages share is no hot spot.
+    Only keys, ids and digests move. The least ids are partial sums; rows of
+    a payload that more than HOT pages share aren't dealt out by it, unless
+    there are very many such payloads.
     """
-    large = pages.where(F.col("n") >= SMALL).select("page_id", "digest")
-    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
-    return large.join(first, "digest").where("page_id > refers_to").distinct()
+    large = pages.where(F.col("n") >= SMALL).select("key", "page_id", "digest")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count("*").alias("c")).where("refers_to < last").drop("last")
+    first, seen = scratch.measured(first, "first", hot=F.count_if(F.col("c") > HOT))
+    hot, rest = small(first.where(F.col("c") > HOT), seen["hot"]), first.where(F.col("c") <= HOT)
+    others = large.join(hot.select("digest"), "digest", "left_anti")
+    return large.join(hot, "digest").unionByName(others.join(rest, "digest")).where("page_id > refers_to").select("key", "page_id", "digest", "refers_to").distinct()
 
 
 def _record(row: dict, date: str) -> bytes:
@@ -84,6 +90,7 @@ def _writer(folder: str, date: str):
         at = 0
         held: list[str] = []
         first = ("", None)
+        mark, refers_to = None, None
         done: list[tuple] = []
 
         def close_block() -> None:
@@ -95,6 +102,11 @@ def _writer(folder: str, date: str):
         try:
             for batch in batches:
                 for row in batch.to_pylist():
+                    own = (row["key"], row["page_id"], row["digest"])
+                    if row["mark"]:  # says what the rows after it with its key, id and digest refer to
+                        mark, refers_to = own, row["refers_to"]
+                        continue
+                    row["refers_to"] = refers_to if own == mark else None
                     if archive is None:
                         archive, index = (filesystem.open_output_stream(f"{base}/{name}.{kind}", compression=None) for kind in ("warc.gz", "idx"))
                     packed = gzip.compress(_record(row, date), 6, mtime=0)
@@ -220,7 +232,9 @@ def write_archive(frame: DataFrame, scratch: Scratch | None = None, url: str = "
     """Writes a record for every row, by ranges of URL keys: an archive and its index blocks for each task.
 
     Equal keys are dealt out by page_id, so one URL that many rows have is no
-    hot spot. A null payload counts as empty, a null URL has the key ``)``; a
+    hot spot. Payloads are shuffled once: the rows that say which records are
+    revisits, without payloads, go through the same ranges and come to stand
+    before those they speak of. A null payload counts as empty, a null URL has the key ``)``; a
     null page_id is kept, and never referred to. Rows that are equal each have
     a record, of one type. Files go to the shared folder, and the directory
     names those of attempts that ended well.
@@ -231,10 +245,12 @@ def write_archive(frame: DataFrame, scratch: Scratch | None = None, url: str = "
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     pages = frame.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
     pages = pages.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
-    revisits = scratch.save(roles(pages.select("page_id", "digest", "n")), "roles")
-    rows = pages.join(revisits, ["page_id", "digest"], "left").withColumn("key", url_key(F.col("url")))
+    pages = pages.withColumn("key", url_key(F.col("url")))
+    revisits = scratch.save(roles(pages.select("key", "page_id", "digest", "n"), scratch), "roles")
+    nothing = {"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")}
+    rows = pages.drop("n").withColumns({"refers_to": F.lit(None).cast("bigint"), "mark": F.lit(False)}).unionByName(revisits.withColumns({**nothing, "mark": F.lit(True)}))
     order = ["key", "page_id", "digest"]
-    dealt = rows.select("key", "page_id", "url", "digest", "refers_to", "payload").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, F.desc("mark"))
     folder = f"{scratch.path}/archive"
     filesystem, base = _open(folder)
     filesystem.create_dir(base, recursive=True)
