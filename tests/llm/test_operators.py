@@ -281,10 +281,12 @@ def test_token_files_are_read_selectively(spark, docs):
     assert "EqualTo(doc_id,8)" in plan and "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_decontamination(spark, docs):
+def test_decontamination(spark, docs, monkeypatch):
     items = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[10:30]).upper()), (3, None), (4, ""), (5, "One  two"), (None, BASE), (7, "absent words here"), (2, "one"), (11, prose(9, 40, 50)), (1, PASSAGE)]
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
-    for size in (1 << 20, 200):  # one block of items, and several
+    for size, vocabulary, sent in ((1 << 20, 1, 1), (200, 1 << 20, 1 << 20), (200, 20, 0)):  # one block of items, and several, whose words and hits are few or many
+        monkeypatch.setattr(decontaminate, "VOCABULARY", vocabulary)
+        monkeypatch.setattr(decontaminate, "SENT_BYTES", sent)
         got = decontaminate.digests(decontaminate.find_contamination(docs, bench, keep=["doc_id"], index_bytes=size)).collect()
         assert len(got) == len(TEXTS)
         for row in got:
@@ -305,6 +307,13 @@ def test_decontamination(spark, docs):
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0].n_hit > 0
     whole = decontaminate.find_contamination(docs, bench)
     assert {"d", "x", "text"} <= set(whole.columns) and whole.count() == len(TEXTS)
+    # spans are one whole, however many blocks items come in; no text moves for them
+    one, many = ({(r.text, r.n_words, str(r.spans), str(r.items)) for r in decontaminate.find_contamination(docs.withColumn("text_key", F.lit(1)), bench, index_bytes=size).collect()} for size in (1 << 20, 200))
+    assert one == many and len(one) == len(set(TEXTS))
+    several = decontaminate.find_contamination(docs, bench, index_bytes=200, keep=["doc_id"])
+    assert "text" not in several.columns and decontaminate.find_contamination(empty(docs), bench, index_bytes=200).count() == 0
+    blank = spark.createDataFrame([(1, "- " * 200), (2, "+ " * 200)], "item_id bigint, text string")
+    assert decontaminate.find_contamination(docs, blank, index_bytes=200).where("size(items) > 0 OR size(spans) > 0").count() == 0
     assert decontaminate.find_contamination(empty(docs), bench).count() == 0
     assert decontaminate.find_contamination(docs, empty(bench)).where("size(items) > 0").count() == 0
 

@@ -6,17 +6,21 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from walkrank.llm.scratch import Scratch
+from walkrank.llm.scratch import Scratch, small
 from walkrank.llm.words import ALNUM, hashes, pieces, ragged, split
 
 #: Most bytes of item texts that are indexed, and sent to tasks, at a time (some 200 MB of arrays where each word begins a window); more items are searched in several blocks.
 INDEX_BYTES = 2 << 20
 #: Candidates that are verified at a time.
 STEP = 200_000
+#: Words (8 bytes each) that are sent to tasks to be counted at a time, and bytes of hits that may be.
+VOCABULARY, SENT_BYTES = 1 << 20, 32 << 20
+_FOUND = "n_words bigint, spans array<struct<lo:int,hi:int>>, items array<bigint>"
 
 
 class Index:
@@ -70,9 +74,9 @@ def lookup(h: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return maybe[hit], key[hit]
 
 
-def document_frequency(frame: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """In how many texts of the column ``text`` each word hash of a bounded vocabulary is, counted over all rows."""
-    sent = frame.sparkSession.sparkContext.broadcast(vocabulary)
+def _counts(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(word, n): in how many texts each hash of a sorted vocabulary of bounded size is, over all rows; without those that no text has."""
+    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         total = np.zeros(len(sent.value), np.int64)
@@ -82,15 +86,35 @@ def document_frequency(frame: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
             row = np.searchsorted(words.first, at, "right") - 1
             total += np.bincount(np.unique(row * len(sent.value) + key) % len(sent.value), minlength=len(sent.value))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(sent.value[some].view(np.int64)), pa.array(total[some], pa.int64())], names=["word", "n"])
 
-    counts = frame.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _aligned(counts: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Counts, of no more words than the vocabulary has, in its order."""
     out = np.zeros(len(vocabulary), np.int64)
-    for r in counts.toLocalIterator():  # as many rows as the vocabulary has
-        out[r.word] = r.n
+    table = counts.toArrow()
+    out[np.searchsorted(vocabulary, table["word"].to_numpy().view(np.uint64))] = table["n"].to_numpy()
     return out
 
 
+def _vocabulary(batches):
+    for batch in pieces(batches, "text"):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(split(batch.column("text"), ALNUM, lower=True))).view(np.int64))], names=["word"])
+
+
+def word_frequency(texts: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(word, n): in how many texts each word of items is, as a table. One pass over the texts for each VOCABULARY words that items have."""
+    words, seen = scratch.measured(items.select("text").mapInArrow(_vocabulary, "word bigint").distinct(), "vocabulary", n=F.count("*"))
+    parts = max(1, -(-seen["n"] // VOCABULARY))
+    tables = []
+    for p in range(parts):
+        some = words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == p).toArrow()["word"].to_numpy()
+        tables.append(scratch.save(_counts(texts, np.sort(some.view(np.uint64))), f"frequency-{p}"))
+    return scratch.spark.read.schema("word bigint, n bigint").parquet(*(f"{scratch.path}/frequency-{p}" for p in range(parts)))
+
+
 def _hits(index: Index, words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, window) of each occurrence."""
     found_at, found_window = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -123,7 +147,8 @@ def _hits(index: Index, words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both // max(1, len(index.size)), both % max(1, len(index.size))
 
 
-def _scan(frame: DataFrame, index: Index, schema: T.StructType, text: str) -> DataFrame:
+def _scan(frame: DataFrame, index: Index, schema: T.StructType, text: str, hits_only: bool = False) -> DataFrame:
+    """The frame's rows with n_words, spans and items; or those with hits."""
     sent = frame.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -138,13 +163,6 @@ def _scan(frame: DataFrame, index: Index, schema: T.StructType, text: str) -> Da
             items: dict[int, set[int]] = defaultdict(set)
             for r, w in set(zip((np.searchsorted(words.first, at, "right") - 1).tolist(), window.tolist(), strict=True)):
                 items[r].update(index.owner[index.owner_at[w] : index.owner_at[w + 1]].tolist())
-            # what blocks before have found
-            if len(batch.column("items").flatten()):
-                for r, (spans, owners) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
-                    for s in spans:
-                        edges[words.first[r] + s["lo"]] += 1
-                        edges[words.first[r] + s["hi"]] -= 1
-                    items[r].update(owners)
             covered = np.cumsum(edges[:-1]) > 0
             row = words.row()
             begin = covered & np.concatenate([[True], ~covered[:-1] | (row[1:] != row[:-1])])[: len(covered)]
@@ -158,11 +176,67 @@ def _scan(frame: DataFrame, index: Index, schema: T.StructType, text: str) -> Da
             n = pa.array(np.diff(words.first), pa.int64())
             columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), "n_words": n, "spans": spans, "items": owned}
             names = [f.name for f in schema.fields]
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+            out = pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+            yield out.take(pa.array(np.flatnonzero(sizes))) if hits_only else out
 
     return frame.mapInArrow(run, schema)
 
 
+def _index(items: DataFrame, window: int, share: float) -> Index:
+    return Index([(r.item_id, r.text) for r in items.distinct().toLocalIterator()], window, share)
+
+
+def _union(batches):
+    """Spans of several blocks, as their union: in order, apart from each other."""
+    for batch in batches:
+        lists = batch.column("spans")
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        lo, hi = (flat.field(k).to_numpy().astype(np.int64) + (row << 32) for k in ("lo", "hi"))
+        order = np.argsort(lo, kind="stable")
+        lo, reach, row = lo[order], np.maximum.accumulate(hi[order]), row[order]
+        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(lo)), bool), lo[1:] > reach[:-1]]))
+        end = np.concatenate([begin[1:], [len(lo)] if len(lo) else []]).astype(np.int64) - 1
+        structs = pa.StructArray.from_arrays([pa.array((x & 0xFFFFFFFF).astype(np.int32)) for x in (lo[begin], reach[end])], names=["lo", "hi"])
+        at = np.concatenate([[0], np.cumsum(np.bincount(row[begin], minlength=len(lists)))]).astype(np.int32)
+        columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), "spans": pa.ListArray.from_arrays(pa.array(at), structs)}
+        yield pa.RecordBatch.from_arrays([columns[c] for c in ("text_key", "spans", "items")], names=["text_key", "spans", "items"])
+
+
+def _counted(text: str, keep: list[str], key: str):
+    """Rows without their texts, unless kept, with their number of words. Rows without words have no hits, and get keys that don't gather them."""
+
+    def run(batches):
+        at = 0
+        for batch in pieces(batches, text):
+            n = np.diff(split(batch.column(text), ALNUM, lower=True).first)
+            own = pa.array([f"-{i}" for i in range(at, at + len(n))], pa.string())
+            at += len(n)
+            keys = pc.if_else(pa.array(n > 0), batch.column(key), own)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), keys], names=[*keep, "n_words", key])
+
+    return run
+
+
+def _hits_of_blocks(texts: DataFrame, known: DataFrame, blocks: int, window: int, share: float, scratch: Scratch) -> DataFrame:
+    """(text_key, spans, items) of each different text with hits, from a pass over the texts for each block of items that writes hits alone."""
+    frequency = word_frequency(texts, known, scratch)
+    spark = scratch.spark
+    found = T.DataType.fromDDL(f"text string, {_FOUND}")
+    for b in range(blocks):
+        index = _index(known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), window, share)
+        own = spark.createDataFrame(pa.table({"word": index.vocabulary.view(np.int64)}), "word bigint")
+        index.prefixes(_aligned(frequency.join(F.broadcast(own), "word", "left_semi"), index.vocabulary))
+        hits = _scan(texts, index, found, "text", hits_only=True).select(F.sha2("text", 256).alias("text_key"), "spans", "items")
+        # equal texts have equal hits
+        scratch.save(hits.groupBy("text_key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), f"hits-{b}")
+    each = spark.read.schema("text_key string, spans array<struct<lo:int,hi:int>>, items array<bigint>").parquet(*(f"{scratch.path}/hits-{b}" for b in range(blocks)))
+    whole = each.groupBy("text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    size = F.sum(8 * (F.size("spans") + F.size("items")) + 64)
+    table, seen = scratch.measured(whole.mapInArrow(_union, each.schema), "hits", n=F.count("*"), bytes=size)
+    return small(table, seen["n"]) if (seen["bytes"] or 0) <= SENT_BYTES else table
+
+
 def find_contamination(frame: DataFrame, items: DataFrame, window: int = 13, share: float = 1.0, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows with n_words, spans (words [lo, hi) in occurrences of item windows) and items (ids of items with occurring windows).
 
@@ -174,9 +248,11 @@ def find_contamination(frame: DataFrame, items: DataFrame, window: int = 13, sha
     place in the window and the window's length set.
 
     Items are sent to tasks in blocks of at most ``index_bytes`` of text (or
-    one item); each block is one narrow pass over the documents. With more
-    blocks each pass is a job of its own, whose rows are written and read
-    again, so that one index is in memory at a time. Null texts, and texts without
+    one item). One block is a narrow pass over the documents, after one that
+    counts words. With more, words are counted once for all blocks, each block
+    is a pass that writes nothing but hits, and a last one joins these to the
+    rows by the SHA-256 of their texts; texts never move for it, unless they
+    are kept and there are too many hits to be sent to tasks. Null texts, and texts without
     words, have no words and no hits; items with a null id or without words
     are left out; equal item ids are one item. Columns named n_words, spans or
     items are replaced; ``keep`` names those to return besides (all).
@@ -187,20 +263,20 @@ def find_contamination(frame: DataFrame, items: DataFrame, window: int = 13, sha
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // index_bytes))
     scratch = Scratch(frame.sparkSession, "decontaminate")
-    inner = frame.withColumn("n_words", F.lit(0).cast("bigint")).withColumn("spans", F.array().cast("array<struct<lo:int,hi:int>>")).withColumn("items", F.array().cast("array<bigint>"))
     texts = frame.select(F.col(f"`{text}`").alias("text"))
-    types = {f.name: f for f in inner.schema.fields}
-    for b in range(blocks):
-        block = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = Index([(r.item_id, r.text) for r in block.distinct().toLocalIterator()], window, share)
-        index.prefixes(document_frequency(texts, index.vocabulary) if len(index.vocabulary) else np.zeros(0, np.int64))
-        last = b == blocks - 1
-        names = [*(keep if last else frame.columns), "n_words", "spans", "items"]
-        inner = _scan(inner, index, T.StructType([types[c] for c in names]), text)
-        if not last:
-            inner = scratch.save(inner, f"block-{b}")
-            scratch.drop(f"block-{b - 1}")
-    return inner
+    kept = [frame.schema[c] for c in keep]
+    if blocks == 1:
+        index = _index(known, window, share)
+        index.prefixes(_aligned(_counts(texts, index.vocabulary), index.vocabulary) if len(index.vocabulary) else np.zeros(0, np.int64))
+        return _scan(frame, index, T.StructType([*kept, *T.DataType.fromDDL(_FOUND).fields]), text)
+    key = "text_key"
+    while key in frame.columns:
+        key += "_"
+    read = frame.select(*(f"`{c}`" for c in dict.fromkeys([*keep, text])), F.sha2(F.col(f"`{text}`"), 256).alias(key))
+    rows = read.mapInArrow(_counted(text, keep, key), T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField(key, T.StringType())]))
+    hits = _hits_of_blocks(texts, known, blocks, window, share, scratch).withColumnRenamed("text_key", key)
+    none = {c: F.coalesce(c, F.array().cast(t)) for c, t in (("spans", "array<struct<lo:int,hi:int>>"), ("items", "array<bigint>"))}
+    return rows.join(hits, key, "left").withColumns(none).select(*(f"`{c}`" for c in keep), "n_words", "spans", "items")
 
 
 def digests(found: DataFrame) -> DataFrame:
