@@ -448,6 +448,31 @@ def test_bands_of_all_partners_meet():
                 assert bands.of(small) in bands.joined(n) and bands.of(small) in bands.joined(small), (percent, small, n)
 
 
+def test_frequent_keys_send_a_row_a_task(monkeypatch):
+    """Forty batches that share a passage: nearly all its keys go to their task once or twice, and each document still stands with one that has the key."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(neardup, "SLOTS", 1 << 13)
+    shared = prose(5, 400, 5000)
+    batches = [pa.RecordBatch.from_arrays([pa.array([2 * b, 2 * b + 1]), pa.array([shared + " " + prose(500 + b, 3), shared + " " + prose(900 + b, 60, 5000)])], names=["doc_id", "text"]) for b in range(40)]
+    rows = [r for b in neardup._keys(5, 80)(iter(batches)) for r in b.to_pylist()]
+    sets = neardup.shingle_sets(pa.concat_arrays([b.column("text") for b in batches]))
+    want = {(int(k), doc) for doc, s in enumerate(sets) for k in neardup.band_keys(s, neardup.Bands(80)).view(np.int64)}
+    assert {(r["k"], r["doc"]) for r in rows} == want and {(r["k"], r["pivot"]) for r in rows} <= want
+    own = {(r["k"], r["doc"]) for r in rows if r["doc"] == r["pivot"]}
+    assert {(r["k"], r["pivot"]) for r in rows} <= own
+    shares = Counter(k for k, _ in want)
+    heads = Counter(k for k, _ in own)
+    frequent = [k for k, n in shares.items() if n >= 40]
+    # two that meet in one slot of this task leave one of them with a head a batch
+    assert len(frequent) > 20 and np.mean([heads[k] for k in frequent]) < 3 and np.mean([heads[k] > 2 for k in frequent]) < 0.05
+
+
+def test_near_duplicates_with_one_slot(spark, docs, monkeypatch):
+    monkeypatch.setattr(neardup, "SLOTS", 1)
+    assert {tuple(r) for r in neardup.link_classes(docs).collect()} == classes(dict(enumerate(TEXTS)))
+
+
 @pytest.mark.parametrize("percent", [60, 30])
 def test_near_duplicates_of_lower_percents(spark, percent):
     """Pairs just at the bound of 60 and 30 %, also with sketches of sizes four times apart."""

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ SKETCH_BITS = 1024
 BAND_BITS = 6
 #: Most rows of a key that are joined by it in one task; larger ones are dealt out as they come.
 HOT = 1_000
+#: Keys of which a task remembers who stands for them (16 bytes each), and how long one lasts that doesn't come again.
+SLOTS, LASTS = 1 << 18, 8
 #: 64-bit words of the rows of a bucket that meet in one cell, on either side, and what a row takes besides its arrays.
 QUERY_WORDS, TARGET_WORDS, ROW_WORDS = 1 << 17, 1 << 18, 64
 
@@ -135,19 +138,48 @@ def _fingerprints(words: int, percent: int):
     return run
 
 
+class Heads:
+    """Who stands for a key, across the batches of a task: for as many keys as there are slots, preferring those that come again.
+
+    It decides how many rows a frequent key sends to its task, one for each
+    task instead of one for each batch, and never which documents share it.
+    Slots differ between tasks, so that no two keys always meet in one.
+    """
+
+    def __init__(self, salt: int):
+        self.salt = np.uint64(salt)
+        self.key, self.doc, self.left = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.full(SLOTS, -1, np.int8)
+
+    def of(self, k: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Of different keys, each with a document: the one that stands for the key, or its own, which may from now on."""
+        at = (mix(k + (self.salt << np.uint64(32))) % np.uint64(SLOTS)).astype(np.int64)
+        known = (self.left[at] >= 0) & (self.key[at] == k)
+        out = np.where(known, self.doc[at], doc)
+        self.left[at[known]] = np.minimum(self.left[at[known]] + 2, LASTS)
+        at, k, doc = at[~known], k[~known], doc[~known]
+        self.left[at] = np.maximum(self.left[at] - 1, -1)  # once, however many keys ask for the slot
+        free = self.left[at] < 0
+        at, k, doc = at[free], k[free], doc[free]
+        self.key[at], self.doc[at] = k, doc  # of several, the last
+        self.left[at] = 0
+        return out
+
+
 def _keys(words: int, percent: int):
     def run(batches):
         bands = Bands(percent)
+        task = TaskContext.get()
+        heads = Heads(task.partitionId() if task else 0)
         for batch in pieces(batches, "text"):
             keys = [band_keys(s, bands) for s in shingle_sets(batch.column("text"), words)]
             docs = np.repeat(batch.column("doc_id").to_numpy(), [len(k) for k in keys])
             k = np.concatenate(keys)
             if len(k):
-                # documents of this batch with a key in common: one of them stands for it elsewhere
+                # documents with a key in common, in this batch or in those before: one of them stands for it elsewhere
                 order = np.lexsort((docs, k))
                 k, docs = k[order], docs[order]
                 first = np.concatenate([[True], k[1:] != k[:-1]])
-                pivot = docs[np.flatnonzero(first)][np.cumsum(first) - 1]
+                pivot = heads.of(k[first], docs[first])[np.cumsum(first) - 1]
                 new = first | (docs != np.concatenate([[0], docs[:-1]]))
                 yield _batch(k=k[new].view(np.int64), doc=docs[new], pivot=pivot[new])
 
