@@ -499,8 +499,9 @@ def kept_words(texts, window=35):
 def test_substrings(spark, docs, monkeypatch):
     want = kept_words(TEXTS)
     # 3: some prefixes grow; 1: every shared prefix grows to a whole window; none sent: rows get theirs by joins
-    for group, sent in ((20_000, 100), (3, 100), (1, 1000), (1, 0)):
+    for group, size, sent in ((20_000, 1 << 30, 100), (3, 1 << 30, 100), (20_000, 600, 100), (1, 1 << 30, 1000), (1, 1 << 30, 0)):
         monkeypatch.setattr(substrings, "GROUP", group)
+        monkeypatch.setattr(substrings, "GROUP_BYTES", size)
         monkeypatch.setattr(substrings, "SENT", sent)
         got = substrings.remove_repeats(docs).collect()
         assert len(got) == len(TEXTS)
@@ -527,6 +528,37 @@ def test_maximal_repeats_cover_repeated_windows(texts, window):
     assert got == {(k, j) for k, r in enumerate(rows) for i in range(len(r) - window + 1) if count[tuple(r[i : i + window])] > 1 for j in range(i, i + window)}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abé ", max_size=60), max_size=8), st.integers(1, 4))
+def test_repeats_are_maximal(texts, window):
+    """Suffixes are in the order of their words, and each span reaches as far as its suffix is like any other."""
+    import pyarrow as pa
+
+    words = split(pa.array(texts, pa.string()))
+    suffixes = substrings.suffix_array(words, hashes(words), window)
+    rows = [[w.encode() for w in t.split(" ") if w] for t in texts]
+    every = [(r[i:], (k, i)) for k, r in enumerate(rows) for i in range(len(r) - window + 1)]
+    got = [rows[k][i:] for k, i in zip(suffixes.piece.tolist(), suffixes.offset.tolist(), strict=True)]
+    assert got == sorted(r for r, _ in every)
+
+    def common(a, b):
+        return next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    assert suffixes.common.tolist()[1:] == [common(a, b) for a, b in zip(got[:-1], got[1:], strict=True)]
+    want = set()
+    for r, (k, i) in every:
+        n = max((common(r, other) for other, at in every if at != (k, i)), default=0)
+        want |= {(k, i, i + n)} if n >= window else set()
+    merged = []
+    for k, lo, hi in sorted(want):
+        if merged and merged[-1][0] == k and lo <= merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], hi)
+        else:
+            merged.append([k, lo, hi])
+    found = substrings.maximal_repeats(suffixes, window)
+    assert [list(x) for x in zip(*(x.tolist() for x in found), strict=True)] == merged
+
+
 def thue_morse(bits):
     text = "a"
     for _ in range(bits):

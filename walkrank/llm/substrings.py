@@ -17,8 +17,8 @@ from walkrank.llm.words import NOT_SPACE, Words, hashes, pieces, ragged, split,
 
 #: Words of the prefixes by which suffixes are partitioned: the next longer one where a group is too large, at last the whole window.
 PREFIXES = (8, 20)
-#: Most anchors of a prefix that form one group.
-GROUP = 5_000
+#: Most anchors of a prefix that form one group, and most bytes of their suffixes.
+GROUP, GROUP_BYTES = 5_000, 4 << 20
 #: Most hashes of prefixes or windows that are sent to every task; beyond that, rows get their own by a join.
 SENT = 100_000
 
@@ -105,7 +105,8 @@ def _find_anchors(window: int, length: int, before: int | None, hot: np.ndarray
             found = anchors(words, h, window, length, _inside_hot(batch, words, h, window, before, hot) if before else None)
             d, x = (batch.column(c).to_numpy()[found.row] for c in ("d", "x"))
             more = windows(h, length, 7)[found.word] if length == window and len(found.word) else np.zeros(len(found.word), np.uint64)
-            yield _batch(g=found.prefix.view(np.int64), g2=more.view(np.int64), d=d, x=x, a=(found.word - words.first[found.row]).astype(np.int32))
+            size = words.ends[found.start + found.count + window - 2] - words.starts[found.start]
+            yield _batch(g=found.prefix.view(np.int64), g2=more.view(np.int64), d=d, x=x, a=(found.word - words.first[found.row]).astype(np.int32), size=size)
 
     return run
 
@@ -160,27 +161,47 @@ def _cut_suffixes(window: int, length: int):
 
 
 class SuffixArray(NamedTuple):
-    """Suffixes in an order that keeps those of a common prefix together, and how many words each shares with the one before it."""
+    """Suffixes in the order of their words, and how many words each shares with the one before it."""
 
     piece: np.ndarray
     offset: np.ndarray
     common: np.ndarray
 
 
+def _ranks(words: Words, h: np.ndarray) -> np.ndarray:
+    """The place of the suffix at each word among all, in the order of its words' bytes up to the end of its piece; equal suffixes have equal places.
+
+    Ranks of single words by their bytes are doubled: the rank of 2 k words is
+    that of the first k and of the next k, until no two are alike or no piece
+    is longer.
+    """
+    if not len(h):
+        return np.zeros(0, np.int64)
+    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    place = np.empty(len(one), np.int64)
+    place[sorted(range(len(one)), key=[words.text(i) for i in one.tolist()].__getitem__)] = np.arange(1, len(one) + 1)
+    rank = place[which]
+    size = np.diff(words.first)
+    here = np.arange(len(h))
+    left = np.repeat(words.first[1:], size) - here
+    step, last = 1, len(h) - 1
+    while step < size.max() and rank.max() < len(h):
+        after = np.where(left > step, rank[np.minimum(here + step, last)], 0)
+        rank = np.unique(rank * (len(h) + 1) + after, return_inverse=True)[1] + 1
+        step *= 2
+    return rank
+
+
 def suffix_array(words: Words, h: np.ndarray, window: int) -> SuffixArray:
-    """The suffixes of all pieces that have a window's words at least, and their common prefixes, which end where a piece ends.
+    """The suffixes of all pieces that have a window's words at least, in order, and their common prefixes, which end where a piece ends.
 
-    They are ordered by their first ``window`` words, then by those that
-    follow; common prefixes are found by halving steps over hashes of 1, 2, 4
-    ... words.
+    Common prefixes are found by halving steps over hashes of 1, 2, 4 ...
+    words.
     """
     per = np.maximum(np.diff(words.first) - window + 1, 0)
     at, piece = ragged(words.first[:-1], per), np.repeat(np.arange(len(per)), per)
     left = words.first[1:][piece] - at
-    half = (window + 1) // 2
-    deep, after = windows(h, window), windows(h, half)
-    follow = np.where(left >= window + half, after[np.minimum(at + window, len(after) - 1)] if len(after) else 0, np.uint64(0))
-    order = np.lexsort((follow, deep[at]))
+    order = np.argsort(_ranks(words, h)[at], kind="stable")
     at, piece, left = at[order], piece[order], left[order]
     a, b, most = at[:-1], at[1:], np.minimum(left[:-1], left[1:])
     shared = np.zeros(len(most), np.int64)
@@ -253,7 +274,8 @@ def repeated_spans(frame: DataFrame, window: int = 35, text: str = "text", doc_i
     ``copied`` marks texts that several rows have: their windows all repeat,
     and one row stands for them below. Each window's suffixes are dealt out by
     a prefix of 8 words at its anchor; prefixes that only one anchor has are
-    dropped. Where more than GROUP anchors have a prefix, their windows get
+    dropped. Where more than GROUP anchors, or suffixes of more than
+    GROUP_BYTES, have a prefix, their windows get
     anchors of 20 words, then of all words, so that groups fit a task; each
     group's suffix array gives its internal nodes. At the length of a window a group is
     one internal node, of any number of leaves: two are enough.
@@ -270,10 +292,12 @@ def repeated_spans(frame: DataFrame, window: int = 35, text: str = "text", doc_i
     for length in [n for n in PREFIXES if n < window] + [window]:
         # hot prefixes are few, as each has many anchors: tasks know them, and texts needn't move
         at_hand = rows if lists is None or hot is not None else rows.join(lists.where("size(hot) > 0").select("d", "x", "hot"), ["d", "x"])
-        found = at_hand.mapInArrow(_find_anchors(window, length, before, hot), "g bigint, g2 bigint, d bigint, x bigint, a int")
+        found = at_hand.mapInArrow(_find_anchors(window, length, before, hot), "g bigint, g2 bigint, d bigint, x bigint, a int, size bigint")
         # copies' anchors go before they are dealt out; the texts themselves needn't move for it
         found = scratch.save(found.join(copies.where("NOT stands"), ["d", "x"], "left_anti"), f"anchors-{length}")
-        counts, seen = scratch.measured(found.groupBy("g", "g2").agg(F.count("*").alias("c")).where("c > 1"), f"prefixes-{length}", n=F.count("*"), hot=F.count_if(F.col("c") > GROUP))
+        counts = found.groupBy("g", "g2").agg(F.count("*").alias("c"), F.sum("size").alias("size")).where("c > 1")
+        counts = counts.select("g", "g2", ((F.col("c") > GROUP) | (F.col("size") > GROUP_BYTES)).alias("large"))
+        counts, seen = scratch.measured(counts, f"prefixes-{length}", n=F.count("*"), hot=F.count_if("large"))
         if length == window:
             if seen["n"] <= SENT and hot is not None:
                 nodes = {r.g: r.g2 for r in counts.toLocalIterator()}
@@ -282,9 +306,9 @@ def repeated_spans(frame: DataFrame, window: int = 35, text: str = "text", doc_i
                 leaves = found.join(counts.select("g", "g2"), ["g", "g2"])
                 trees.append(leaves.select("d", "x", F.col("a").alias("lo"), (F.col("a") + window).alias("hi")))
             break
-        found, several = found.select("g", "d", "x", "a"), small(counts.where(F.col("c") > GROUP).select("g"), seen["hot"])
-        fit = found.join(several, "g", "left_anti").join(counts.where(F.col("c") <= GROUP).select("g"), "g").withColumn("is_hot", F.lit(False))
-        hot = np.sort(np.array([r.g for r in counts.where(F.col("c") > GROUP).toLocalIterator()], np.int64).view(np.uint64)) if seen["hot"] <= SENT else None
+        found, several = found.select("g", "d", "x", "a"), small(counts.where("large").select("g"), seen["hot"])
+        fit = found.join(several, "g", "left_anti").join(counts.where("NOT large").select("g"), "g").withColumn("is_hot", F.lit(False))
+        hot = np.sort(np.array([r.g for r in counts.where("large").toLocalIterator()], np.int64).view(np.uint64)) if seen["hot"] <= SENT else None
         if hot is None:
             fit = fit.unionByName(found.join(several, "g").withColumn("is_hot", F.lit(True)))
         lists = fit.groupBy("d", "x").agg(F.collect_list(F.when(~F.col("is_hot"), F.col("a"))).alias("cold"), F.collect_list(F.when(F.col("is_hot"), F.col("a"))).alias("hot"))
