@@ -168,28 +168,35 @@ class SuffixArray(NamedTuple):
     common: np.ndarray
 
 
-def _ranks(words: Words, h: np.ndarray) -> np.ndarray:
-    """The place of the suffix at each word among all, in the order of its words' bytes up to the end of its piece; equal suffixes have equal places.
+def _in_order(words: Words, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The order of the suffixes at ``at`` by their words' bytes up to the end of their piece; equal ones stay as they come.
 
-    Ranks of single words by their bytes are doubled: the rank of 2 k words is
-    that of the first k and of the next k, until no two are alike or no piece
-    is longer.
+    Ranks of single words by their bytes become ranks of two, three or four
+    times as many words, as often as ranks fit in an integer, until no piece
+    is longer; the last ones are formed for the wanted suffixes alone.
     """
-    if not len(h):
+    if not len(at):
         return np.zeros(0, np.int64)
     _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    place = np.empty(len(one), np.int64)
-    place[sorted(range(len(one)), key=[words.text(i) for i in one.tolist()].__getitem__)] = np.arange(1, len(one) + 1)
-    rank = place[which]
+    rank = np.empty(len(one), np.int64)
+    rank[sorted(range(len(one)), key=[words.text(i) for i in one.tolist()].__getitem__)] = np.arange(1, len(one) + 1)
+    rank = rank[which]
     size = np.diff(words.first)
-    here = np.arange(len(h))
-    left = np.repeat(words.first[1:], size) - here
-    step, last = 1, len(h) - 1
-    while step < size.max() and rank.max() < len(h):
-        after = np.where(left > step, rank[np.minimum(here + step, last)], 0)
-        rank = np.unique(rank * (len(h) + 1) + after, return_inverse=True)[1] + 1
-        step *= 2
-    return rank
+    end = np.repeat(words.first[1:], size)
+    width, longest, every = 1, int(size.max()), np.arange(len(h))
+    while True:
+        bits = int(rank.max()).bit_length()
+        several = 63 // bits
+        last = width * several >= longest
+        where = at if last else every
+        key = rank[where]
+        for j in range(1, several):
+            after = where + j * width
+            key = (key << bits) | np.where(after < end[where], rank[np.minimum(after, len(h) - 1)], 0)
+        if last:
+            return np.argsort(key, kind="stable")
+        rank = np.unique(key, return_inverse=True)[1] + 1
+        width *= several
 
 
 def suffix_array(words: Words, h: np.ndarray, window: int) -> SuffixArray:
@@ -201,7 +208,7 @@ def suffix_array(words: Words, h: np.ndarray, window: int) -> SuffixArray:
     per = np.maximum(np.diff(words.first) - window + 1, 0)
     at, piece = ragged(words.first[:-1], per), np.repeat(np.arange(len(per)), per)
     left = words.first[1:][piece] - at
-    order = np.argsort(_ranks(words, h)[at], kind="stable")
+    order = _in_order(words, h, at)
     at, piece, left = at[order], piece[order], left[order]
     a, b, most = at[:-1], at[1:], np.minimum(left[:-1], left[1:])
     shared = np.zeros(len(most), np.int64)
