@@ -62,6 +62,13 @@ def test_urls(spark):
     assert urls.url_filter(empty(frame), []).count() == 0
 
 
+def test_rules_are_those_of_the_contract(spark):
+    assert sorted(URL_RULES) == [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("example.net", "/de/8", "block"), ("net", "/de/", "allow"), ("org", "/es/", "block")]
+    frame = spark.createDataFrame([(1, "http://a.example.net/de/7"), (2, "http://a.example.net/de/8"), (3, "http://net/de/")], "page_id int, url string")
+    got = urls.url_filter(frame, [urls.UrlRule(*r) for r in URL_RULES], default="block").orderBy("page_id").select("rule", "verdict").collect()
+    assert [tuple(r) for r in got] == [("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow")]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.text("ab.*?", max_size=5), st.text("/ab*?é", max_size=6)), min_size=1, max_size=30), st.lists(st.tuples(st.text("ab.", max_size=6), st.text("/abé", max_size=8)), min_size=1, max_size=8))
 def test_shift_and_is_glob(rules, sites):
