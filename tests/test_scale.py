@@ -216,3 +216,23 @@ def test_owners_remove_their_own_folders_alone(spark, tmp_path):
     with Folders(spark):
         pass
     assert own.save(spark.range(2), "t").count() == 2
+
+
+def test_all_pairs_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(search, "PAIR_BLOCK", 3)
+    vectors = [[float(i % 5), 1.0, -float(i)] for i in range(17)] + [None, [1.0], [None, 1.0, 2.0], [0.0, 0.0, 0.0]]
+    nodes = spark.createDataFrame([(i, v, i * 10) for i, v in enumerate(vectors)], "node_id bigint, vec array<double>, degree int")
+    queries = nodes.where("node_id % 2 = 0").select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
+    got = {(r.query_id, r.node_id): (r.degree, r.cos) for r in search.all_pairs(queries, nodes, ["degree"]).collect()}
+    assert set(got) == {(q, n) for q in range(0, 21, 2) for n in range(21)}
+    for (q, n), (degree, cos) in got.items():
+        a, b = vectors[q], vectors[n]
+        whole = a and b and len(a) == len(b) and None not in a + b
+        assert degree == n * 10 and (cos is not None) == bool(whole)
+        assert not whole or abs(cos - sum(x * y for x, y in zip(a, b, strict=True)) / (math.hypot(*a) * math.hypot(*b) + 1e-8)) < 1e-12
+
+
+@pytest.mark.parametrize("name", ["h_semantic", "h_dataset_centrality", "dep_collab", "movement_scores"])
+def test_heuristics_are_asked_about_all_pairs(spark, name):
+    pairs = g.load_queries(spark, SF_DIR).count() * g.load_nodes(spark, SF_DIR).count()
+    assert catalogue.queries()[name](spark, SF_DIR).count() == pairs
