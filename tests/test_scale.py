@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import SF_DIR
 from walkrank.functions.rng import uniform_py
-from walkrank.operators import pivots, search, walk
+from walkrank.operators import blocks, pivots, prototype, search, walk
 from walkrank.params import Params
 from walkrank.plans import catalogue
 from walkrank.plans.registry import Registry, plain
@@ -236,3 +236,31 @@ def test_all_pairs_lose_none(spark, monkeypatch):
 def test_heuristics_are_asked_about_all_pairs(spark, name):
     pairs = g.load_queries(spark, SF_DIR).count() * g.load_nodes(spark, SF_DIR).count()
     assert catalogue.queries()[name](spark, SF_DIR).count() == pairs
+
+
+@pytest.mark.parametrize("size", [20, 60_000])
+def test_products_of_blocks_are_the_walks_of_rows(spark, monkeypatch, size):
+    rng = np.random.default_rng(size)
+    nodes = spark.createDataFrame([(i, rng.normal(size=4).tolist() if i % 19 else None, "t", (i % 5 + 1) / 5) for i in range(60)], "node_id bigint, vec array<double>, node_type string, relevance double")
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 60, (150, 2)) if a != b and a % 13}  # some have no way on
+    graph = g.Graph.of(nodes, spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"))
+    queries = nodes.where("node_id % 4 = 0").select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
+    params = Params(steps=3, initial_pool_size=9, start_subset=4)
+    monkeypatch.setattr(blocks, "NODES", size)
+    monkeypatch.setattr(blocks, "CELL_EDGES", 40 if size == 20 else 1 << 22)
+    monkeypatch.setattr(blocks, "EDGES", 20 if size == 20 else 1 << 20)
+    found = {}
+    for way in (True, False):
+        monkeypatch.setattr(blocks, "worth", lambda *_, way=way: way)
+        for visits in (walk.expected_visits(queries, graph, params), prototype.relevance_visits(queries, graph, params)):
+            found.setdefault(way, []).append({(r.query_id, r.node_id): r.votes for r in visits.collect()})
+        found[way].append({(r.query_id, r["rank"]): r.node_id for r in walk.rank_visits(walk.expected_visits(queries, graph, params), queries, graph, params, "visit_weighted").collect()})
+    for got, want in zip(found[True], found[False], strict=True):
+        assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_walks_over_most_of_a_graph_make_no_row_for_an_edge_and_query(spark):
+    queries, graph = g.load_queries(spark, SF_DIR), g.load_graph(spark, SF_DIR)
+    assert blocks.worth(graph, 10, 4) and not blocks.worth(graph, 1, 0)
+    plan = walk.expected_visits(queries, graph, Params())._jdf.queryExecution().toString()
+    assert "Join" not in plan and "MapInArrow" in plan

@@ -6,19 +6,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from walkrank import scratch
-from walkrank.scratch import Folders, shared_root
+from walkrank.scratch import Folders, bounded, shared_root
 
 __all__ = ["Folders", "Scratch", "bounded", "shared_root", "small"]
 
-#: Most bytes of an Arrow batch that a task sends to its Python worker, and of a row group that it holds before writing.
-BATCH_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded(spark: SparkSession) -> None:
-    """Arrow batches of at most 4 MB in this session, unless it names a size itself: several long texts don't meet in one."""
-    if _BATCH not in spark.conf.getAll:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+#: Most bytes of a row group that a task holds before writing.
+GROUP_BYTES = 16 << 20
 
 
 def small(keys: DataFrame, n: int, most: int = 100_000) -> DataFrame:
