@@ -17,6 +17,7 @@ from walkrank.plans.registry import Registry, plain
 from walkrank.plans.retriever import Retriever, checked, rejects
 from walkrank.scratch import Folders, Scratch
 from walkrank.sources import graph as g
+from walkrank.sources import synthetic
 from walkrank.store import Store, read_buckets, write_buckets
 
 
@@ -264,3 +265,16 @@ def test_walks_over_most_of_a_graph_make_no_row_for_an_edge_and_query(spark):
     assert blocks.worth(graph, 10, 4) and not blocks.worth(graph, 1, 0)
     plan = walk.expected_visits(queries, graph, Params())._jdf.queryExecution().toString()
     assert "Join" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("rows", [3, 250_000])
+def test_places_of_documents_in_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(synthetic, "TASK_ROWS", rows)
+    docs = spark.createDataFrame([(7 * i % 101 * (1 + i % 3), f"t{i % 4}") for i in range(1, 40)], "doc bigint, topic string").dropDuplicates(["doc"])
+    by_topic = {}
+    for r in docs.orderBy("doc").collect():
+        by_topic.setdefault(r.topic, []).append(r.doc)
+    assert {(r.topic, r.place): r.doc for r in synthetic.places(docs, 39).collect()} == {(t, i): x for t, own in by_topic.items() for i, x in enumerate(own)}
+    assert synthetic.places(docs.where("false"), 0).count() == 0
+    plan = synthetic.typed_edges(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
