@@ -278,3 +278,16 @@ def test_places_of_documents_in_ranges(spark, monkeypatch, rows):
     assert synthetic.places(docs.where("false"), 0).count() == 0
     plan = synthetic.typed_edges(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_ablations_walk_for_their_own_queries_alone(spark, monkeypatch):
+    asked = []
+    for name in ("async_votes", "relevance_visits", "flow_visits"):
+        def seen(queries, *more, own=getattr(prototype, name)):
+            asked.append(queries.count())
+            return own(queries, *more)
+
+        monkeypatch.setattr(prototype, name, seen)
+    monkeypatch.setattr(catalogue, "ABLATION_QUERIES", 2)  # so that no stored run answers
+    assert catalogue.queries()["ablation_summary"](spark, SF_DIR).count() == 4
+    assert asked == [2, 2, 2, 2]
