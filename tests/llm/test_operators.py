@@ -99,6 +99,22 @@ def test_topk(spark):
     assert topk.top_k(frame.where("vec_id < 2"), F.col("vec_id") % 20 == 0, k=20).count() == 1
 
 
+@pytest.mark.parametrize("most, kind", [(7, np.int16), (90, np.int16), (3000, np.int32), (2**20, np.int64)])
+def test_topk_accumulates_in_the_shortest_integers(most, kind):
+    rng = np.random.default_rng(most)
+    candidates = rng.integers(-most, most + 1, (500, 4)) * (rng.random((500, 4)) < [1.0, 0.9, 0.2, 0.05])
+    queries = np.vstack([rng.integers(-most, most + 1, (20, 4)), candidates[:1]])
+    assert topk._kind(queries, candidates) is kind
+    postings = topk._postings(candidates, kind)
+    assert [isinstance(rows, slice) for rows, _ in postings] == [True, True, True, False]
+    ids = np.arange(500) + 100
+    for i, got in enumerate(topk._accumulate(queries, candidates, 9, np.arange(21), ids)):
+        scores = candidates @ queries[i]
+        best = np.lexsort((ids, -scores))[:9]
+        assert got.vec_id.tolist() == ids[best].tolist() and got.score.tolist() == scores[best].tolist()
+
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="with-sidebar"><header><h1>Site</h1></header><nav><a href=a>Home</a></nav>
 <div class="sidebar"><p>Side words, and more of them, for the score, that is long.</p></div><div id="main"><article><h1>Head &amp; line</h1><p>First <b>paragraph</b>, with&nbsp;text<br>and
 more, so that it counts.<p>Second one, &#x41;&lt;b&gt;, goes on, and on.<script>var p="<p>no</p>";</script><div class="ad">Buy</div><form><p>Your name, please, here, in this form</p></form>

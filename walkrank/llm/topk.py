@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +28,29 @@ def _matrix(values: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _accumulate(queries: np.ndarray, candidates: np.ndarray, k: int, q_ids: np.ndarray, c_ids: np.ndarray) -> Iterator[pd.DataFrame]:
-    """The k best of a block for each query: its weighted postings are scattered into a dense array of scores, term by term."""
-    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * max(1, candidates.shape[1])
-    kind = np.int32 if bound < 2**31 else np.int64
-    postings = []
+def _kind(queries: np.ndarray, candidates: np.ndarray) -> type:
+    """The shortest integers that hold every sum of some terms of a score: none is above the product of the two lengths."""
+    lengths = (math.sqrt((rows.astype(np.float64) ** 2).sum(axis=1).max(initial=0)) for rows in (queries, candidates))
+    bound = math.prod(lengths) * (1 + 1e-9)
+    longest = max(int(np.abs(rows).max(initial=0)) for rows in (queries, candidates))
+    return next((kind for kind in (np.int16, np.int32) if max(bound, longest) < np.iinfo(kind).max), np.int64)
+
+
+def _postings(candidates: np.ndarray, kind: type) -> list[tuple[np.ndarray | slice, np.ndarray]]:
+    """Of each term the rows that have it, and their weights."""
+    out = []
     for term in range(candidates.shape[1]):
         rows = np.flatnonzero(candidates[:, term])
-        # a term that all have needs no list of rows
-        postings.append((slice(None) if len(rows) == len(candidates) else rows, candidates[rows, term].astype(kind)))
+        # a term that many have needs no list of rows: adding zeros to the others costs less than scattering
+        rows = slice(None) if 8 * len(rows) >= len(candidates) else rows
+        out.append((rows, candidates[rows, term].astype(kind)))
+    return out
+
+
+def _accumulate(queries: np.ndarray, candidates: np.ndarray, k: int, q_ids: np.ndarray, c_ids: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The k best of a block for each query: its weighted postings are scattered into a dense array of scores, term by term."""
+    kind = _kind(queries, candidates)
+    postings = _postings(candidates, kind)
     rank = np.argsort(np.argsort(c_ids, kind="stable"), kind="stable")
     keep = min(len(candidates), k + 1)  # one more, as the query itself may be there
     scores, part = np.empty(len(candidates), kind), np.empty(len(candidates), kind)
