@@ -2,9 +2,11 @@
 
 import math
 import threading
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,21 @@ def clustered(spark, n, centres, seed=0):
     return spark.createDataFrame(rows, "node_id bigint, vec array<double>")
 
 
+def test_a_cell_holds_little_besides_its_vectors():
+    rng = np.random.default_rng(1)
+    asked, known = rng.normal(size=(search.QUERY_BLOCK, 8)), rng.normal(size=(search.NODE_BLOCK, 8))
+    q = pa.table({"query_id": np.arange(len(asked)), "qvec": list(asked)})
+    r = pa.table({"node_id": np.arange(len(known))[::-1], "vec": list(known)})
+    tracemalloc.start()
+    got = search.best_of(q, r, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6  # of whole scores it would be 134 MB
+    scores = search.unit(asked[:50]) @ search.unit(known).T
+    want = [(i, len(known) - 1 - j) for i, row in enumerate(scores) for j in np.argsort(-row)[:5]]
+    assert list(zip(got["query_id"].to_pylist(), got["node_id"].to_pylist()))[:250] == want
+
+
 @pytest.mark.parametrize("n", [1, 7, 40])
 def test_skipping_blocks_loses_nothing(spark, n):
     nodes = clustered(spark, 1200, 30)

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from walkrank.operators.search import NODE_BLOCK, QUERY_BLOCK, best_of, finite, merged, stacked, unit
+from walkrank.operators.search import NODE_BLOCK, QUERY_BLOCK, best_of, finite, merged, unit
 from walkrank.scratch import Scratch
 
 #: Pivots, and slices of the angles around each; a slice of more than NODE_BLOCK nodes is split further.
@@ -19,12 +20,16 @@ PIVOTS, SLICES = 64, 32
 _SLACK = 1e-7
 
 
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_list()).astype(np.float64)
+
+
 @dataclass(frozen=True)
 class Blocks:
     """table(block, pivot, low, high, n): the angles between a pivot and the block's nodes; pivots, one unit vector a row. A block of zero vectors has pivot -1.
 
     It goes to every task: its size follows from PIVOTS, SLICES and NODE_BLOCK,
-    some 50 bytes for each 16,384 nodes.
+    some 50 bytes for each 8,192 nodes.
     """
 
     table: pd.DataFrame
@@ -74,7 +79,7 @@ class PivotIndex:
     def _met(self, cells: DataFrame, n: int) -> DataFrame:
         """Queries against the nodes of their blocks, some thousands of queries at a time."""
 
-        def cell(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        def cell(asked: pa.Table, known: pa.Table) -> pa.Table:
             return best_of(asked, known, n)
 
         part = F.pmod(F.xxhash64("query_id"), F.col("parts"))
@@ -82,7 +87,7 @@ class PivotIndex:
         asked = cells.join(parts, "block").withColumn("part", part)
         used = asked.select(F.col("block").alias("to"), F.col("part").alias("piece")).distinct()
         known = self.rows.join(used, F.col("block") == F.col("to")).select("node_id", "vec", "to", "piece")
-        return asked.groupBy("block", "part").cogroup(known.groupBy("to", "piece")).applyInPandas(cell, "query_id bigint, node_id bigint, score double")
+        return asked.groupBy("block", "part").cogroup(known.groupBy("to", "piece")).applyInArrow(cell, "query_id bigint, node_id bigint, score double")
 
     def top_n(self, queries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         """(query_id, rank, node_id, score) as ``search.top_n`` has them, equal scores by id; and (query_id, met, blocks): in how many of all blocks nodes were multiplied."""
