@@ -277,6 +277,34 @@ def test_products_of_blocks_are_the_walks_of_rows(spark, monkeypatch, size):
         assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_walks_by_relevance_shuffle_no_vectors(spark, monkeypatch, small):
+    rng = np.random.default_rng(5)
+    nodes = spark.createDataFrame([(i, rng.normal(size=4).tolist(), "t", (i % 5 + 1) / 5) for i in range(60)], "node_id bigint, vec array<double>, node_type string, relevance double")
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 60, (200, 2)) if a != b and a % 13} | {(i, 7) for i in range(60) if i != 7 and i % 13}
+    graph = g.Graph.of(nodes, spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"))
+    queries = nodes.where("node_id % 4 = 0").select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
+    params = Params(steps=3, initial_pool_size=9, start_subset=4)
+    if small:  # many rows, a node with several, and a query a task
+        for name, value in {"NODES": 20, "ROW_EDGES": 16, "VECTORS": 16 * 60, "LONG": 5, "PIECE": 3}.items():
+            monkeypatch.setattr(blocks, name, value)
+    found = {}
+    for way in (True, False):
+        monkeypatch.setattr(blocks, "worth", lambda *_, way=way: way)
+        found[way] = prototype.relevance_visits(queries, graph, params)
+    assert "CartesianProduct" in found[True]._jdf.queryExecution().toString()
+    got, want = ({(r.query_id, r.node_id): r.votes for r in found[way].collect()} for way in (True, False))
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    monkeypatch.setattr(blocks, "worth", lambda *_: True)
+    few = prototype.relevance_visits(queries, graph, params, most=6)
+    assert few.count() < len(want)
+    ranks = [{(r.query_id, r["rank"]): r.node_id for r in prototype.rank_by_votes(rows, 6).collect()} for rows in (few, found[False])]
+    assert ranks[0] == ranks[1]
+    monkeypatch.setattr(blocks, "fits", lambda *_: False)  # of graphs too large for a task, hops are products of blocks
+    large = {(r.query_id, r.node_id): r.votes for r in prototype.relevance_visits(queries, graph, params).collect()}
+    assert large.keys() == want.keys() and all(abs(large[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_walks_over_most_of_a_graph_make_no_row_for_an_edge_and_query(spark):
     queries, graph = g.load_queries(spark, SF_DIR), g.load_graph(spark, SF_DIR)
     assert blocks.worth(graph, 10, 4) and not blocks.worth(graph, 1, 0)
