@@ -8,9 +8,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.oracle import SF_DIR
+from walkrank.functions import heuristics as h
 from walkrank.functions.rng import uniform_py
 from walkrank.operators import blocks, pivots, prototype, search, walk
 from walkrank.params import Params
@@ -305,6 +307,42 @@ def test_walks_by_relevance_shuffle_no_vectors(spark, monkeypatch, small):
     assert large.keys() == want.keys() and all(abs(large[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_walks_by_weights_of_queries_shuffle_no_vectors(spark, monkeypatch, small):
+    rng = np.random.default_rng(6)
+    vector = {0: None, 1: [1.0, 2.0], 2: [0.0] * 4}  # none, of another length, without direction
+    nodes = spark.createDataFrame([(i, vector[i % 19] if i % 19 < 3 else rng.normal(size=4).tolist(), "t", (i % 5 + 1) / 5 if i % 7 else None) for i in range(60)], "node_id bigint, vec array<double>, node_type string, relevance double")
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 60, (200, 2)) if a != b and a % 13} | {(i, 7) for i in range(60) if i != 7 and i % 13}
+    graph = g.Graph.of(nodes, spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"))
+    queries = nodes.where("node_id % 4 = 0 AND vec IS NOT NULL").select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
+    near = h.Batched(lambda columns: (columns["cos"].to_numpy(zero_copy_only=False) + 1) / 2, ("cos",))
+    params = Params(steps=3, initial_pool_size=9, start_subset=4, movement={near: 0.3, "centrality": 0.4, "relevance": 0.3})
+    if small:  # many rows, a node with several, and a query a task
+        for name, value in {"ROW_NODES": 20, "ROW_EDGES": 16, "VECTORS": blocks.PER_NODE * 60, "LONG": 5, "PIECE": 3}.items():
+            monkeypatch.setattr(blocks, name, value)
+    monkeypatch.setattr(blocks, "FEW", 0)
+    found, kept, save = {}, [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, frame, name, **options: (kept.append(name), save(self, frame, name, **options))[1])
+    for way in (True, False):
+        monkeypatch.setattr(blocks, "worth", lambda *_, way=way: way)
+        visits = walk.expected_visits(queries, graph, params)
+        found[way] = {(r.query_id, r.node_id): r.votes for r in visits.collect()}, {(r.query_id, r["rank"]): (r.node_id, round(r.score, 9)) for r in walk.rank_visits(visits, queries, graph, params, "visit_weighted").collect()}
+        assert not way or kept == ["0", "places", "rows", "starts"]
+    got, want = found[True][0], found[False][0]
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert found[True][1] == found[False][1]
+
+
+def test_first_of_batches_hold_the_first_ranks(spark):
+    rows = [(q, n, 1.0, [0.5, None, float("nan"), n / 9][n % 4]) for q in (1, 2, -(2**63)) for n in range(40)]
+    frame = spark.createDataFrame(rows, "query_id bigint, node_id bigint, votes double, score double").repartition(3)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 10)), "node_id")
+    first = lambda rows: {(r.query_id, r.node_id) for r in rows.withColumn("rank", F.row_number().over(order)).where("rank <= 12").collect()}
+    few = walk.first_of_batches(frame, 12)
+    assert few.count() < len(rows) and first(few) == first(frame)
+    assert walk.first_of_batches(frame.where("false"), 12).count() == 0
+
+
 def test_walks_over_most_of_a_graph_make_no_row_for_an_edge_and_query(spark):
     queries, graph = g.load_queries(spark, SF_DIR), g.load_graph(spark, SF_DIR)
     assert blocks.worth(graph, 10, 4) and not blocks.worth(graph, 1, 0)
