@@ -705,3 +705,19 @@ def test_index_of_several_blocks(spark, monkeypatch):
     for row in frame.where("page_id % 29 = 0").collect():
         assert row.html.encode() in [p for h, p in archive.lookup(row.url)]
     assert archive.read().count() == 200
+
+
+def test_pieces_of_latin_letters_need_no_pattern():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    coder, library = bpe.PrefixEncoder(path), Tokenizer.from_file(path)
+    library.no_padding()
+    library.no_truncation()
+    texts = [" ciónosieque", "enzutzen", " ªbº", "ŉa", " ­", "a­b", " x\x7f\x01", "été's", " don't", "a1", " 12²", "ɐb", "é", " ", "", "日本", " ǅz", "aaaaaaaaaaaaaaaa" * 9]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(coder.chunk(t), "<u4").tolist() for t in texts] == want
+    coder = bpe.PrefixEncoder(path)
+    coder.split = None
+    assert [np.frombuffer(coder.chunk(t), "<u4").tolist() for t in texts[:4]] == want[:4]
+    assert all(coder.whole(token) for token, *_ in coder.automaton.values())

@@ -47,14 +47,16 @@ class PrefixEncoder:
             self.pairs[a << 32 | b] = rank
             if self.rank[token] < 0:
                 self.rank[token], self.left[token], self.right[token] = rank, a, b
+        self.alone: dict[int, bool] = {}
         self.length = [0] * size
         self.automaton = ahocorasick.Automaton()
         for text, token in vocabulary.items():
             self.length[token] = len(text)
-            if len(text) == 1 or self.rank[token] >= 0:
-                self.automaton.add_word(text, token)
+            if (len(text) == 1 or self.rank[token] >= 0) and self.whole(token):  # no other is in any encoding
+                self.automaton.add_word(text, (token, len(text), {}))  # and what was tested before it
         self.automaton.make_automaton()
         self.alphabet = byte_alphabet()
+        self.blank = self.alphabet[0x20]
         back = {c: b for b, c in self.alphabet.items()}
         self.bytes_of = [b""] * size
         for text, token in vocabulary.items():
@@ -65,8 +67,7 @@ class PrefixEncoder:
             self.bytes_of[token] = text.encode()
         self.split = regex.compile(PATTERN).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda t: [t]
-        self.fits: dict[int, bool] = {}
-        self.alone: dict[int, bool] = {}
+        self.tested: list[dict[int, bool]] = []
         self.words, self.chunks = Kept(), Kept()
 
     def compatible(self, a: int, b: int) -> bool:
@@ -117,28 +118,33 @@ class PrefixEncoder:
         """The ids of one piece of the pattern, as unsigned 32-bit integers."""
         if (ids := self.words.get(piece)) is not None:
             return ids
-        alphabet, length, fits = self.alphabet, self.length, self.fits
-        mapped = "".join([alphabet[b] for b in piece.encode()])
-        token = self.automaton.get(mapped, -1)
-        if token >= 0 and self.whole(token):  # the last token of the longest prefix, with nothing before it
-            ids = array("I", [token]).tobytes()
+        if piece.isascii() and piece.isprintable():  # of these only a blank has another character
+            mapped = piece.replace(" ", self.blank)
+        else:
+            alphabet = self.alphabet
+            mapped = "".join([alphabet[b] for b in piece.encode()])
+        found = self.automaton.get(mapped, None)
+        if found is not None:  # the last token of the longest prefix, with nothing before it
+            ids = array("I", found[:1]).tobytes()
             self.words.put(piece, ids)
             return ids
+        length = self.length
         last = [-1] * (len(mapped) + 1) if len(mapped) <= LONGEST else array("i", [-1]) * (len(mapped) + 1)
-        for end, token in self.automaton.iter(mapped):
-            if last[end + 1] >= 0:
+        for end, (token, size, fits) in self.automaton.iter(mapped):
+            end += 1
+            if last[end] >= 0:
                 continue
-            start = end + 1 - length[token]
-            if start == 0:
-                if self.whole(token):
-                    last[end + 1] = token
-            elif (before := last[start]) >= 0:
-                key = before << 32 | token
-                ok = fits.get(key)
+            if end != size:
+                before = last[end - size]
+                if before < 0:
+                    continue
+                ok = fits.get(before)
                 if ok is None:
-                    ok = fits[key] = self.whole(token) and self.compatible(before, token)
-                if ok:
-                    last[end + 1] = token
+                    ok = fits[before] = self.compatible(before, token)
+                    self.tested.append(fits)
+                if not ok:
+                    continue
+            last[end] = token
         ids, at = array("I"), len(mapped)
         while at > 0:
             ids.append(last[at])
@@ -150,6 +156,9 @@ class PrefixEncoder:
 
     def chunk(self, text: str) -> bytes:
         """The ids of a text without added tokens."""
+        body = text[1:] if text[:1] == " " else text
+        if body.isalpha() and max(body) < "\u0250":  # Latin letters alone are one piece of the pattern
+            return self.word(text)
         return b"".join([self.word(piece) for piece in self.split(text)])
 
     def text(self, text: str) -> bytes:
@@ -205,13 +214,18 @@ def _encode_batch(coder: PrefixEncoder, column: pa.Array) -> tuple[np.ndarray, n
     runs_s = np.concatenate([starts, body_from[body_to > body_from], (starts - 1)[single], tail_from[at[1:] > tail_from]])
     runs_e = np.concatenate([words.ends, body_to[body_to > body_from], starts[single], at[1:][at[1:] > tail_from]])
     runs_r = np.concatenate([row, row[body_to > body_from], row[single], tail_rows[at[1:] > tail_from]])
-    regular = ~np.isin(runs_r, odd_rows)
-    runs_s, runs_e, runs_r = runs_s[regular], runs_e[regular], runs_r[regular]
+    if len(odd_rows):
+        regular = np.ones(n, bool)
+        regular[odd_rows] = False
+        regular = regular[runs_r]
+        runs_s, runs_e, runs_r = runs_s[regular], runs_e[regular], runs_r[regular]
     order = np.argsort(runs_s, kind="stable")
     runs_s, runs_e, runs_r = runs_s[order], runs_e[order], runs_r[order]
     chunks, of = distinct_runs(data, runs_s, runs_e)
-    if len(coder.fits) > TESTS:
-        coder.fits.clear()
+    if len(coder.tested) > TESTS:
+        for fits in coder.tested:
+            fits.clear()
+        coder.tested.clear()
     kept = coder.chunks
     ids = []
     for c in chunks:
