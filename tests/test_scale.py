@@ -22,7 +22,7 @@ from walkrank.plans.retriever import Retriever, checked, rejects
 from walkrank.scratch import Folders, Scratch
 from walkrank.sources import graph as g
 from walkrank.sources import synthetic
-from walkrank.store import Store, read_buckets, write_buckets
+from walkrank.store import FOLDER, Store, read_buckets, write_buckets
 
 
 def names(spark, folder):
@@ -374,3 +374,21 @@ def test_ablations_walk_for_their_own_queries_alone(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "ABLATION_QUERIES", 2)  # so that no stored run answers
     assert catalogue.queries()["ablation_summary"](spark, SF_DIR).count() == 4
     assert asked == [2, 2, 2, 2]
+
+
+def test_disk_holds_no_shuffle_files_of_what_is_done(spark, tmp_path, monkeypatch):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in map(found.apply, range(found.size())) if f.getName().startswith("shuffle_")}
+
+    monkeypatch.setattr(blocks, "FEW", 0)
+    begun, own, before = [], Scratch.__init__, files()
+    monkeypatch.setattr(Scratch, "__init__", lambda self, *args: (own(self, *args), begun.append(self.path))[0])
+    spark.conf.set(FOLDER, f"file://{tmp_path}")  # so that no kept graph answers
+    try:
+        queries, graph = g.load_queries(spark, SF_DIR), g.load_graph(spark, SF_DIR)
+        assert sum(n for name, n in files().items() if name not in before) < 1000  # of counts, which are one row
+        plan = walk.expected_visits(queries, graph, Params())._jdf.queryExecution().toString()
+        assert "CartesianProduct" in plan and names(spark, begun[-1]) == ["0", "rows", "starts"]
+    finally:
+        spark.conf.unset(FOLDER)
