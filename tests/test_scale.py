@@ -394,34 +394,37 @@ def test_disk_holds_no_shuffle_files_of_what_is_done(spark, tmp_path, monkeypatc
         spark.conf.unset(FOLDER)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_tasks_that_hold_the_edges_walk_as_rows_do(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "both"), [(True, False), (False, True)])
+def test_tasks_that_hold_the_edges_of_an_island_walk_as_rows_do(spark, monkeypatch, small, both):
     rng = np.random.default_rng(7)
     vector = {0: None, 1: [1.0, 2.0], 2: [0.0] * 4}  # none, of another length, without direction
-    nodes = spark.createDataFrame([(3 * i, vector[i % 19] if i % 19 < 3 else rng.normal(size=4).tolist(), "t", (i % 5 + 1) / 5 if i % 7 else None) for i in range(60)], "node_id bigint, vec array<double>, node_type string, relevance double")
-    one_way = {(3 * int(a), 3 * int(b)) for a, b in rng.integers(0, 60, (200, 2)) if a != b and a % 13} | {(3 * i, 21) for i in range(60) if i != 7 and i % 13}
+    nodes = spark.createDataFrame([(3 * i, vector[i % 19] if i % 19 < 3 else rng.normal(size=4).tolist(), "t", (i % 5 + 1) / 5) for i in range(80)], "node_id bigint, vec array<double>, node_type string, relevance double")
+    one_way = {(3 * int(a), 3 * int(b)) for a, b in rng.integers(0, 60, (200, 2)) if a != b and a % 13 and a // 30 == b // 30} | {(3 * i, 21) for i in range(30) if i != 7 and i % 13}  # two islands, and nodes without edges
     queries = nodes.where("node_id % 4 = 0 AND vec IS NOT NULL").select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
     params = Params(steps=3, initial_pool_size=9, start_subset=4, top_k=6, movement={"semantic": 0.3, "centrality": 0.4, "relevance": 0.2, "repulsion": 0.1})
     if small:  # many rows, a node with several, and few queries a task
-        for name, value in {"ROW_NODES": 20, "ROW_EDGES": 16, "SOURCES": 16, "VECTORS": 2 * blocks.PER_NODE * 60, "LONG": 5, "PIECE": 3}.items():
+        for name, value in {"ROW_NODES": 20, "ROW_EDGES": 16, "SOURCES": 16, "CELLS": 8, "ISLAND": 16, "LONG": 5, "PIECE": 3}.items():
             monkeypatch.setattr(blocks, name, value)
     monkeypatch.setattr(blocks, "FEW", 0)
-    monkeypatch.setattr(blocks, "streamed_weighted_visits", None)
-    kept, counts = [], blocks._counts
-    monkeypatch.setattr(blocks, "_counts", lambda frame: (kept.append(counts(frame)), kept[-1])[1])
-    for pairs in (one_way, one_way | {(b, a) for a, b in one_way}):
-        graph = g.Graph.of(nodes, spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"))
-        found = {}
-        for way in (True, False):
-            monkeypatch.setattr(blocks, "worth", lambda *_, way=way: way)
-            visits = walk.expected_visits(queries, graph, params)
-            found[way] = [{(r.query_id, r.node_id): r.votes for r in visits.collect()}]
-            for by in ("raw", "visit_weighted"):
-                few = walk.expected_visits(queries, graph, params, by)
-                assert not way or few.count() < len(found[way][0])
-                found[way].append({(r.query_id, r["rank"]): (r.node_id, round(r.score, 9)) for r in walk.rank_visits(few, queries, graph, params, by).collect()})
-        got, want = found[True][0], found[False][0]
+    for name in ("streamed_weighted_visits", "streamed_visits"):
+        monkeypatch.setattr(blocks, name, None)
+    kept, own = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, frame, name, **options: (kept.append((name, own(self, frame, name, **options))), kept[-1][1])[1])
+    pairs = one_way | ({(b, a) for a, b in one_way} if both else set())
+    graph = g.Graph.of(nodes, spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"))
+    found = {}
+    for way in (True, False):
+        monkeypatch.setattr(blocks, "worth", lambda *_, way=way: way)
+        visits = walk.expected_visits(queries, graph, params)
+        found[way] = [{(r.query_id, r.node_id): r.votes for r in visits.collect()}]
+        if way:  # edges against their direction are those along it where each has its reverse
+            rows = [frame for name, frame in kept if name == "rows"][-1].select("island", "kind").collect()
+            assert {r["kind"] for r in rows} == ({0, 1} if both else {0, 1, 2})
+            assert len({r["island"] for r in rows}) > 2 if small else len({r["island"] for r in rows}) == 1
+            visits = walk.expected_visits(queries, graph, params, "visit_weighted")
+            assert visits.count() < len(found[way][0])
+        found[way].append({(r.query_id, r.node_id): r.votes for r in prototype.relevance_visits(queries, graph, params).collect()})
+        found[way].append({(r.query_id, r["rank"]): (r.node_id, round(r.score, 9)) for r in walk.rank_visits(visits, queries, graph, params, "visit_weighted").collect()})
+    for got, want in zip(found[True][:2], found[False][:2], strict=True):
         assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-        assert found[True][1:] == found[False][1:]
-        # edges against their direction are those along it where each has its reverse
-        assert (2 in kept[-1]) == (pairs == one_way)
+    assert found[True][2] == found[False][2]
